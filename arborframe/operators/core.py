@@ -54,6 +54,7 @@ class Rounds:
         self.label = label
         self.limit = limit
         self.pending = 0
+        self.seal: tuple = ()
         self._last: dict[str, str] = {}
         self._round = 0
 
@@ -63,16 +64,25 @@ class Rounds:
             raise RuntimeError(f"{self.label}: no convergence after {self.limit} rounds")
         return self._round
 
-    def cut(self, df: DataFrame, name: str = "state", watch: Column | None = None) -> DataFrame:
-        """Write this round's table; ``watch`` counts rows during the write, see ``pending``."""
+    def cut(
+        self, df: DataFrame, name: str = "state", watch: Column | None = None,
+        mark: bool = False,
+    ) -> DataFrame:
+        """Write this round's table.
+
+        ``watch`` counts rows while they are written (read it from ``pending``); ``mark`` also
+        takes an order-free fingerprint of all rows (``seal``) to notice an unchanged table.
+        """
         path = scratch_path(self.spark, f"{self.label}-{name}-{self._round}")
-        if watch is None:
+        if watch is None and not mark:
             df.write.parquet(path)
         else:
             seen = Observation(f"watch-{uuid.uuid4().hex}")
-            hits = F.count(F.when(watch, F.lit(1))).alias("hits")
-            df.observe(seen, hits).write.parquet(path)
-            self.pending = seen.get["hits"]
+            hits = F.count(F.when(watch if watch is not None else F.lit(True), F.lit(1)))
+            seal = F.bit_xor(F.xxhash64(*df.columns)) if mark else F.count(F.lit(1))
+            df.observe(seen, hits.alias("hits"), seal.alias("seal")).write.parquet(path)
+            got = seen.get
+            self.pending, self.seal = got["hits"], (got["hits"], got["seal"])
         stale = self._last.get(name)
         self._last[name] = path
         if stale is not None:

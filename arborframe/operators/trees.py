@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
-from arborframe.operators.core import Rounds, accumulate, id_slice, numbered
+from arborframe.operators.core import Rounds, accumulate, id_slice, numbered, written
 
 KEYS = ("morphology",)
 
@@ -623,7 +623,7 @@ def merge_chains(
 def normalised_lengths(line: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Adds ``pos`` (1-based) and ``t``, the path length up to a point over the total."""
     keys = list(keys)
-    numbered_pts = numbered(line, keys, order, "pos", start=1)
+    numbered_pts = written(numbered(line, keys, order, "pos", start=1), "line")
     prev = numbered_pts.select(
         *keys, (F.col("pos") + 1).alias("pos"), *[F.col(a).alias(f"_p{a}") for a in geo.AXES]
     )
@@ -631,8 +631,9 @@ def normalised_lengths(line: DataFrame, keys: Sequence[str], order: str) -> Data
         "_step",
         F.coalesce(geo.distance(["_px", "_py", "_pz"], list(geo.AXES)), F.lit(0.0)),
     )
-    cum = accumulate(
-        steps, keys, ["pos"], slice_by=id_slice("pos"), sums={"_cum": F.col("_step")}
+    cum = written(
+        accumulate(steps, keys, ["pos"], slice_by=id_slice("pos"), sums={"_cum": F.col("_step")}),
+        "line-length",
     )
     total = cum.groupBy(*keys).agg(F.max("_cum").alias("_total"))
     return (
