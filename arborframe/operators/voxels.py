@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
 from arborframe.functions.draws import uniform
-from arborframe.operators.core import accumulate, id_slice, numbered
+from arborframe.operators.core import accumulate, id_slice, numbered, written
 from arborframe.operators.trees import bounding_box
 
 IJK = ("i", "j", "k")
@@ -320,7 +320,7 @@ def cut_edges(
         placed, dim=[F.lit(d) for d in grid.dim], offset=[F.lit(o) for o in grid.offset]
     )
     valued = pieces.join(voxels.select(*IJK, "region_id"), list(IJK), "left")
-    runs = merge_runs(valued, [*keys, "source", "target"])
+    runs = written(merge_runs(valued, [*keys, "source", "target"]), "runs")
     counts = runs.groupBy(*keys, "source", "target").agg(
         F.count(F.lit(1)).alias("n_runs"), F.min_by("region_id", "run").alias("_only")
     )
@@ -336,6 +336,7 @@ def cut_edges(
         *keys, "source", "target", "run", (F.col("_top") + F.col("_rn")).alias("new_id"),
         *[F.col(f"{a}1").alias(a) for a in geo.AXES],
     )
+    fresh = written(fresh, "joints")
     after = fresh.select(
         *keys, "source", "target", F.col("run"), F.col("new_id").alias("_end")
     )
