@@ -210,11 +210,14 @@ def weighted_pick(
     totals = usable.groupBy(*keys).agg(
         F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_nopt")
     )
-    tops = ladder.join(totals, keys).withColumn(
-        "_hi",
-        F.when(F.col("_rn") == F.col("_nopt"), F.lit(1.0)).otherwise(
-            F.col("_cum") / F.col("_total")
+    tops = written(
+        ladder.join(totals, keys).withColumn(
+            "_hi",
+            F.when(F.col("_rn") == F.col("_nopt"), F.lit(1.0)).otherwise(
+                F.col("_cum") / F.col("_total")
+            ),
         ),
+        "pick-options",
     )
     # each interval starts exactly where the one before it ends, so no draw is lost or doubled
     below = tops.select(*keys, (F.col("_rn") + 1).alias("_rn"), F.col("_hi").alias("_lo"))

@@ -129,7 +129,8 @@ mapped as materialized (select s.*, coalesce(d.population_id, 'default') as popu
 
 def mapped(spark, sf):
     elders = R.ascendants(atlas_regions(spark, sf))
-    return P.map_populations(sources(spark, sf), population_options(spark, sf), elders, order="s_suppkey")
+    start = written(sources(spark, sf), "sources")
+    return P.map_populations(start, population_options(spark, sf), elders, order="s_suppkey")
 
 
 @shelf.add("p03_populations", f"with recursive {MAPPED_SQL} select morphology, o_orderkey, source_brain_region_id, population_id from mapped")
@@ -153,7 +154,7 @@ def p03_side(spark, sf):
 
 
 def axons(spark, sf):
-    rows = mapped(spark, sf).withColumn("_order", F.coalesce("o_orderkey", F.lit(-1)))
+    rows = written(mapped(spark, sf), "mapped").withColumn("_order", F.coalesce("o_orderkey", F.lit(-1)))
     return P.axon_ids(rows, order="_order").drop("_order")
 
 
@@ -186,7 +187,7 @@ cand as materialized (select m.*, o.* from mapped m join opt o on o.source_popul
 
 
 def candidates(spark, sf):
-    return P.candidate_targets(axons(spark, sf), target_options(spark, sf))
+    return P.candidate_targets(written(axons(spark, sf), "axons"), target_options(spark, sf))
 
 
 @shelf.add("p05_candidate_targets", f"""with recursive {CAND_SQL}
@@ -217,6 +218,7 @@ REQ = [M, A, "target_population_id"]
 
 def picked(spark, sf):
     found, _ = candidates(spark, sf)
+    found = written(found, "candidates")
     return P.pick_targets(found, request=REQ)
 
 
@@ -272,7 +274,7 @@ placedt as materialized (select g.*, target_x, target_y, case when target_hemisp
 
 def placed(spark, sf):
     mask = voxels(spark, sf).withColumnRenamed("region_id", "target_brain_region_id")
-    return P.target_coordinates(grown(spark, sf), mask, GRID, request=[*REQ, "tuft_num"], side="target_hemisphere")
+    return P.target_coordinates(written(grown(spark, sf), "grown"), mask, GRID, request=[*REQ, "tuft_num"], side="target_hemisphere")
 
 
 @shelf.add("p08_target_coordinates", f"with recursive {COORD_SQL} select morphology, axon_id, target_population_id, tuft_num, {r6s('target_x')} as target_x, {r6s('target_y')} as target_y, {r6s('target_z')} as target_z from placedt")
@@ -281,7 +283,7 @@ def p08(spark, sf):
 
 
 def terminals(spark, sf):
-    rows = placed(spark, sf)
+    rows = written(placed(spark, sf), "placed")
     return P.terminal_ids(rows, ["target_brain_region_id", "tuft_num"], slice_by=F.floor(F.col("target_brain_region_id") / 4))
 
 
