@@ -318,6 +318,8 @@ def _descend(spark, member, todo, keys, limit, side, crowd) -> DataFrame:
 class Octree:
     """Cells of halving size over a point table, refined only where many points meet.
 
+    Points with equal coordinates count once, under their smallest id.
+
     ``pyramid`` has (keys, level, cell, parent cell, n, tight box, is_leaf); ``leaves`` has the
     distinct points with the leaf that holds them.  Both are written tables.
     """
@@ -454,9 +456,10 @@ def thin(
     """Points that remain when each drops all later ones within ``radius`` of it.
 
     The order is ``priority`` (smallest first), then the id; ids are unique inside a group.  In
-    each round the first point of a cell survives if no point ahead of it is left in the cells
-    around, and everything near a survivor goes.  A cell holds at most one survivor, so a point
-    meets at most 125 of them.  Hash the priority to keep the number of rounds logarithmic.
+    each round the first point of a cell survives if no point ahead of it is left within the
+    radius, and everything near a survivor goes.  Only one point per cell is tried and a cell
+    holds at most one survivor, so a point meets at most 125 of either.  Hash the priority to
+    keep the number of rounds logarithmic.
     """
     keys = list(keys)
     side = float(radius) / math.sqrt(3.0) * (1.0 - 1e-9)
@@ -468,32 +471,24 @@ def thin(
     around = [o for o in _offsets(2, forward_only=False) if o != (0, 0, 0)]
     while rounds.pending:
         rounds.next()
-        best = written(
-            left.groupBy(*keys, *CELL).agg(
-                F.min("_order").alias("_order"),
-                F.min_by(F.struct(*geo.AXES), "_order").alias("_at"),
-            ),
-            "thin-best",
+        best = left.groupBy(*keys, *CELL).agg(F.min("_order").alias("_first")).join(
+            left, [*keys, *CELL]
+        ).filter(F.col("_order") == F.col("_first")).select(
+            *keys, *CELL, "_first", F.col("_id").alias("_wid"),
+            *[F.col(a).alias(f"_w{a}") for a in geo.AXES],
         )
-        # a cell tells its order to the cells around it
-        told = (
-            _shifted(best.select(*keys, *CELL, "_order"), around)
-            .groupBy(*keys, *CELL).agg(F.min("_order").alias("_ahead"))
+        near = geo.distance(list(geo.AXES), ["_wx", "_wy", "_wz"]) <= limit
+        blocked = (
+            _shifted(best, around).join(left, [*keys, *CELL])
+            .filter((F.col("_order") < F.col("_first")) & near)
+            .select(*keys, "_wid").distinct()
         )
         winners = written(
-            best.join(told, [*keys, *CELL], "left")
-            .filter(F.col("_ahead").isNull() | (F.col("_order") < F.col("_ahead")))
-            .select(*keys, *CELL, F.col("_order._id").alias("_wid"),
-                    *[F.col(f"_at.{a}").alias(f"_w{a}") for a in geo.AXES]),
-            "thin-winners",
+            best.drop("_first").join(blocked, [*keys, "_wid"], "left_anti"), "thin-winners"
         )
         kept.append(winners.select(*keys, F.col("_wid").alias(node)))
         shade = _shifted(winners, [(0, 0, 0), *around])
-        gone = (
-            left.join(shade, [*keys, *CELL])
-            .filter(geo.distance(list(geo.AXES), ["_wx", "_wy", "_wz"]) <= limit)
-            .select(*keys, "_id").distinct()
-        )
+        gone = left.join(shade, [*keys, *CELL]).filter(near).select(*keys, "_id").distinct()
         left = rounds.cut(left.join(gone, [*keys, "_id"], "left_anti").select(*left.columns), "left", watch=F.lit(True))
     if not kept:
         return points

@@ -89,7 +89,7 @@ def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 # --- trees: one per user, points numbered by event --------------------------------------
 
 _POINT_SQL = f"""
-    case when n = 1 then -1 when n % 3 = 0 then n - 1 else n // 2 end::bigint as parent_id,
+    case when n = 1 then -1 when n % 5 = 0 then n - 1 else n // 2 end::bigint as parent_id,
     (case event_type when 'click' then {AXON} when 'error' then {AXON}
        when 'purchase' then {BASAL} when 'signup' then {APICAL} else {AXON} end)::integer as type,
     100 * {u_sql("event_id", "'x'")} as x,
@@ -122,7 +122,7 @@ def _points(numbered_events: DataFrame) -> DataFrame:
         "*",
         F.col("user_id").cast("string").alias("morphology"),
         F.when(n == 1, F.lit(-1))
-        .when(F.pmod(n, F.lit(3)) == 0, n - 1)
+        .when(F.pmod(n, F.lit(5)) == 0, n - 1)
         .otherwise(F.floor(n / 2))
         .cast("bigint")
         .alias("parent_id"),
