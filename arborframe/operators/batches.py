@@ -43,7 +43,8 @@ def apply_rows(
         for frame in frames:
             out = one(frame)
             if len(frame) > 1 and out["error"].notna().any():
-                out = pd.concat([one(frame.iloc[[n]]) for n in range(len(frame))])
+                singles = [one(frame.iloc[[n]]).astype(object) for n in range(len(frame))]
+                out = pd.concat(singles)
             yield out[[*names, *new, "error"]]
 
     return rows.mapInPandas(batches, schema)

@@ -93,9 +93,15 @@ def region_documents(spark, sf):
     h = hierarchy(spark, sf)
     leaf = h.filter("id >= 1000").select(F.col("parent_id").alias("id"), F.to_json(F.struct("id", "acronym", "name")).alias("node"))
     kids = leaf.groupBy("id").agg(F.concat_ws(",", F.array_sort(F.collect_list("node"))).alias("kids"))
+
     def node(df):
         head = F.to_json(F.struct("id", "acronym", "name"))
-        return df.select("parent_id", F.concat(F.expr("left(_h, length(_h) - 1)"), F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}")).alias("node")) if "_h" in df.columns else node(df.withColumn("_h", head))
+        df = df.withColumn("_head", head)
+        body = F.concat(
+            F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(',"children":['),
+            F.coalesce("kids", F.lit("")), F.lit("]}"))
+        return df.select("parent_id", body.alias("node"))
+
     nations = node(h.filter("id between 100 and 999").join(kids, "id", "left"))
     per = nations.groupBy(F.col("parent_id").alias("id")).agg(F.concat_ws(",", F.array_sort(F.collect_list("node"))).alias("kids"))
     return node(h.filter("id between 10 and 99").join(per, "id", "left")).select(F.col("node").alias("body"))

@@ -81,15 +81,18 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles}) if doubles else df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on whatever file system it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def reuse(spark: SparkSession, path: str, make: Callable[[], DataFrame], *, overwrite: bool = False) -> DataFrame:
     """The table at a path if it was completely written before, else made, written and read.
 
     A write that was cut short leaves no success marker and is made again.
     """
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    there = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
-    if overwrite or not there:
+    if overwrite or not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -97,14 +100,9 @@ def reuse(spark: SparkSession, path: str, make: Callable[[], DataFrame], *, over
 def append(df: DataFrame, path: str, *, keys: Sequence[str] = ()) -> None:
     """Add rows to a table; with ``keys`` only those whose key is not there yet."""
     out = df
-    if keys:
-        try:
-            old = df.sparkSession.read.parquet(path).select(*keys).distinct()
-        except Exception as exc:  # the table does not exist yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-        else:
-            out = df.join(old, list(keys), "left_anti")
+    if keys and exists(df.sparkSession, path):
+        old = df.sparkSession.read.parquet(path).select(*keys).distinct()
+        out = df.join(old, list(keys), "left_anti")
     out.write.mode("append").parquet(path)
 
 
