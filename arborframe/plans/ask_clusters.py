@@ -10,10 +10,10 @@ from arborframe.operators import spatial as S
 from arborframe.operators import trees as T
 from arborframe.operators.core import numbered, written
 from arborframe.plans.ask_trees import CLOSURE_SQL, SECTIONS_SQL, section_table
-from arborframe.plans.ask_voxels import CUT_SQL, _cut
+from arborframe.plans.ask_voxels import CUT_SQL, _cut, elders
 from arborframe.plans.registry import Shelf
 from arborframe.plans.views import (
-    CLOUD_SQL, FOREST_SQL, POINTS_SQL, cloud, forest, hierarchy, points, r6, r6s, table,
+    CLOUD_SQL, FOREST_SQL, POINTS_SQL, cloud, forest, points, r6, r6s, shared, table,
 )
 
 shelf = Shelf()
@@ -130,11 +130,11 @@ PARENTS = C.ClusterConfig("sphere_parents", sphere_radius=40.0, max_path_distanc
 
 
 def tree_nodes(spark, sf):
-    pts = written(points(spark, sf).select(M, F.col("point_id").alias("id"), "parent_id", "x", "y", "z"), "tree")
+    pts = shared(spark, sf, "plain-points", lambda: points(spark, sf)).select(M, F.col("point_id").alias("id"), "parent_id", "x", "y", "z")
     parents = pts.select(M, F.col("parent_id").alias("id"))
     leaves = pts.filter("parent_id <> -1").join(parents, [M, "id"], "left_anti")
     ends = leaves.unionByName(pts.filter("parent_id = -1")).select(M, "id", "x", "y", "z", (F.col("parent_id") == -1).alias("is_root"))
-    return pts, written(ends, "tree-ends")
+    return pts, shared(spark, sf, "tree-ends", lambda: ends)
 
 
 @shelf.add("c07_close_paths", f"with recursive {PATH_SQL} select morphology, a, b from close")
@@ -183,12 +183,10 @@ def c09(spark, sf):
       join points p on p.morphology = l.morphology and p.point_id = l.node group by 1, 2""")
 def c10(spark, sf):
     _nodes, edges = _cut(spark, sf)
-    edges = written(edges, "cut-edges")
-    regions = hierarchy(spark, sf)
     known = (
         table(spark, sf, "region").select((10 + F.col("r_regionkey")).cast("bigint").alias("id"))
         .unionByName(table(spark, sf, "nation").filter("n_regionkey >= 2").select((100 + F.col("n_nationkey")).cast("bigint").alias("id"))))
-    nested = R.first_nested(edges.select(F.col("region_id").alias("id")).distinct(), known, R.ascendants(regions))
+    nested = R.first_nested(edges.select(F.col("region_id").alias("id")).distinct(), known, elders(spark, sf))
     joined = edges.join(nested.select(F.col("id").alias("region_id"), "nested_id"), "region_id").drop("region_id").withColumnRenamed("nested_id", "region_id")
     _tree, ends = tree_nodes(spark, sf)
     clusters, _ = C.region_clusters(written(joined, "nested-edges"), ends.filter("not is_root").select(M, "id", "x", "y", "z"), [M])
@@ -242,7 +240,7 @@ KINDS = ["click", "error", "purchase", "signup", "view"]
       {r6s('path_distance')} as path_distance, {r6s('path_length')} as path_length, {r6s('max_path_extent')} as max_path_extent
     from anc a join sections s using (morphology, section_id) join sz using (morphology, tuft_id) join pd using (morphology, section_id) join below using (morphology, section_id)""")
 def c13(spark, sf):
-    sections = written(section_table(spark, sf), "sections")
+    sections = section_table(spark, sf)
     kinds = points(spark, sf).select(M, F.col("point_id").alias("last_point"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type")).alias("tuft_id"))
     leaves = written(sections.filter("is_leaf").join(kinds, [M, "last_point"]), "leaves")
     clusters = leaves.groupBy(M, F.col("tuft_id").alias("terminal_id")).agg(F.count(F.lit(1)).alias("size"), *[F.avg(f"{a}_last").alias(a) for a in "xyz"])

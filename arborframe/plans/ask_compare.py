@@ -17,7 +17,7 @@ from arborframe.operators import voxels as V
 from arborframe.operators.core import written
 from arborframe.plans.ask_trees import SECTIONED_SQL, SECTIONS_SQL, section_table, sectioned
 from arborframe.plans.registry import Shelf
-from arborframe.plans.views import POINTS_SQL, SEGMENTS_SQL, points, r6, r6s, segments, table, u_sql
+from arborframe.plans.views import POINTS_SQL, SEGMENTS_SQL, points, r6, r6s, segments, shared, table, u_sql
 
 shelf = Shelf()
 M = "morphology"
@@ -56,7 +56,7 @@ def t11(spark, sf):
     m as (select morphology, avg(a) as ma, stddev_pop(a) as sa from mnd group by 1)
     select l.morphology, {r6s('ml')} as mean_segment_lengths, {r6s('sl')} as std_segment_lengths, {r6s('ma')} as mean_segment_meander_angles, {r6s('sa')} as std_segment_meander_angles from l left join m using (morphology)""")
 def t12(spark, sf):
-    out = S.trunk_properties(written(sectioned(spark, sf), "sectioned"), [M])
+    out = S.trunk_properties(sectioned(spark, sf), [M])
     return out.select(M, *[r6(F.col(c)).alias(c) for c in out.columns if c != M])
 
 
@@ -119,10 +119,12 @@ _WIDE_SQL = f"""select morphology, {r6s("count(*) filter (bif)::double")} as sum
   count(*)::double as mean_number_of_sections_per_neurite, count(*)::double as sum_number_of_sections_per_neurite, {r6s("sum(length)")} as mean_total_length_per_neurite from sf group by 1"""
 
 
-def wide_features(spark, sf, pts=None, strahler=False):
-    base = T.assign_sections(pts if pts is not None else points(spark, sf))
-    sec = T.sections(written(base, "sectioned")).withColumn("neurite", F.lit(0))
-    return S.morphometrics(sec, [M], ["neurite"], strahler=strahler)
+def wide_features(spark, sf, strahler=False):
+    def make():
+        sec = section_table(spark, sf).withColumn("neurite", F.lit(0))
+        return S.morphometrics(sec, [M], ["neurite"], strahler=strahler)
+
+    return shared(spark, sf, f"features-{strahler}", make)
 
 
 @shelf.add("m05_morphometrics", f"with recursive {MORPH_SQL} {_WIDE_SQL}")
@@ -173,31 +175,30 @@ def maps_sql(p: str) -> str:
 
 def sides(spark, sf):
     cust = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias(M), "c_mktsegment")
-    pts = written(points(spark, sf).select(M, "point_id", "parent_id", "event_id", "x", "y", "z"), "points")
+    pts = shared(spark, sf, "plain-points", lambda: points(spark, sf)).select(M, "point_id", "parent_id", "event_id", "x", "y", "z")
     ref = pts.join(cust.filter("c_mktsegment <> 'MACHINERY'"), M, "left_semi")
     comp = pts.join(cust.filter("c_mktsegment <> 'BUILDING'"), M, "left_semi").withColumn(
         "x", F.col("x") + 5 * uniform("event_id", F.lit("dx")))
     return ref, comp
 
 
-def length_maps(pts):
+def length_maps(spark, sf, side):
+    pts = sides(spark, sf)[side]
     seg = T.with_parent_point(pts, [M]).select(M, *S.FROM, *S.TO)
     roots = pts.filter("parent_id = -1").select(M, "x", "y", "z")
-    grids = written(V.centred_grids(seg, roots, [M], SIZES), "grids")
-    return grids, V.length_maps(seg, grids, [M])
+    grids = shared(spark, sf, f"grids-{side}", lambda: V.centred_grids(seg, roots, [M], SIZES))
+    return grids, shared(spark, sf, f"maps-{side}", lambda: V.length_maps(seg, grids, [M]))
 
 
 @shelf.add("m01_length_maps", f"with {SIDE_SQL}, {maps_sql('r')} select morphology, size_id, i, j, k, {r6s('length')} as length from rmap")
 def m01(spark, sf):
-    ref, _ = sides(spark, sf)
-    return length_maps(ref)[1].withColumn("length", r6(F.col("length")))
+    return length_maps(spark, sf, 0)[1].withColumn("length", r6(F.col("length")))
 
 
 @shelf.add("m02_matched_maps", f"""with {SIDE_SQL}, {maps_sql('r')}, {maps_sql('c')} select coalesce(r.morphology, c.morphology) as morphology, coalesce(r.size_id, c.size_id) as size_id,
     case when r.morphology is null then 'in compared only' when c.morphology is null then 'in reference only' else 'both' end as found from rgrid r full join cgrid c on r.morphology = c.morphology and r.size_id = c.size_id""")
 def m02(spark, sf):
-    ref, comp = sides(spark, sf)
-    return D.match_maps(length_maps(ref)[0], length_maps(comp)[0], KEYS)
+    return D.match_maps(length_maps(spark, sf, 0)[0], length_maps(spark, sf, 1)[0], KEYS)
 
 
 DIFF_SQL = f"""
@@ -212,9 +213,8 @@ df as materialized (select morphology, size_id, i, j, k, coalesce(ra.length, 0)
 
 
 def difference(spark, sf):
-    ref, comp = sides(spark, sf)
-    rg, rm = length_maps(ref)
-    cg, cm = length_maps(comp)
+    rg, rm = length_maps(spark, sf, 0)
+    cg, cm = length_maps(spark, sf, 1)
     return D.map_difference(rm, cm, written(D.aligned_grids(rg, cg, KEYS), "shifts"), KEYS)
 
 

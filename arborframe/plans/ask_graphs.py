@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
 from arborframe.operators import graph as G
-from arborframe.operators.core import written
 from arborframe.plans.ask_voxels import GRID, HEIGHTS_SQL, depths, idx_sql
 from arborframe.plans.registry import Shelf
-from arborframe.plans.views import POINTS_SQL, VOXELS_SQL, points, r6, r6s, voxels
+from arborframe.plans.views import POINTS_SQL, VOXELS_SQL, points, r6, r6s, shared, voxels
 from arborframe.operators import voxels as V
 
 shelf = Shelf()
@@ -39,7 +38,7 @@ nodes as materialized (select morphology, row_number() over (partition by morpho
 
 
 def start(spark, sf):
-    pts = written(points(spark, sf).select(M, "point_id", "event_type", "x", "y", "z"), "points")
+    pts = shared(spark, sf, "plain-points", lambda: points(spark, sf)).select(M, "point_id", "event_type", "x", "y", "z")
     src = pts.filter("point_id = 1").select(M, *[F.col(a).alias(f"source_{a}") for a in "xyz"])
     targets = pts.filter("event_type = 'click' and point_id > 1").join(src, M)
     return pts, src, targets.withColumnRenamed("point_id", "id")
@@ -59,8 +58,8 @@ def parts(spark, sf, new_corners_only=True):
     _, src, targets = start(spark, sf)
     own = src.select(M, F.lit(1).alias("order"), *[F.col(f"source_{a}").alias(a) for a in "xyz"])
     goal = targets.select(M, F.col("id").alias("order"), "x", "y", "z", F.col("id").alias("terminal_id"))
-    mid = G.intermediate_points(targets, [M], min_distance=30.0, most=3).select(M, (F.col("id") * 10 + F.col("step")).alias("order"), "x", "y", "z")
-    mid = written(mid, "intermediate")
+    mid0 = G.intermediate_points(targets, [M], min_distance=30.0, most=3).select(M, (F.col("id") * 10 + F.col("step")).alias("order"), "x", "y", "z")
+    mid = shared(spark, sf, "graph-intermediate", lambda: mid0)
     every = own.select(M, "x", "y", "z").unionByName(goal.select(M, "x", "y", "z")).unionByName(mid.select(M, "x", "y", "z"))
     corners = G.box_corners(every, [M])
     if new_corners_only:
@@ -117,7 +116,7 @@ def g06(spark, sf):
 
 
 def nodes(spark, sf):
-    return written(G.node_table(parts(spark, sf), [M]), "nodes")
+    return shared(spark, sf, "graph-nodes", lambda: G.node_table(parts(spark, sf), [M]))
 
 
 @shelf.add("g07_node_table", f"with {START_SQL} select morphology, id, provider, is_terminal, terminal_id, {r6s('x')} as x from nodes")
@@ -148,7 +147,7 @@ edges as materialized (select e.morphology, e.f, e.t, p.x as xf, p.y as yf, p.z
 
 def edges(spark, sf):
     n = nodes(spark, sf)
-    return n, written(G.nearest_edges(n, [M], k=4), "edges")
+    return n, shared(spark, sf, "graph-edges", lambda: G.nearest_edges(n, [M], k=4))
 
 
 @shelf.add("g08_candidate_edges", f"""with {EDGE_SQL} select morphology, f as "from", t as "to", {r6s('length')} as length from edges""")
@@ -207,10 +206,13 @@ wt as materialized (select *, length * pen * dpen * ppen as weight from pf)
 
 def weighted_edges(spark, sf):
     n, e = edges(spark, sf)
-    deep = G.with_depths(e, depths(spark, sf), GRID)
-    liked = G.preferred_factor(deep, n, preferred(spark, sf), [M], sigma=100.0, amplitude=1.0)
-    out = G.weighted(with_source(spark, sf, liked), [direction(), G.depth_penalty(sigma=0.25, amplitude=10.0), F.col("preferred")])
-    return n, out
+
+    def make():
+        deep = G.with_depths(e, depths(spark, sf), GRID)
+        liked = G.preferred_factor(deep, n, preferred(spark, sf), [M], sigma=100.0, amplitude=1.0)
+        return G.weighted(with_source(spark, sf, liked), [direction(), G.depth_penalty(sigma=0.25, amplitude=10.0), F.col("preferred")])
+
+    return n, shared(spark, sf, "graph-weights", make)
 
 
 @shelf.add("g11_preferred_factor", f"""with {WEIGHT_SQL} select morphology, f as "from", t as "to", {r6s('ppen')} as preferred from pf""")
@@ -232,7 +234,7 @@ def g12(spark, sf):
     from fl join pen using (morphology) left join touch a on a.morphology = fl.morphology and a.id = f left join touch b on b.morphology = fl.morphology and b.id = t""")
 def g13(spark, sf):
     n, w = weighted_edges(spark, sf)
-    return G.terminal_penalty(written(w, "weights"), n, [M]).select(M, "from", "to", r6(F.col("weight")).alias("weight"))
+    return G.terminal_penalty(w, n, [M]).select(M, "from", "to", r6(F.col("weight")).alias("weight"))
 
 
 PATH_SQL = f"""
@@ -254,7 +256,8 @@ sole as materialized (select * from sol)
 
 def tree(spark, sf):
     n, e = edges(spark, sf)
-    return G.connecting_tree(n, e.withColumn("weight", F.col("length")), [M])
+    make = lambda: G.connecting_tree(n, e.withColumn("weight", F.col("length")), [M])[1]
+    return shared(spark, sf, "graph-solution", make)
 
 
 @shelf.add("g14_path_costs", f"with recursive {PATH_SQL} select morphology, id, {r6s('cost')} as cost from best")
@@ -268,14 +271,14 @@ def g14_costs(spark, sf):
       a.is_terminal as source_is_terminal, b.terminal_id as target_terminal_id from sole s
       join nodes a on a.morphology = s.morphology and a.id = least(s.id, previous) join nodes b on b.morphology = s.morphology and b.id = greatest(s.id, previous)""")
 def g14(spark, sf):
-    _, solution = tree(spark, sf)
+    solution = tree(spark, sf)
     return solution.select(M, "from", "to", "parent", "child", "source_is_terminal", "target_terminal_id")
 
 
 @shelf.add("t23_oriented_edges", f"""with recursive {PATH_SQL} select morphology, least(id, previous) as "from", greatest(id, previous) as "to", previous as parent, id as child, id < previous as reversed_edge from sole""")
 def t23_orient(spark, sf):
-    _, solution = tree(spark, sf)
-    return G.orient_tree(written(solution, "solution"), [M], root=0).drop("position")
+    solution = tree(spark, sf)
+    return G.orient_tree(solution, [M], root=0).drop("position")
 
 
 @shelf.add("t23_trunk_sections", f"""with recursive {PATH_SQL},
@@ -284,6 +287,6 @@ def t23_orient(spark, sf):
     union all select s.morphology, {r6s('case when previous = 0 then hx else p.x end')}, {r6s('q.x')}, false from sole s join tops t using (morphology)
       join nodes p on p.morphology = s.morphology and p.id = previous join nodes q on q.morphology = s.morphology and q.id = s.id where not (previous = 0 and n = 1)""")
 def t23(spark, sf):
-    _, solution = tree(spark, sf)
-    sections, _ = G.grow_trunk(written(solution, "solution"), [M])
+    solution = tree(spark, sf)
+    sections, _ = G.grow_trunk(solution, [M])
     return sections.select(M, r6(F.col("x_from")).alias("x_from"), r6(F.col("x_to")).alias("x_to"), (F.col("parent_section_id") == -1).alias("is_root"))

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from arborframe.operators import recipe as E
 from arborframe.operators import regions as R
-from arborframe.operators.core import written
 from arborframe.plans.registry import Shelf
 from arborframe.plans.views import (
-    GRID_DIM, HIERARCHY_SQL, POINTS_SQL, VOXELS_SQL, points, r6, r6s, table, voxels,
+    GRID_DIM, HIERARCHY_SQL, POINTS_SQL, VOXELS_SQL, points, r6, r6s, shared, table, voxels,
 )
 from arborframe.sources.documents import read_recipe
 
@@ -94,7 +93,7 @@ def documents(spark, sf):
 
 
 def entries(spark, sf):
-    return read_recipe(written(documents(spark, sf), "recipe"))
+    return read_recipe(shared(spark, sf, "recipe", lambda: documents(spark, sf)))
 
 
 def atlas_regions(spark, sf):
@@ -106,12 +105,15 @@ def atlas_regions(spark, sf):
 
 
 def populations(spark, sf, e=None):
-    e = e or entries(spark, sf)
+    return shared(spark, sf, "populations", lambda: _populations(spark, sf, e or entries(spark, sf)))
+
+
+def _populations(spark, sf, e):
     regions = atlas_regions(spark, sf)
     flat = E.name_subregions(E.flatten_populations(e["populations"]), remove_prefix=True)
     placed, _bad = E.region_ids(flat, regions)
     vol = R.volumes(voxels(spark, sf), R.descendants(regions), GRID_DIM**3)
-    return written(E.volume_fractions(placed, vol, regions), "populations")
+    return E.volume_fractions(placed, vol, regions)
 
 
 ATLAS_SQL = """

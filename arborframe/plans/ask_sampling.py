@@ -18,7 +18,7 @@ from arborframe.plans.ask_recipe import ATLAS_SQL, atlas_regions
 from arborframe.plans.ask_voxels import GRID, idx_sql
 from arborframe.plans.registry import Shelf
 from arborframe.plans.views import (
-    GRID_DIM, GRID_OFF, VOXELS_SQL, r6, r6s, table, u_sql, voxels,
+    GRID_DIM, GRID_OFF, VOXELS_SQL, r6, r6s, shared, table, u_sql, voxels,
 )
 
 shelf = Shelf()
@@ -72,7 +72,8 @@ def section_ends(spark, sf):
 
 
 def sources(spark, sf):
-    return P.source_points(cells(spark, sf), grafting(spark, sf), section_ends(spark, sf), voxels(spark, sf), GRID)
+    return shared(spark, sf, "sources", lambda: P.source_points(
+        cells(spark, sf), grafting(spark, sf), section_ends(spark, sf), voxels(spark, sf), GRID))
 
 
 def population_options(spark, sf):
@@ -127,10 +128,13 @@ mapped as materialized (select s.*, coalesce(d.population_id, 'default') as popu
 """
 
 
+def elders(spark, sf):
+    return shared(spark, sf, "atlas-elders", lambda: R.ascendants(atlas_regions(spark, sf)))
+
+
 def mapped(spark, sf):
-    elders = R.ascendants(atlas_regions(spark, sf))
-    start = written(sources(spark, sf), "sources")
-    return P.map_populations(start, population_options(spark, sf), elders, order="s_suppkey")
+    return shared(spark, sf, "mapped", lambda: P.map_populations(
+        sources(spark, sf), population_options(spark, sf), elders(spark, sf), order="s_suppkey"))
 
 
 @shelf.add("p03_populations", f"with recursive {MAPPED_SQL} select morphology, o_orderkey, source_brain_region_id, population_id from mapped")
@@ -147,15 +151,14 @@ def p03(spark, sf):
       and {u_sql("o.morphology", "o.source_brain_region_id", "'population'")} >= l and {u_sql("o.morphology", "o.source_brain_region_id", "'population'")} < h)
     select c.morphology, coalesce(population_id, 'default') as population_id from cells c left join drawn d on d.morphology = c.morphology""")
 def p03_side(spark, sf):
-    elders = R.ascendants(atlas_regions(spark, sf))
     only = P.source_points(cells(spark, sf), None, None, voxels(spark, sf), GRID)
-    return P.map_populations(only, population_options(spark, sf), elders, order="s_suppkey",
+    return P.map_populations(only, population_options(spark, sf), elders(spark, sf), order="s_suppkey",
                              hemisphere=V.hemisphere(F.col("z"), GRID)).select(M, "population_id")
 
 
 def axons(spark, sf):
-    rows = written(mapped(spark, sf), "mapped").withColumn("_order", F.coalesce("o_orderkey", F.lit(-1)))
-    return P.axon_ids(rows, order="_order").drop("_order")
+    rows = mapped(spark, sf).withColumn("_order", F.coalesce("o_orderkey", F.lit(-1)))
+    return shared(spark, sf, "axons", lambda: P.axon_ids(rows, order="_order").drop("_order"))
 
 
 @shelf.add("p04_axon_ids", f"with recursive {MAPPED_SQL} select morphology, o_orderkey, axon_id from mapped")
@@ -187,7 +190,7 @@ cand as materialized (select m.*, o.* from mapped m join opt o on o.source_popul
 
 
 def candidates(spark, sf):
-    return P.candidate_targets(written(axons(spark, sf), "axons"), target_options(spark, sf))
+    return P.candidate_targets(axons(spark, sf), target_options(spark, sf))
 
 
 @shelf.add("p05_candidate_targets", f"""with recursive {CAND_SQL}
@@ -217,8 +220,8 @@ REQ = [M, A, "target_population_id"]
 
 
 def picked(spark, sf):
-    found, _ = candidates(spark, sf)
-    found = written(found, "candidates")
+    found0, _ = candidates(spark, sf)
+    found = shared(spark, sf, "candidates", lambda: found0)
     return P.pick_targets(found, request=REQ)
 
 
@@ -245,8 +248,8 @@ grown as materialized (select *, unnest(generate_series(0, num - 1)) as tuft_num
 
 
 def grown(spark, sf):
-    rows, _ = picked(spark, sf)
-    return P.tuft_numbers(rows, tuft_options(spark, sf), request=REQ)
+    return shared(spark, sf, "grown", lambda: P.tuft_numbers(
+        picked(spark, sf)[0], tuft_options(spark, sf), request=REQ))
 
 
 @shelf.add("p07_tuft_numbers", f"with recursive {TUFT_SQL} select morphology, axon_id, target_population_id, num as num_tufts_to_grow, tuft_num from grown")
@@ -274,7 +277,8 @@ placedt as materialized (select g.*, target_x, target_y, case when target_hemisp
 
 def placed(spark, sf):
     mask = voxels(spark, sf).withColumnRenamed("region_id", "target_brain_region_id")
-    return P.target_coordinates(written(grown(spark, sf), "grown"), mask, GRID, request=[*REQ, "tuft_num"], side="target_hemisphere")
+    return shared(spark, sf, "placed", lambda: P.target_coordinates(
+        grown(spark, sf), mask, GRID, request=[*REQ, "tuft_num"], side="target_hemisphere"))
 
 
 @shelf.add("p08_target_coordinates", f"with recursive {COORD_SQL} select morphology, axon_id, target_population_id, tuft_num, {r6s('target_x')} as target_x, {r6s('target_y')} as target_y, {r6s('target_z')} as target_z from placedt")
@@ -283,7 +287,7 @@ def p08(spark, sf):
 
 
 def terminals(spark, sf):
-    rows = written(placed(spark, sf), "placed")
+    rows = placed(spark, sf)
     return P.terminal_ids(rows, ["target_brain_region_id", "tuft_num"], slice_by=F.floor(F.col("target_brain_region_id") / 4))
 
 
@@ -305,8 +309,11 @@ lab as (select morphology, axon_id, a as terminal_id, min(b) as merged_id from r
 
 
 def merged(spark, sf):
-    rows = written(terminals(spark, sf).filter(F.col("target_x").isNotNull()), "terminals")
-    return P.merge_close_targets(rows, PRECISION)
+    def make():
+        rows = written(terminals(spark, sf).filter(F.col("target_x").isNotNull()), "terminals")
+        return P.merge_close_targets(rows, PRECISION)
+
+    return shared(spark, sf, "merged", make)
 
 
 @shelf.add("p11_merged_targets", f"with recursive {MERGE_SQL} select p.morphology, p.axon_id, target_population_id, tuft_num, merged_id as terminal_id from placedt p join lab using (morphology, axon_id, terminal_id)")

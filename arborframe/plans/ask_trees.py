@@ -10,7 +10,7 @@ from arborframe.operators import trees as T
 from arborframe.operators.core import written
 from arborframe.plans.registry import Shelf
 from arborframe.plans.views import (
-    AXON, FOREST_SQL, POINTS_SQL, forest, points, r6, r6s, table, u_sql,
+    AXON, FOREST_SQL, POINTS_SQL, forest, points, r6, r6s, shared, table, u_sql,
 )
 
 shelf = Shelf()
@@ -87,11 +87,11 @@ closure as materialized (
 
 
 def sectioned(spark, sf):
-    return T.assign_sections(points(spark, sf))
+    return shared(spark, sf, "sectioned", lambda: T.assign_sections(points(spark, sf)))
 
 
 def section_table(spark, sf):
-    return T.sections(written(sectioned(spark, sf), "sectioned"))
+    return shared(spark, sf, "sections", lambda: T.sections(sectioned(spark, sf)))
 
 
 def roots_of(spark, sf):
@@ -156,7 +156,7 @@ def t03(spark, sf):
       on s.morphology = q.morphology and s.parent_section_id = q.section_id""",
 )
 def t03_ends(spark, sf):
-    base = written(sectioned(spark, sf), "sectioned")
+    base = sectioned(spark, sf)
     nodes, edges = T.nodes_and_edges(base, keep_section_segments=False)
     return T.edges_with_coords(nodes, edges).select(
         M, "source", "target", r6(F.col("x_to")).alias("x_to"), "is_terminal_to"
@@ -325,7 +325,7 @@ def t14(spark, sf):
     union all select morphology, parent_section_id, null, {r6s("length")}, true from added""",
 )
 def t15(spark, sf):
-    table = written(section_table(spark, sf), "sections")
+    table = section_table(spark, sf)
     ends = points(spark, sf).filter("event_type = 'click'").select(
         M, F.col("point_id").alias("last_point")
     )
@@ -354,7 +354,7 @@ def t15(spark, sf):
     from sections s join unit using (morphology)""",
 )
 def t16(spark, sf):
-    table = written(section_table(spark, sf), "sections")
+    table = section_table(spark, sf)
     raw = [uniform(M, F.lit(f"u{a}")) for a in "xyz"]
     size = geo.norm(raw)
     toward = table.select(M).distinct().select(
@@ -526,7 +526,7 @@ def t24(spark, sf):
       on s.morphology = q.morphology and s.parent_section_id = q.section_id""",
 )
 def t25(spark, sf):
-    nodes, edges = T.section_graph(written(section_table(spark, sf), "sections"))
+    nodes, edges = T.section_graph(section_table(spark, sf))
     return T.edges_with_coords(nodes, edges).select(
         M, "source", "target", r6(F.col("x_from")).alias("x_from"), r6(F.col("x_to")).alias("x_to")
     )

@@ -11,11 +11,11 @@ from arborframe.operators import spatial as S
 from arborframe.operators import trees as T
 from arborframe.operators import voxels as V
 from arborframe.operators.core import written
-from arborframe.plans.ask_trees import SECTIONED_SQL
+from arborframe.plans.ask_trees import SECTIONED_SQL, sectioned
 from arborframe.plans.registry import Shelf
 from arborframe.plans.views import (
     GRID_DIM, GRID_N, GRID_OFF, HIERARCHY_SQL, POINTS_SQL, SEGMENTS_SQL, VOXELS_SQL,
-    hierarchy, points, r6, r6s, segments, table, u_sql, voxels,
+    hierarchy, points, r6, r6s, segments, shared, table, u_sql, voxels,
 )
 
 shelf = Shelf()
@@ -52,6 +52,14 @@ def v03(spark, sf):
     return R.with_level(hierarchy(spark, sf)).select("id", "parent_id", "acronym", "st_level")
 
 
+def youths(spark, sf):
+    return shared(spark, sf, "youths", lambda: R.descendants(hierarchy(spark, sf)))
+
+
+def elders(spark, sf):
+    return shared(spark, sf, "elders", lambda: R.ascendants(hierarchy(spark, sf)))
+
+
 @shelf.add("v04_descendants", f"""with recursive {CLOSURE}
     select elder_id as id, a.id as youth_id, st_level from above a join levels l on l.id = a.id""")
 def v04(spark, sf):
@@ -97,7 +105,7 @@ def asked(spark, sf):
     union all select 'missing', key from keys where key not in (select key from hits)""")
 def v06(spark, sf):
     regions = hierarchy(spark, sf)
-    found, missing = R.resolve(asked(spark, sf), regions, R.descendants(regions))
+    found, missing = R.resolve(asked(spark, sf), regions, youths(spark, sf))
     return found.select(F.lit("found").alias("state"), F.col("id").cast("string").alias("key")).unionByName(
         missing.select(F.lit("missing").alias("state"), "key")
     )
@@ -123,7 +131,7 @@ def wanted(spark, sf):
     select i, j, k, region_id, region_id in (select id from ids) as inside from voxels""")
 def v07(spark, sf):
     regions, grid = hierarchy(spark, sf), voxels(spark, sf)
-    found, missing = R.resolve(wanted(spark, sf), regions, R.descendants(regions))
+    found, missing = R.resolve(wanted(spark, sf), regions, youths(spark, sf))
     inside = R.voxels_in(grid, found, missing).withColumn("inside", F.lit(True))
     outside = R.voxels_in(grid, found, missing, inverse=True).withColumn("inside", F.lit(False))
     return inside.unionByName(outside).select(*IJK, "region_id", "inside")
@@ -133,7 +141,7 @@ def v07(spark, sf):
     select a.elder_id as mask_id, count(v.i) as n_voxels, coalesce(sum(v.i * 10000 + v.j * 100 + v.k), 0)::bigint as cells
     from above a left join voxels v on v.region_id = a.id group by 1""")
 def v08(spark, sf):
-    closure = R.descendants(hierarchy(spark, sf))
+    closure = youths(spark, sf)
     mask, empty = R.masks(voxels(spark, sf), closure)
     flat = (F.col("i") * 10000 + F.col("j") * 100 + F.col("k")).cast("bigint")
     return (
@@ -146,7 +154,7 @@ def v08(spark, sf):
     select a.elder_id as id, count(v.i) as nb_voxels, count(v.i) * {GRID_DIM ** 3} :: double as volume
     from above a left join voxels v on v.region_id = a.id group by 1""")
 def v16(spark, sf):
-    return R.volumes(voxels(spark, sf), R.descendants(hierarchy(spark, sf)), GRID.voxel_volume)
+    return R.volumes(voxels(spark, sf), youths(spark, sf), GRID.voxel_volume)
 
 
 @shelf.add("v23_first_nested_region", f"""with recursive {CLOSURE},
@@ -163,7 +171,7 @@ def v23(spark, sf):
         .unionByName(table(spark, sf, "nation").filter("n_regionkey >= 2").select((100 + F.col("n_nationkey")).cast("bigint").alias("id")))
     )
     ask = regions.select("id").unionByName(table(spark, sf, "supplier").select((-F.col("s_suppkey")).alias("id")))
-    return R.first_nested(ask, known, R.ascendants(regions))
+    return R.first_nested(ask, known, elders(spark, sf))
 
 
 @shelf.add("e07_parent_and_children", f"""with {HIERARCHY_SQL}
@@ -367,9 +375,9 @@ shift as (select n.*, coalesce(c.n - 1, 0) as cuts,
 
 
 def _cut(spark, sf):
-    base = written(T.assign_sections(points(spark, sf)), "sectioned")
-    nodes, edges = T.nodes_and_edges(base)
-    return V.cut_edges(written(nodes, "nodes"), written(edges, "edges"), voxels(spark, sf), GRID, [M])
+    nodes, edges = T.nodes_and_edges(sectioned(spark, sf))
+    cut = V.cut_edges(written(nodes, "nodes"), written(edges, "edges"), voxels(spark, sf), GRID, [M])
+    return tuple(shared(spark, sf, f"cut-{n}", lambda t=t: t) for n, t in zip(("nodes", "edges"), cut))
 
 
 @shelf.add("v22_cut_nodes", f"""with recursive {CUT_SQL}
@@ -449,7 +457,7 @@ bound as materialized (select i, j, k,
 def boundary(spark, sf):
     from arborframe.operators.fields import boundary_vectors
 
-    return boundary_vectors(voxels(spark, sf), GRID, outside=0)
+    return shared(spark, sf, "boundary", lambda: boundary_vectors(voxels(spark, sf), GRID, outside=0))
 
 
 @shelf.add("v13_boundary_vectors", f"with {BOUNDARY_SQL} select i, j, k, {r6s('vx')} as vx, {r6s('vy')} as vy, {r6s('vz')} as vz from bound")
@@ -470,5 +478,5 @@ def v13(spark, sf):
 def v14(spark, sf):
     from arborframe.operators.fields import smooth_vectors
 
-    out = smooth_vectors(written(boundary(spark, sf), "boundary"))
+    out = smooth_vectors(boundary(spark, sf))
     return out.select(*IJK, *[r6(F.col(c), 5).alias(c) for c in ("vx", "vy", "vz")])

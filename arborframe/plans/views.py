@@ -6,11 +6,15 @@ engines can evaluate on the same parquet files; the DataFrame functions build th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from arborframe.functions.draws import uniform
-from arborframe.operators.core import numbered
+from arborframe.operators.core import numbered, scratch_path
+from arborframe.sources.tables import exists
 
 # Codes of the neurite types in point tables.
 SOMA, AXON, BASAL, APICAL = 1, 2, 3, 4
@@ -25,6 +29,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+_SHARED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def shared(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A prepared table that several queries start from, written once per session.
+
+    It is kept in the scratch folder and made again when its files are gone.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SHARED or not exists(spark, f"{_SHARED[key][0]}/_SUCCESS"):
+        path, df = scratch_path(spark, name), make()
+        df.write.parquet(path)
+        _SHARED[key] = (path, df.schema)
+    path, schema = _SHARED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget_shared() -> None:
+    """Make every prepared table again on next use, so that timings stand alone."""
+    _SHARED.clear()
+
+
 def r6(value: Column, digits: int = 6) -> Column:
     """Rounded double whose zero has no sign."""
     return F.round(value, digits) + F.lit(0.0)
