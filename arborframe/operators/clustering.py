@@ -255,19 +255,24 @@ def close_paths(
     at = nodes.select(*keys, F.col(node).alias("ancestor"), *geo.AXES)
     placed = path.join(at, [*keys, "ancestor"])
     box = placed.groupBy(*keys, "a", "b").agg(
-        *[(F.max(c) - F.min(c)).alias(f"_w{c}") for c in geo.AXES],
-        F.collect_list(F.struct(*geo.AXES)).alias("_path"),
+        *[(F.max(c) - F.min(c)).alias(f"_w{c}") for c in geo.AXES]
     )
     wide = F.greatest("_wx", "_wy", "_wz")
     diagonal = geo.norm([F.col("_wx"), F.col("_wy"), F.col("_wz")])
+    judged = written(
+        box.filter(wide <= limit).select(*keys, "a", "b", (diagonal <= limit).alias("_sure")),
+        "path-boxes",
+    )
+    open_paths = judged.filter(~F.col("_sure")).select(*keys, "a", "b")
 
     def apart(p: Column) -> Column:
         return F.exists("_path", lambda q: geo.distance([p["x"], p["y"], p["z"]], [q["x"], q["y"], q["z"]]) > limit)
 
-    keep = F.when(wide > limit, F.lit(False)).when(diagonal <= limit, F.lit(True)).otherwise(
-        ~F.exists("_path", apart)
+    listed = placed.join(open_paths, [*keys, "a", "b"]).groupBy(*keys, "a", "b").agg(
+        F.collect_list(F.struct(*geo.AXES)).alias("_path")
     )
-    return box.filter(keep).select(*keys, "a", "b")
+    narrow = listed.filter(~F.exists("_path", apart))
+    return judged.filter("_sure").select(*keys, "a", "b").unionByName(narrow.select(*keys, "a", "b"))
 
 
 def sphere_parent_clusters(

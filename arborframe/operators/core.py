@@ -162,6 +162,15 @@ def unit_slice(column: Column, pieces: int = 256) -> Column:
     return F.floor(column * F.lit(pieces))
 
 
+def with_range(df: DataFrame, order: Sequence[str], *, into: str = "_range") -> DataFrame:
+    """Rows with the number of their piece of a range partitioning, for any kind of order column.
+
+    The rows are written, so that the numbers stay what they are when a task is run again.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+    return written(ranged.withColumn(into, F.spark_partition_id()), "ranged")
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: str, into: str, *, start: int = 0
 ) -> DataFrame:

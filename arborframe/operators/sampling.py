@@ -168,17 +168,21 @@ def pick_targets(
 ) -> tuple[DataFrame, DataFrame]:
     """Bernoulli selection; an axon without any hit is drawn again, at most ``tries`` rounds.
 
-    All rounds' draws of a row are computed in place; the axon's round is the first in which any
-    of its rows hits.  Returns the selected rows and the axons that never hit.
+    A row's first hit is found in place, without drawing beyond it; the axon's round is the
+    first in which any of its rows hits, and the rows that hit in it are selected.  Returns the
+    selected rows and the axons that never hit.
     """
-    hits = [
-        F.when(uniform(*request, F.lit(f"try{t}")) <= F.col("target_probability"), F.lit(t))
-        for t in range(tries)
-    ]
-    rows = candidates.withColumn("_hits", F.array_compact(F.array(*hits)))
-    rounds = rows.groupBy(*AXON).agg(F.min(F.array_min("_hits")).alias("_round"))
-    joined = rows.join(rounds, list(AXON))
-    selected = joined.filter(F.array_contains("_hits", F.col("_round"))).drop("_hits", "_round")
+    first = F.coalesce(
+        *[
+            F.when(uniform(*request, F.lit(f"try{t}")) <= F.col("target_probability"), F.lit(t))
+            for t in range(tries)
+        ]
+    )
+    rows = candidates.withColumn("_hit", first)
+    rounds = rows.groupBy(*AXON).agg(F.min("_hit").alias("_round"))
+    selected = rows.filter(F.col("_hit").isNotNull()).join(
+        rounds.filter(F.col("_round").isNotNull()), list(AXON)
+    ).filter(F.col("_hit") == F.col("_round")).drop("_hit", "_round")
     return selected, rounds.filter(F.col("_round").isNull()).select(*AXON)
 
 

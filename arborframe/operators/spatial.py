@@ -314,6 +314,9 @@ def _descend(spark, member, todo, keys, limit, side, crowd) -> DataFrame:
 
 # --- nearest ------------------------------------------------------------------------------
 
+# Cells with more points than this bound a query by their box, not by listing the points.
+LISTED = 1024
+
 
 class Octree:
     """Cells of halving size over a point table, refined only where many points meet.
@@ -384,9 +387,9 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest points of the tree per query: (keys, node, near_id, distance, rank).
 
-    Queries walk down the cells; a cell is dropped as soon as ``k`` points are certain to lie
-    nearer than its box.  What a query holds at any level is a handful of cells.  Ties go to the
-    smaller id.
+    A query first walks down to one small cell, whose points bound the distance it has to look;
+    then it collects the leaves within that bound, which are a handful wherever it lies, and
+    compares their points.  Ties go to the smaller id.
     """
     keys = tree.keys
     need = k + (1 if skip_self else 0)
@@ -399,44 +402,67 @@ def nearest(
     )
     near, far = _box_gap("_q", "_b")
     carry = [*keys, "_qid", *[f"_q{a}{s}" for a in geo.AXES for s in "01"]]
-    cols = [*carry, "level", *CELL, "n", "is_leaf", "_near", "_far"]
-
-    def judged(df: DataFrame) -> DataFrame:
-        return df.withColumn("_near", near).withColumn("_far", far).select(*cols)
+    gap = geo.vector(["_qx0", "_qy0", "_qz0"], ["_px", "_py", "_pz"])
+    gap2 = geo.dot(gap, gap)
 
-    first = boxed.filter("level = 0").withColumn("_one", F.lit(1))
-    if not keys:
-        first = F.broadcast(first)  # one row
-    state = judged(q.withColumn("_one", F.lit(1)).join(first, [*keys, "_one"]))
-    by_query = Window.partitionBy(*keys, "_qid")
-    for level in range(1, tree.depth + 1):
+    def below(open_cells: DataFrame, level: int) -> DataFrame:
+        """Open cells (with their queries) replaced by their children."""
         children = boxed.filter(F.col("level") == level)
         if not keys and level <= 4:
             children = F.broadcast(children)  # at most 8**4 rows
-        split = state.filter(~F.col("is_leaf")).drop("level", "n", "is_leaf", "_near", "_far")
-        split = split.withColumnsRenamed({c: f"{c}_up" for c in CELL})
-        lower = judged(split.join(children, [*keys, *[f"{c}_up" for c in CELL]]))
-        merged = state.filter("is_leaf").unionByName(lower)
-        run = by_query.orderBy("_far", *CELL).rowsBetween(Window.unboundedPreceding, 0)
-        bound = F.min(F.when(F.col("_sum") >= need, F.col("_far"))).over(by_query)
-        state = (
-            merged.withColumn("_sum", F.sum("n").over(run)).withColumn("_bound", bound)
-            .filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-            .select(*cols)
-        )
+        up = open_cells.drop("level", "n", "is_leaf").withColumnsRenamed({c: f"{c}_up" for c in CELL})
+        return up.join(children, [*keys, *[f"{c}_up" for c in CELL]])
+
+    top = boxed.filter("level = 0").drop(*[f"{c}_up" for c in CELL]).withColumn("_one", F.lit(1))
+    if not keys:
+        top = F.broadcast(top)  # one row
+    start = q.withColumn("_one", F.lit(1)).join(top, [*keys, "_one"]).withColumn("_far", far)
+    cell = ["level", *CELL, "n", "is_leaf"]
+    one = start.select(*carry, *cell, "_far")
+    for level in range(1, tree.depth + 1):
+        lower = below(one.filter(~F.col("is_leaf")).drop("_far"), level).filter(F.col("n") >= need)
+        both = one.unionByName(lower.withColumn("_far", far).select(*one.columns))
+        # one row per query: the deepest cell with enough points, of these the one that bounds best
+        one = both.groupBy(*carry).agg(
+            F.max_by(F.struct(*cell, "_far"), F.struct("level", -F.col("_far"))).alias("_c")
+        ).select(*carry, "_c.*")
+        if level % 4 == 0:
+            one = written(one, "nearest-walk")
+    # the points of that cell give the bound; cells of the last level may be too full to list
+    small = one.filter((F.col("n") <= LISTED) & F.col("is_leaf"))
+    inside = small.join(tree.leaves, [*keys, "level", *CELL]).groupBy(*carry)
+    listed = F.sort_array(F.collect_list(gap2))
+    best = F.min(gap2) if need == 1 else F.element_at(listed, need)
+    bounds = inside.agg(best.alias("_bound"))
+    other = one.filter(~((F.col("n") <= LISTED) & F.col("is_leaf")))
+    # fewer points than wanted in the whole tree: everything is near enough
+    loose = F.when(F.col("n") >= need, F.col("_far")).otherwise(F.lit(float("inf")))
+    bounds = bounds.unionByName(other.select(*carry, loose.alias("_bound")))
+    bounds = written(bounds.withColumn("_bound", F.coalesce("_bound", F.lit(float("inf")))), "nearest-bounds")
+    state = bounds.withColumn("_one", F.lit(1)).join(top, [*keys, "_one"]).select(*carry, "_bound", *cell)
+    for level in range(1, tree.depth + 1):
+        lower = below(state.filter(~F.col("is_leaf")), level).filter(near <= F.col("_bound"))
+        state = state.filter("is_leaf").unionByName(lower.select(*state.columns))
         if level % 4 == 0:
-            state = written(state, "nearest")
+            state = written(state, "nearest-cells")
     met = state.join(tree.leaves, [*keys, "level", *CELL])
     if skip_self:
         met = met.filter(F.col("_pid") != F.col("_qid"))
-    gap = geo.distance(["_qx0", "_qy0", "_qz0"], ["_px", "_py", "_pz"])
-    rank = Window.partitionBy(*keys, "_qid").orderBy("distance", "_pid")
-    return (
-        met.withColumn("distance", gap)
-        .withColumn("rank", F.row_number().over(rank))
-        .filter(F.col("rank") <= k)
-        .select(*keys, F.col("_qid").alias(node), F.col("_pid").alias("near_id"), "distance",
-                "rank", F.col("_px").alias("near_x"), F.col("_py").alias("near_y"), F.col("_pz").alias("near_z"))
+    met = met.withColumn("_d2", gap2).filter(F.col("_d2") <= F.col("_bound")).withColumn(
+        "distance", F.sqrt("_d2")
+    )
+    row = F.struct("distance", "_pid", "_px", "_py", "_pz")
+    if k == 1:
+        found = met.groupBy(*keys, "_qid").agg(F.min(row).alias("_r")).withColumn("rank", F.lit(1))
+    else:
+        order = Window.partitionBy(*keys, "_qid").orderBy("distance", "_pid")
+        found = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+            *keys, "_qid", "rank", row.alias("_r")
+        )
+    return found.select(
+        *keys, F.col("_qid").alias(node), F.col("_r._pid").alias("near_id"),
+        F.col("_r.distance").alias("distance"), "rank",
+        *[F.col(f"_r._p{a}").alias(f"near_{a}") for a in geo.AXES],
     )
 
 
