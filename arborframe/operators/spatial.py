@@ -438,19 +438,19 @@ def nearest(
     # fewer points than wanted in the whole tree: everything is near enough
     loose = F.when(F.col("n") >= need, F.col("_far")).otherwise(F.lit(float("inf")))
     bounds = bounds.unionByName(other.select(*carry, loose.alias("_bound")))
-    bounds = written(bounds.withColumn("_bound", F.coalesce("_bound", F.lit(float("inf")))), "nearest-bounds")
+    # compared as distances, since unequal squares can have equal roots and then the id decides
+    bound = F.coalesce(F.sqrt("_bound"), F.lit(float("inf")))
+    bounds = written(bounds.withColumn("_bound", bound), "nearest-bounds")
     state = bounds.withColumn("_one", F.lit(1)).join(top, [*keys, "_one"]).select(*carry, "_bound", *cell)
     for level in range(1, tree.depth + 1):
-        lower = below(state.filter(~F.col("is_leaf")), level).filter(near <= F.col("_bound"))
+        lower = below(state.filter(~F.col("is_leaf")), level).filter(F.sqrt(near) <= F.col("_bound"))
         state = state.filter("is_leaf").unionByName(lower.select(*state.columns))
         if level % 4 == 0:
             state = written(state, "nearest-cells")
     met = state.join(tree.leaves, [*keys, "level", *CELL])
     if skip_self:
         met = met.filter(F.col("_pid") != F.col("_qid"))
-    met = met.withColumn("_d2", gap2).filter(F.col("_d2") <= F.col("_bound")).withColumn(
-        "distance", F.sqrt("_d2")
-    )
+    met = met.withColumn("distance", F.sqrt(gap2)).filter(F.col("distance") <= F.col("_bound"))
     row = F.struct("distance", "_pid", "_px", "_py", "_pz")
     if k == 1:
         found = met.groupBy(*keys, "_qid").agg(F.min(row).alias("_r")).withColumn("rank", F.lit(1))
