@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only in local mode, where every task sees the same disk.
+    Where the session names none, it is a folder below the warehouse, the storage that the
+    session itself was given.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="arborframe-", dir="/tmp")
-    return _LOCAL_SCRATCH[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -46,6 +38,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later read needs."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target.getFileSystem(conf).delete(target, True)
+
+
 class Rounds:
     """Cuts lineage once per round and removes the tables of rounds before the last one."""
 
@@ -90,10 +89,7 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _remove(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+        removed(self.spark, path)
 
 
 def accumulate(
