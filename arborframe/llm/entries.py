@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arborframe.llm import fertility, packing, token_cache
+from arborframe.llm import decontaminate, fertility, packing, secrets, token_cache
 from arborframe.operators.core import scratch_path
 from arborframe.plans.registry import Shelf
 from arborframe.plans.views import table
@@ -43,3 +43,14 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return fertility.judged(
         fertility.measures(docs, public_tokenizers.path("piece_bpe_32k.model"))
     )
+
+
+@shelf.add("op4_secret_scan", secrets.oracle())
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digest(table(spark, sf, "documents"))
+
+
+@shelf.add("op6_decontamination", decontaminate.ORACLE)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    return decontaminate.contamination(docs, items).drop("rid")
