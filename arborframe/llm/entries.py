@@ -5,7 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arborframe.llm import decontaminate, fertility, packing, secrets, token_cache
+from arborframe.llm import (
+    decontaminate,
+    fertility,
+    packing,
+    pairwise_quality,
+    secrets,
+    sentence_toxicity,
+    token_cache,
+)
 from arborframe.operators.core import scratch_path
 from arborframe.plans.registry import Shelf
 from arborframe.plans.views import table
@@ -21,6 +29,16 @@ def oracles() -> dict:
     return dict(shelf.oracles)
 
 
+@shelf.add("op1_pairwise_quality")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return pairwise_quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@shelf.add("op2_sentence_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @shelf.add("op3_best_fit_packing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
