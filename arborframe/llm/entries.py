@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arborframe.llm import (
     decontaminate,
     fertility,
+    jaccard_regions,
     packing,
     pairwise_quality,
     secrets,
@@ -72,3 +73,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     return decontaminate.contamination(docs, items).drop("rid")
+
+
+@shelf.add("op10_jaccard_join", jaccard_regions.ORACLE)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_regions.linked_components(table(spark, sf, "documents"))
