@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from arborframe.llm import (
+    backoff,
     decontaminate,
     fertility,
     jaccard_regions,
@@ -46,6 +47,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@shelf.add("op5_stupid_backoff")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return backoff.scored(table(spark, sf, "documents"), order=2)
+
+
 @shelf.add("op7_token_counts")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Starts from an empty cache of its own, so that every distinct text is encoded."""
