@@ -12,6 +12,7 @@ from arborframe.llm import (
     jaccard_regions,
     packing,
     pairwise_quality,
+    runlength,
     secrets,
     sentence_toxicity,
     token_cache,
@@ -84,3 +85,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @shelf.add("op10_jaccard_join", jaccard_regions.ORACLE)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_regions.linked_components(table(spark, sf, "documents"))
+
+
+@shelf.add("op9_run_length_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return runlength.digest(table(spark, sf, "documents"))
