@@ -120,6 +120,12 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     )
 
 
+def row_digest(id_col: str, text_col: str) -> Column:
+    """A name for rows of one id and one text."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("~"))
+    return F.unhex(F.md5(F.concat(name, F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def hits(
     docs: DataFrame, items: DataFrame, *, window: int = 13, gram: int = 5,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -134,10 +140,9 @@ def hits(
     an item with a NULL id hits words but is not listed.  Empty tables give no hits.
     """
     own = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        row_digest(id_col, text_col).alias("rid"),
     )
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit("|"), "text")
-    own = own.withColumn("rid", F.unhex(F.md5(name)))
     runs = written(
         item_windows(
             items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")),
@@ -213,6 +218,18 @@ def contamination(docs: DataFrame, items: DataFrame, *, share: int = 20, **optio
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, *, share: int = 20, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = contamination(docs, items, share=share, **options)
+    bad = written(found.filter("contaminated").select("rid").distinct(), "contaminated")
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        row_digest(options.get("id_col", "doc_id"), options.get("text_col", "text")).alias("rid"),
+    )
+    kept = own.join(bad, "rid", "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
 ORACLE = r"""
 with doc as (
   select row_number() over () as r, doc_id, list_filter(string_split_regex(

@@ -1,12 +1,71 @@
-"""A corpus pipeline in stages; each takes the documents that the one before it kept."""
+"""A corpus pipeline in stages; each works on all documents that the one before it kept.
+
+Every stage takes ``(spark, docs, sf_dir)``, with ``docs`` shaped like ``documents``, and returns
+such rows; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborframe.llm import decontaminate, jaccard_regions, packing, pairwise_quality, secrets
+from arborframe.operators.core import written
+from arborframe.plans.views import table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking puts above its threshold."""
+    model = pairwise_quality.learn(docs, table(spark, sf_dir, "labels"))
+    scored = pairwise_quality.scored(docs, model, into="_quality")
+    return scored.filter(F.col("_quality") >= 0.5).drop("_quality")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of every group of near duplicates; of a repeated row, one.
+
+    Documents without words and rows without an id stay.
+    """
+    found = jaccard_regions.linked_components(docs.select("doc_id", "text"))
+    later = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(written(later, "near-copies"), "doc_id", "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words fewer than one in twenty lie in passages of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of every secret."""
+    out = secrets.redacted(secrets.scan(docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
+]
 
-STAGES: list = []
+#: The first stage learns a model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages one after the other; each one's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
