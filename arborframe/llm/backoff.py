@@ -144,7 +144,7 @@ def _scores(docs: pa.Table, told: pa.Table, order: int) -> pa.Table:
         backed += missed
     unseen = open_ & (others[0] <= 0)
     log[open_] += np.log(np.maximum(others[0][open_], 0.5) / (rest[open_] + 1))
-    total = np.bincount(grams.doc, weights=log, minlength=n_docs)
+    total = np.bincount(grams.doc, weights=log, minlength=n_docs).astype(np.float64)
     sums = [np.bincount(grams.doc, weights=x, minlength=n_docs).astype(np.int64) for x in (backed > 0, unseen)]
     mean = total / np.maximum(grams.sizes, 1)
     return pa.table(

@@ -1,0 +1,149 @@
+"""Secret scan and decontamination against plain Python."""
+
+import hashlib
+import re
+
+from arborframe.llm import decontaminate, secrets
+
+from . import messy
+
+KEY = "AKIA" + "Q7" * 8
+ROWS = messy.texts() + [
+    (100, f"password = 'hunter22x' and {KEY} then {'0af' * 9}"),
+    (101, "token=token=abcdefgh password=token:abcdefg"),
+    (102, "PassWord: short SECRET==abc/def+ghi= api-key=xyzxyz apikey = \"aaaaaa\""),
+    (103, f"🙂é {KEY[:-1]} {KEY} {'a' * 23} {'a' * 24}{'g'}{'b' * 40}"),
+    (104, "ſecret=abcdefghi toKen=abcdefghi"),
+    (105, f"secret={'f' * 30}"), (106, f"secret={'f' * 30}"), (None, f"secret={'f' * 30}"),
+    (107, "gh" + "p_" + "z" * 36 + " xox" + "b-1234567890-ab eyJ" + "q" * 9 + ".bbbbbbbbb.ccccccccc"),
+    (108, "-----BEGIN RSA PRIVATE KEY-----"), (109, "api_key" * 400 + "=" + "k" * 5000),
+]
+BASE = [
+    ("assign", re.compile(
+        r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    ), 2, 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+]
+
+
+def base_spans(text):
+    found = []
+    for k, (name, pattern, group, least) in enumerate(BASE):
+        for m in pattern.finditer(text or ""):
+            if len(m[group]) >= least:
+                found.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(found)], [sum(k == i for _, i, _ in found) for k in range(3)]
+
+
+def test_base_spans_and_digest(spark):
+    got = secrets.digest(messy.table(spark, ROWS)).collect()
+    want = []
+    for doc, text in ROWS:
+        spans, counts = base_spans(text)
+        want.append((doc, *counts, hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[4])
+    assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
+    by = {r["doc_id"]: r["spans"] for r in got}
+    assert by[107].count(":") == 6 and by[107].startswith("github:0:40,slack:")
+    assert by[108] == "private_key:0:31"
+    assert secrets.digest(messy.empty(spark)).count() == 0
+
+
+def test_trigram_queries():
+    clauses = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
+    assert clauses["access"] == {frozenset({"aki", "kia"})}
+    assert clauses["hex"] == secrets.ANY
+    assert frozenset({"tok", "oke", "ken"}) in clauses["assign"] and len(clauses["assign"]) == 6
+    assert secrets.trigram_query("(abcd|xyz)+[0-9]") == {
+        frozenset({"abc", "bcd"}), frozenset({"xyz"})
+    }
+    assert secrets.trigram_query("(abc)?x") == secrets.ANY
+    assert secrets.trigram_query("a{3}b*cde") == {frozenset({"aaa", "cde"})}
+
+
+def test_queries_hold_for_every_match():
+    for rule in secrets.RULES:
+        query = secrets.trigram_query(rule.pattern)
+        for _, text in ROWS:
+            if text and re.search(rule.pattern, text):
+                assert any(all(t in text.lower() for t in c) for c in query)
+
+
+def test_redaction_keeps_the_rest(spark):
+    docs = messy.table(spark, ROWS)
+    got = secrets.redacted(secrets.scan(docs)).collect()
+    assert len(got) == len(ROWS)
+    by = {r["doc_id"]: r["text"] for r in got if r["doc_id"] is not None}
+    assert by[100] == "[SECRET]' and [SECRET] then [SECRET]"
+    assert by[50] is None and by[51] == "" and by[53] == "one"
+    assert by[105] == by[106] == "[SECRET]"
+    assert set(got[0].asDict()) == set(docs.columns) - {"secret_spans"}
+
+
+def plain_contamination(docs, items, size=13):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans(decontaminate.UPPER, decontaminate.LOWER)
+    cut = lambda t: word.findall((t or "").translate(lower))
+    windows = {}
+    for item, text in items:
+        w = cut(text)
+        n = min(size, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(item)
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc, text in docs:
+        w, hit, met = cut(text), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                found = windows.get(tuple(w[i : i + n]))
+                if found:
+                    hit |= set(range(i, i + n))
+                    met |= found
+        names = sorted(str(i) for i in met if i is not None)
+        out.append((
+            doc, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(),
+            len(hit) > 0 and 20 * len(hit) >= len(w),
+        ))
+    return out
+
+
+ITEMS = [
+    (1, " ".join(f"Word{i}" for i in range(30))), (2, " ".join(f"word{i}" for i in range(10, 40))),
+    (3, "short one here"), (4, "Single"), (5, None), (6, " .. "), (None, "nobody owns this passage"),
+    (7, "ha " * 20), (8, "é" * 3 + " a b c d e f g h i j k l"), (1, "word1 again"),
+]
+CONTAMINATED = messy.texts() + [
+    (200, "x y z " + " ".join(f"WORD{i}" for i in range(5, 25)) + " end"),
+    (201, " ".join(f"word{i}" for i in range(12))), (202, " ".join(f"word{i}," for i in range(13))),
+    (203, "a short one here. single"), (204, "nobody  owns\nthis passage ever"),
+    (205, "ÉÉÉ a b c d e f g h i j k l"), (206, "ééé A b c d e f g h i j k l"),
+    (207, " ".join(f"w{i}" for i in range(400)) + " " + ITEMS[0][1]),
+]
+
+
+def test_contamination(spark):
+    items = spark.createDataFrame(
+        [(i, t, "x", 1) for i, t in ITEMS], "item_id long, text string, words string, run long"
+    )
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    docs = messy.table(spark, CONTAMINATED)
+    got = decontaminate.contamination(docs, items).drop("rid")
+    want = sorted(plain_contamination(CONTAMINATED, ITEMS), key=key)
+    assert sorted(map(tuple, got.collect()), key=key) == want
+    longer = [i for i in ITEMS if i[1] is None or len(i[1].split()) >= 13]
+    got = decontaminate.contamination(docs, items.filter("size(split(text, ' ')) >= 13 or text is null"))
+    assert sorted(map(tuple, got.drop("rid").collect()), key=key) == sorted(
+        plain_contamination(CONTAMINATED, longer), key=key
+    )
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and kept.count() == sum(not r[5] for r in want)
+
+
+def test_empty_sides(spark):
+    items = spark.createDataFrame([], "item_id long, text string")
+    got = decontaminate.contamination(messy.table(spark), items).collect()
+    assert len(got) == len(messy.texts()) and not any(r["contaminated"] for r in got)
+    some = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontaminate.contamination(messy.empty(spark), some).count() == 0
