@@ -203,7 +203,7 @@ def nearest_edges(nodes: DataFrame, keys: Sequence[str], *, k: int) -> DataFrame
     (keys, from, to, x_from .. z_to, length) with from < to.
     """
     keys = list(keys)
-    near = nearest(nodes, Octree(nodes, keys), k=k, skip_self=True)
+    near = nearest(nodes, Octree(nodes, keys, most=k + 1), k=k, skip_self=True)
     pairs = near.select(
         *keys, F.least("id", "near_id").alias("from"), F.greatest("id", "near_id").alias("to")
     ).distinct()

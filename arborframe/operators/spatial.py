@@ -314,27 +314,69 @@ def _descend(spark, member, todo, keys, limit, side, crowd) -> DataFrame:
 
 # --- nearest ------------------------------------------------------------------------------
 
-# Cells with more points than this bound a query by their box, not by listing the points.
-LISTED = 1024
-
-
 class Octree:
     """Cells of halving size over a point table, refined only where many points meet.
 
-    Points with equal coordinates count once, under their smallest id.
+    Points with equal coordinates are one place, which keeps the smallest ``most`` of their ids:
+    no search for ``most`` neighbours, the point itself included, can use more.
 
     ``pyramid`` has (keys, level, cell, parent cell, n, tight box, is_leaf); ``leaves`` has the
-    distinct points with the leaf that holds them.  Both are written tables.
+    places with their ids and the leaf that holds them.  Both are written tables.
     """
 
-    MAX_LEVEL = 20
+    # Levels made in one pass; cells that are still crowded after them are measured anew.
+    PASS = (20, 10)
 
-    def __init__(self, points: DataFrame, keys: Sequence[str], *, node: str = "id", leaf: int = 32):
+    def __init__(
+        self, points: DataFrame, keys: Sequence[str], *, node: str = "id", leaf: int = 32,
+        most: int = 1,
+    ):
         self.keys = list(keys)
+        self.most = most
         keys = self.keys
-        top = self.MAX_LEVEL
-        one = points.groupBy(*keys, *geo.AXES).agg(F.min(node).alias("_pid"))
-        span = points.groupBy(*keys).agg(*_box("_e"))
+        if most == 1:
+            one = points.groupBy(*keys, *geo.AXES).agg(F.array(F.min(node)).alias("_pids"))
+        else:
+            place = Window.partitionBy(*keys, *geo.AXES).orderBy(node)
+            one = (
+                points.withColumn("_nth", F.row_number().over(place))
+                .filter(F.col("_nth") <= most)
+                .groupBy(*keys, *geo.AXES)
+                .agg(F.sort_array(F.collect_list(node)).alias("_pids"))
+            )
+        layers, leaves, base = [], [], 0
+        pending = one.withColumn("_root", F.lit(0).cast("bigint"))
+        roots = None
+        while True:
+            top = self.PASS[0 if roots is None else 1]
+            cells, places, crowded = self._layer(pending, roots, base, top, leaf)
+            layers.append(cells)
+            leaves.append(places)
+            if crowded.isEmpty():
+                break
+            # a cell of the last level becomes the root of a tree over its own, smaller box
+            roots = written(
+                crowded.withColumn("_next", F.monotonically_increasing_id()), "octree-roots"
+            )
+            at = [F.col("_root") * F.lit(2**top) + F.col(CELL[0]), *[F.col(c) for c in CELL[1:]]]
+            pending = (
+                self._coded.select(*keys, "_pids", *geo.AXES, *[c.alias(n) for c, n in zip(at, CELL)])
+                .join(roots.select(*keys, *CELL, F.col("_next").alias("_root")), [*keys, *CELL])
+                .drop(*CELL)
+            )
+            base += top + 1
+        self.pyramid, self.leaves = layers[0], leaves[0]
+        for cells, places in zip(layers[1:], leaves[1:]):
+            self.pyramid = self.pyramid.unionByName(cells)
+            self.leaves = self.leaves.unionByName(places)
+        self.depth = self.pyramid.agg(F.max("level")).first()[0] or 0
+
+    def _layer(
+        self, points: DataFrame, roots: DataFrame | None, base: int, top: int, leaf: int
+    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """``top`` levels below each root: their cells, the places of leaves, and crowded ends."""
+        keys = self.keys
+        span = points.groupBy(*keys, "_root").agg(*_box("_e"))
         wide = F.greatest(*[F.col(f"_e{a}1") - F.col(f"_e{a}0") for a in geo.AXES])
         wide = F.when(wide > 0, wide).otherwise(F.lit(1.0))
         code = [
@@ -344,41 +386,62 @@ class Octree:
             ).alias(c)
             for a, c in zip(geo.AXES, CELL)
         ]
-        placed = one.join(span, keys) if keys else one.withColumns(
-            {f"_e{a}{n}": span.select(f"_e{a}{n}").scalar() for a in geo.AXES for n in "01"}
+        if keys or roots is not None:
+            placed = points.join(span, [*keys, "_root"])
+        else:
+            placed = points.withColumns(
+                {f"_e{a}{n}": span.select(f"_e{a}{n}").scalar() for a in geo.AXES for n in "01"}
+            )
+        coded = written(
+            placed.select(*keys, "_root", "_pids", *geo.AXES, *code), "octree-points"
         )
-        coded = written(placed.select(*keys, "_pid", *geo.AXES, *code), "octree-points")
+        self._coded = coded
 
         def at(level: Column) -> list[Column]:
             shift = F.pow(F.lit(2.0), F.lit(top) - level).cast("bigint")
-            return [F.floor(F.col(c) / shift).alias(c) for c in CELL]
-
-        spread = coded.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
-        counted = spread.select(*keys, "level", *at(F.col("level")), *geo.AXES).groupBy(
-            *keys, "level", *CELL
+            # cells of different roots differ in the first number
+            first = F.col("_root") * F.pow(F.lit(2.0), level).cast("bigint")
+            return [
+                (F.floor(F.col(c) / shift) + (first if c == CELL[0] else F.lit(0))).alias(c)
+                for c in CELL
+            ]
+
+        spread = coded.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top))))
+        counted = spread.select(*keys, "_root", "_l", *at(F.col("_l")), *geo.AXES).groupBy(
+            *keys, "_root", "_l", *CELL
         ).agg(F.count(F.lit(1)).alias("n"), *_box())
         counted = written(counted, "octree-counts")
         above = counted.filter(F.col("n") > leaf).select(
-            *keys, (F.col("level") + 1).alias("level"), *[F.col(c).alias(f"{c}_up") for c in CELL]
+            *keys, (F.col("_l") + 1).alias("_l"), *[F.col(c).alias(f"{c}_up") for c in CELL]
         )
         ups = [F.floor(F.col(c) / 2).alias(f"{c}_up") for c in CELL]
         cells = counted.select("*", *ups)
-        kept = cells.filter("level = 0").unionByName(
-            cells.filter("level > 0").join(above, [*keys, "level", *[f"{c}_up" for c in CELL]], "left_semi")
+        first = cells.filter("_l = 0")
+        if roots is not None:
+            first = first.drop(*[f"{c}_up" for c in CELL]).join(
+                roots.select(*keys, F.col("_next").alias("_root"), *[F.col(c).alias(f"{c}_up") for c in CELL]),
+                [*keys, "_root"],
+            ).select(*cells.columns)
+        kept = first.unionByName(
+            cells.filter("_l > 0").join(above, [*keys, "_l", *[f"{c}_up" for c in CELL]], "left_semi")
             .select(*cells.columns)
         )
-        self.pyramid = written(
-            kept.withColumn("is_leaf", (F.col("n") <= leaf) | (F.col("level") == top)), "octree"
+        pyramid = written(
+            kept.withColumn("is_leaf", F.col("n") <= leaf)
+            .withColumn("level", F.col("_l") + F.lit(base)), "octree"
         )
-        self.depth = self.pyramid.agg(F.max("level")).first()[0] or 0
-        ends = self.pyramid.filter("is_leaf").select(*keys, "level", *CELL)
-        deep = coded.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(self.depth))))
-        self.leaves = written(
-            deep.select(*keys, "_pid", *[F.col(a).alias(f"_p{a}") for a in geo.AXES], "level",
-                        *at(F.col("level")))
-            .join(ends, [*keys, "level", *CELL], "left_semi"),
+        depth = pyramid.agg(F.max("_l")).first()[0] or 0
+        ends = pyramid.filter("is_leaf").select(*keys, "_l", *CELL)
+        deep = coded.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+        places = written(
+            deep.select(*keys, "_pids", *[F.col(a).alias(f"_p{a}") for a in geo.AXES], "_l",
+                        *at(F.col("_l")))
+            .join(ends, [*keys, "_l", *CELL], "left_semi")
+            .withColumn("level", F.col("_l") + F.lit(base)).drop("_l"),
             "octree-leaves",
         )
+        crowded = pyramid.filter((F.col("_l") == top) & ~F.col("is_leaf")).select(*keys, *CELL)
+        return pyramid.drop("_l", "_root"), places, crowded
 
 
 def nearest(
@@ -389,10 +452,13 @@ def nearest(
 
     A query first walks down to one small cell, whose points bound the distance it has to look;
     then it collects the leaves within that bound, which are a handful wherever it lies, and
-    compares their points.  Ties go to the smaller id.
+    compares their points.  Ties go to the smaller id.  A group with fewer points than wanted
+    gives all it has.
     """
     keys = tree.keys
     need = k + (1 if skip_self else 0)
+    if need > tree.most:
+        raise ValueError(f"the tree keeps {tree.most} ids of a place, the search needs {need}")
     q = queries.select(*keys, F.col(node).alias("_qid"), *[F.col(c).alias(f"_q{a}0") for c, a in zip(coords, geo.AXES)])
     for a in geo.AXES:
         q = q.withColumn(f"_q{a}1", F.col(f"_q{a}0"))
@@ -428,13 +494,13 @@ def nearest(
         ).select(*carry, "_c.*")
         if level % 4 == 0:
             one = written(one, "nearest-walk")
-    # the points of that cell give the bound; cells of the last level may be too full to list
-    small = one.filter((F.col("n") <= LISTED) & F.col("is_leaf"))
+    # the points of a leaf give the bound, and so does the box of a cell around smaller leaves
+    small = one.filter("is_leaf")
     inside = small.join(tree.leaves, [*keys, "level", *CELL]).groupBy(*carry)
     listed = F.sort_array(F.collect_list(gap2))
-    best = F.min(gap2) if need == 1 else F.element_at(listed, need)
+    best = F.min(gap2) if need == 1 else F.get(listed, F.lit(need - 1))
     bounds = inside.agg(best.alias("_bound"))
-    other = one.filter(~((F.col("n") <= LISTED) & F.col("is_leaf")))
+    other = one.filter(~F.col("is_leaf"))
     # fewer points than wanted in the whole tree: everything is near enough
     loose = F.when(F.col("n") >= need, F.col("_far")).otherwise(F.lit(float("inf")))
     bounds = bounds.unionByName(other.select(*carry, loose.alias("_bound")))
@@ -448,9 +514,10 @@ def nearest(
         if level % 4 == 0:
             state = written(state, "nearest-cells")
     met = state.join(tree.leaves, [*keys, "level", *CELL])
+    met = met.withColumn("distance", F.sqrt(gap2)).filter(F.col("distance") <= F.col("_bound"))
+    met = met.withColumn("_pid", F.explode("_pids"))
     if skip_self:
         met = met.filter(F.col("_pid") != F.col("_qid"))
-    met = met.withColumn("distance", F.sqrt(gap2)).filter(F.col("distance") <= F.col("_bound"))
     row = F.struct("distance", "_pid", "_px", "_py", "_pz")
     if k == 1:
         found = met.groupBy(*keys, "_qid").agg(F.min(row).alias("_r")).withColumn("rank", F.lit(1))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from arborframe.functions.draws import uniform
@@ -66,7 +67,7 @@ def test_close_components_by_descent(spark):
 def test_nearest_in_and_without_groups(spark):
     pts = cloud(3, 160, blob=40)
     df = frame(spark, pts)
-    got = S.nearest(df, S.Octree(df, ["grp"], leaf=4), k=3, skip_self=True).collect()
+    got = S.nearest(df, S.Octree(df, ["grp"], leaf=4, most=4), k=3, skip_self=True).collect()
     for p in pts:
         near = sorted((d2(p, q) ** 0.5, q[0]) for q in pts if q[1] == p[1] and q[0] != p[0])[:3]
         mine = sorted((r["rank"], r.near_id) for r in got if r.id == p[0])
@@ -77,6 +78,53 @@ def test_nearest_in_and_without_groups(spark):
         assert abs(far[p[0]] - min(d2(p, q) for q in pts) ** 0.5) < 1e-9
 
 
+def nearest_by_hand(pts, k):
+    out = {}
+    for p in pts:
+        near = sorted((d2(p, q) ** 0.5, q[0]) for q in pts if q[1] == p[1] and q[0] != p[0])
+        out[p[0]] = [i for _, i in near[:k]]
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_nearest_with_coincident_points_and_small_groups(spark, k):
+    pts = [(i, "one place", 1.0, 2.0, 3.0) for i in range(40)]
+    pts += [(50, "pair", 0.0, 0.0, 0.0), (51, "pair", 1.0, 0.0, 0.0), (52, "alone", 0.0, 0.0, 0.0)]
+    pts += [(60 + i, "three", 1.0 if i < 3 else 49.0, 0.0, 0.0) for i in range(4)]
+    pts += [(70, "three", 0.0, 0.0, 0.0)]
+    for n in range(1, k + 3):
+        pts += [(100 * n + i, f"of {n}", float(i * i), 0.0, 0.0) for i in range(n)]
+    df = frame(spark, pts)
+    got = {}
+    for r in S.nearest(df, S.Octree(df, ["grp"], leaf=2, most=k + 1), k=k, skip_self=True).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.near_id))
+    want = nearest_by_hand(pts, k)
+    assert {i: [n for _, n in sorted(found)] for i, found in got.items()} == {
+        i: near for i, near in want.items() if near
+    }
+
+
+def test_nearest_with_far_outliers(spark):
+    """Two blobs, each far smaller than the last level of a tree over all of them, and an outlier."""
+    draw = random.Random(6)
+    pts = [(i, "g", *[draw.random() for _ in "xyz"]) for i in range(120)]
+    pts += [(200 + i, "g", 3e7 + draw.random(), draw.random(), 0.5) for i in range(60)]
+    pts += [(900, "g", 1e9, 1e9, -1e9)]
+    df = frame(spark, pts)
+    tree = S.Octree(df, ["grp"], leaf=4, most=3)
+    assert tree.depth > S.Octree.PASS[0]
+    assert tree.pyramid.filter("is_leaf").selectExpr("max(n)").first()[0] <= 4
+    assert tree.pyramid.filter("is_leaf").selectExpr("sum(n)").first()[0] == len(pts)
+    got = {}
+    for r in S.nearest(df, tree, k=2, skip_self=True).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.near_id))
+    assert {i: [n for _, n in sorted(found)] for i, found in got.items()} == nearest_by_hand(pts, 2)
+    asks = frame(spark, [(i, "g", draw.random() * 4e7, 0.0, 0.0) for i in range(20)])
+    far = {r.id: r.distance for r in S.nearest_distance(asks, df).collect()}
+    for p in asks.collect():
+        assert abs(far[p[0]] - min(d2(p, q) for q in pts) ** 0.5) < 1e-6
+
+
 def test_thinning_equals_the_greedy_walk(spark):
     pts = cloud(5, 150, blob=30)
     df = frame(spark, pts)
