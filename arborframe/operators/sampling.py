@@ -77,7 +77,10 @@ def combine_existing_axons(cells: DataFrame, existing: DataFrame) -> DataFrame:
     existing axons replace the rows of their morphology.
     """
     src = geo.triple("source_")
-    per_cell = cells.drop("grafting_section_id", *src, "rebuilt_existing_axon_id").dropDuplicates(["morphology"])
+    rest = cells.drop("morphology", "grafting_section_id", *src, "rebuilt_existing_axon_id").columns
+    per_cell = cells.groupBy("morphology").agg(F.min(F.struct(*rest)).alias("_cell")).select(
+        "morphology", "_cell.*"
+    ) if rest else cells.select("morphology").distinct()
     if "rebuilt_existing_axon_id" in cells.columns:
         known = existing.select("morphology", F.col("axon_id").alias("rebuilt_existing_axon_id"))
         asked = cells.select("morphology", "rebuilt_existing_axon_id").distinct()
@@ -122,9 +125,13 @@ def map_populations(
     )
     options = populations.withColumnRenamed("brain_region_id", "_region")
     keys = ["_region"]
-    once = cells.select("morphology", "source_brain_region_id", *geo.AXES).dropDuplicates(
-        ["morphology", "source_brain_region_id"]
-    ).join(deepest, "source_brain_region_id")
+    # of a cell's several points in a region, the first in the order of the coordinates decides
+    once = (
+        cells.groupBy("morphology", "source_brain_region_id")
+        .agg(F.min(F.struct(*geo.AXES)).alias("_at"))
+        .select("morphology", "source_brain_region_id", "_at.*")
+        .join(deepest, "source_brain_region_id")
+    )
     if hemisphere is not None:
         once = once.withColumn("hemisphere", hemisphere)
         keys = ["_region", "hemisphere"]
@@ -229,16 +236,23 @@ def terminal_ids(rows: DataFrame, order: Sequence[str], *, slice_by: Column) ->
 
 
 def merge_close_targets(targets: DataFrame, precision: float | None) -> DataFrame:
-    """Targets of an axon that hang together within the precision share the smallest id."""
+    """Targets of an axon that hang together within the precision share the smallest id.
+
+    A target without a position keeps its own id.
+    """
     if precision is None:
         return targets
-    pts = targets.select(
+    placed = targets
+    for a in geo.AXES:
+        placed = placed.filter(F.col(f"target_{a}").isNotNull())
+    pts = placed.select(
         *AXON, F.col("terminal_id").alias("id"),
         *[F.col(f"target_{a}").alias(a) for a in geo.AXES],
     )
     labels = close_components(pts, AXON, precision).withColumnRenamed("id", "terminal_id")
-    return targets.join(labels, [*AXON, "terminal_id"]).drop("terminal_id").withColumnRenamed(
-        "component", "terminal_id"
+    return (
+        targets.join(labels, [*AXON, "terminal_id"], "left")
+        .withColumn("terminal_id", F.coalesce("component", "terminal_id")).drop("component")
     )
 
 

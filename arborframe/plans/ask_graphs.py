@@ -124,14 +124,28 @@ def g07(spark, sf):
     return nodes(spark, sf).select(M, "id", "provider", "is_terminal", "terminal_id", r6(F.col("x")).alias("x"))
 
 
-@shelf.add("g07_filled_graphs", f"""with {START_SQL}, few as materialized (select * from nodes where provider = 'source' or provider = 'target' and terminal_id <= 6),
+@shelf.add("g07_filled_graphs", f"""with {START_SQL},
+    small as (select morphology || '/' || (terminal_id // 8) as morphology, point_id as o, x, y, z, sx from (select *, point_id as terminal_id from targets)),
+    few as materialized (select morphology, row_number() over (partition by morphology order by rk, o) - 1 as id, rk, x, sx
+      from (select distinct morphology, 0 as rk, 1 as o, sx as x, sx from small union all select morphology, 1, o, x, sx from small)),
+    spot as (select f.morphology, f.id, f.rk, f.x, f.sx, s.y, s.z, q.sy, q.sz from few f left join small s on s.morphology = f.morphology and f.rk = 1 and s.x = f.x
+      join srcs q on q.morphology = split_part(f.morphology, '/', 1)),
     cn as (select morphology, count(*) as n from few group by 1),
-    fills as (select f.morphology, f.id, n, unnest(generate_series(1, 5 - n)) as step, f.x, sx from few f join cn using (morphology) join srcs using (morphology) where n < 5 and f.provider <> 'source'),
+    away as (select distinct morphology, id from spot where rk = 1 and not (x = sx and y = sy and z = sz)),
+    fills as (select f.morphology, f.id, n, unnest(generate_series(1, 5 - n)) as step, f.x, f.sx from few f join cn using (morphology) join away using (morphology, id) where n < 5),
     allf as (select morphology, id as o, x from few union all select morphology, n + id * 5 + step, sx + (x - sx) * (step / (5 - n + 1)::double) from fills)
     select morphology, row_number() over (partition by morphology order by o) - 1 as id, {r6s('x')} as x from allf""")
 def g07_fill(spark, sf):
-    few = nodes(spark, sf).filter("provider = 'source' or provider = 'target' and terminal_id <= 6")
-    return G.fill_small_graphs(few, [M]).select(M, "id", r6(F.col("x")).alias("x"))
+    """Small graphs of all targets: a source with those of its targets that share eight ids."""
+    _, src, targets = start(spark, sf)
+    unit = F.concat(F.col(M), F.lit("/"), F.floor(F.col("id") / 8).cast("string"))
+    goal = targets.select(
+        unit.alias(M), F.col("id").alias("order"), "x", "y", "z", F.col("id").alias("terminal_id"),
+        *[f"source_{a}" for a in "xyz"],
+    )
+    own = goal.select(M, F.lit(1).alias("order"), *[F.col(f"source_{a}").alias(a) for a in "xyz"]).distinct()
+    graphs = G.node_table({"source": own, "target": goal}, [M])
+    return G.fill_small_graphs(graphs, [M]).select(M, "id", r6(F.col("x")).alias("x"))
 
 
 EDGE_SQL = f"""

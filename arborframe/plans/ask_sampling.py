@@ -310,19 +310,19 @@ lab as (select morphology, axon_id, a as terminal_id, min(b) as merged_id from r
 
 def merged(spark, sf):
     def make():
-        rows = written(terminals(spark, sf).filter(F.col("target_x").isNotNull()), "terminals")
+        rows = written(terminals(spark, sf), "terminals")
         return P.merge_close_targets(rows, PRECISION)
 
     return shared(spark, sf, "merged", make)
 
 
-@shelf.add("p11_merged_targets", f"with recursive {MERGE_SQL} select p.morphology, p.axon_id, target_population_id, tuft_num, merged_id as terminal_id from placedt p join lab using (morphology, axon_id, terminal_id)")
+@shelf.add("p11_merged_targets", f"with recursive {MERGE_SQL} select p.morphology, p.axon_id, target_population_id, tuft_num, coalesce(merged_id, terminal_id) as terminal_id from placedt p left join lab using (morphology, axon_id, terminal_id)")
 def p11(spark, sf):
     return merged(spark, sf).select(*REQ, "tuft_num", "terminal_id")
 
 
-@shelf.add("p12_unique_terminals", f"""with recursive {MERGE_SQL} select p.morphology, p.axon_id, merged_id as terminal_id, arg_min(target_population_id, target_brain_region_id * 1000 + tuft_num) as target_population_id
-    from placedt p join lab using (morphology, axon_id, terminal_id) group by 1, 2, 3""")
+@shelf.add("p12_unique_terminals", f"""with recursive {MERGE_SQL} select p.morphology, p.axon_id, coalesce(merged_id, terminal_id) as terminal_id, arg_min(target_population_id, target_brain_region_id * 1000 + tuft_num) as target_population_id
+    from placedt p left join lab using (morphology, axon_id, terminal_id) group by 1, 2, 3""")
 def p12(spark, sf):
     return P.unique_terminals(merged(spark, sf), ["target_brain_region_id", "tuft_num"]).select(M, A, "terminal_id", "target_population_id")
 

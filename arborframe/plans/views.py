@@ -233,7 +233,7 @@ VOXELS_SQL = f"""
 voxels as (
   select i::integer as i, j::integer as j, k::integer as k, region_id
   from (
-    select p_partkey % {GRID_N} as i, (p_partkey // {GRID_N}) % {GRID_N} as j,
+    select p_partkey % {GRID_N} + {GRID_N} * (p_partkey // {GRID_N ** 3}) as i, (p_partkey // {GRID_N}) % {GRID_N} as j,
       (p_partkey // {GRID_N * GRID_N}) % {GRID_N} as k,
       arg_min(case when p_size <= 10 then 0 when p_size <= 14 then 10 + p_size % 5
         else 100 + p_size % 25 end::bigint, p_partkey) as region_id
@@ -243,7 +243,11 @@ voxels as (
 
 
 def voxels(spark: SparkSession, sf: str) -> DataFrame:
-    """Sparse voxel grid (i, j, k, region_id) with one region id per cell, from parts."""
+    """Sparse voxel grid (i, j, k, region_id), one cell per part.
+
+    Parts fill blocks of ``GRID_N`` cells a side; the blocks follow each other along the first
+    axis, so that the grid grows with the parts.
+    """
     part = table(spark, sf, "part").select("p_partkey", "p_size")
     n = GRID_N
     key = F.col("p_partkey")
@@ -254,7 +258,7 @@ def voxels(spark: SparkSession, sf: str) -> DataFrame:
         .cast("bigint")
     )
     return part.groupBy(
-        (key % n).cast("int").alias("i"),
+        (key % n + n * F.floor(key / (n * n * n))).cast("int").alias("i"),
         (F.floor(key / n) % n).cast("int").alias("j"),
         (F.floor(key / (n * n)) % n).cast("int").alias("k"),
     ).agg(F.min_by(region, key).alias("region_id"))
