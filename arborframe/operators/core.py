@@ -45,6 +45,25 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+class Scratch:
+    """Written tables of one operator, removed together when no later read needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths.clear()
+
+
 class Rounds:
     """Cuts lineage once per round and removes the tables of rounds before the last one."""
 
