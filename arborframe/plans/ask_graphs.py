@@ -11,7 +11,7 @@ from arborframe.functions import geometry as geo
 from arborframe.operators import graph as G
 from arborframe.plans.ask_voxels import GRID, HEIGHTS_SQL, depths, idx_sql
 from arborframe.plans.registry import Shelf
-from arborframe.plans.views import POINTS_SQL, VOXELS_SQL, points, r6, r6s, shared, voxels
+from arborframe.plans.views import POINTS_SQL, VOXELS_SQL, points, r6, r6s, shared, u_sql, voxels
 from arborframe.operators import voxels as V
 
 shelf = Shelf()
@@ -72,9 +72,31 @@ def g02(spark, sf):
     return parts(spark, sf, new_corners_only=False)["bbox"].select(M, F.col("order").alias("corner"), *[r6(F.col(a)).alias(a) for a in "xyz"])
 
 
-@shelf.add("g03_random_points")
+def walk_sql(limit: float, points: str = "ordered", unit: str = "morphology") -> str:
+    """SQL of the thinning: points by rank ``rn`` of a unit, each kept when no kept one is near."""
+    far = f"len(list_filter(held, lambda h: sqrt((h.x - o.x) * (h.x - o.x) + (h.y - o.y) * (h.y - o.y) + (h.z - o.z) * (h.z - o.z)) <= {limit})) = 0"
+    spot = "{'x': o.x, 'y': o.y, 'z': o.z}"
+    return f"""walk as (
+  select {unit}, rn, true as kept, [{spot}] as held from {points} o where rn = 1
+  union all
+  select o.{unit}, o.rn, {far}, case when {far} then list_append(held, {spot}) else held end
+  from walk w join {points} o on o.{unit} = w.{unit} and o.rn = w.rn + 1)"""
+
+
+_DRAWN = ", ".join(
+    f"""{a}0 - 5.0 + {u_sql("morphology", "draw", f"'random_{a}'")} * ({a}1 + 5.0 - ({a}0 - 5.0)) as {a}"""
+    for a in "xyz"
+)
+
+
+@shelf.add("g03_random_points", f"""with recursive {POINTS_SQL.replace("points as (", "points as materialized (")},
+    box as (select morphology, min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 from points group by 1),
+    drawn as materialized (select morphology, draw, {_DRAWN} from (select *, unnest(range(0, 40)) as draw from box)),
+    ordered as materialized (select *, row_number() over (partition by morphology order by draw) as rn from drawn d
+      where not exists (select 1 from points p where p.morphology = d.morphology and sqrt((p.x-d.x)*(p.x-d.x) + (p.y-d.y)*(p.y-d.y) + (p.z-d.z)*(p.z-d.z)) <= 15.0)),
+    {walk_sql(15.0)}
+    select morphology, draw, {r6s('x')} as x, {r6s('y')} as y, {r6s('z')} as z from walk join ordered using (morphology, rn) where kept""")
 def g03(spark, sf):
-    """Thinning by priority is a sequence of decisions; checked by brute force in the tests."""
     pts, _, _ = start(spark, sf)
     out = G.random_points(pts.select(M, "x", "y", "z"), [M], min_distance=15.0, candidates=40, buffer=5.0)
     return out.select(M, "draw", *[r6(F.col(a)).alias(a) for a in "xyz"])
@@ -88,9 +110,11 @@ def preferred(spark, sf):
 PREF_SQL = f"pref as materialized (select (i * {GRID.shape[1]} + j) * {GRID.shape[2]} + k as id, (i + 0.5) * 10.0 - 20.0 as x, (j + 0.5) * 10.0 - 20.0 as y, (k + 0.5) * 10.0 - 20.0 as z from voxels where region_id between 10 and 14)"
 
 
-@shelf.add("g04_attractor_points")
+@shelf.add("g04_attractor_points", f"""with recursive {VOXELS_SQL}, {PREF_SQL},
+    ordered as materialized (select *, 1 as unit, row_number() over (order by u, id) as rn from (select *, {u_sql("id", "'attractor'")} as u from pref)),
+    {walk_sql(25.0, unit="unit")}
+    select id::bigint as id, x::double as x, y::double as y, z::double as z from walk join ordered using (rn) where kept""")
 def g04(spark, sf):
-    """Checked by brute force in the tests, like every thinning."""
     return G.attractor_points(preferred(spark, sf), min_distance=25.0)
 
 
@@ -108,9 +132,13 @@ def g05(spark, sf):
     return G.inside_reference(pts, targets, [M]).select(M, "point_id")
 
 
-@shelf.add("g06_thinned_points")
+@shelf.add("g06_thinned_points", f"""with recursive {START_SQL},
+    ordered as materialized (select *, row_number() over (partition by morphology order by not is_terminal, u, id) as rn
+      from (select *, {u_sql("morphology", "id", "'thin'")} as u from nodes)),
+    {walk_sql(8.0)}
+    select morphology, id, is_terminal from walk join ordered using (morphology, rn) where kept""")
 def g06(spark, sf):
-    """Terminals first, then hashed order; checked by brute force in the tests."""
+    """Terminals first, then hashed order."""
     out = G.thin_close(nodes(spark, sf), [M], 8.0)
     return out.select(M, "id", "is_terminal")
 
