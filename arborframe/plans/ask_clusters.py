@@ -153,7 +153,36 @@ def c08(spark, sf):
     return clusters.select(M, "terminal_id", "size", r6(F.col("x")).alias("x"))
 
 
-@shelf.add("c09_split_clusters")
+def _split_sql(r: int) -> str:
+    """SQL of one split: the earliest part with several leaves goes apart below its lowest ancestor."""
+    return f"""
+cnt{r} as materialized (select morphology, part, count(*) as n from p{r} group by 1, 2),
+pick{r} as materialized (select morphology, min(part) filter (where n > 1) as part from cnt{r} group by 1
+  having count(*) + 1 < 4 and count(*) filter (where n > 1) > 0),
+ins{r} as materialized (select q.*, n from p{r} q join pick{r} using (morphology, part) join cnt{r} using (morphology, part)),
+top{r} as (select morphology, arg_min(ancestor, s) as ancestor from (
+  select i.morphology, c.ancestor, min(c.steps) as s from ins{r} i join closure c using (morphology, point_id)
+  group by 1, 2 having count(*) = min(n)) group by 1),
+way{r} as (select i.morphology, i.point_id, c.steps from ins{r} i join top{r} t using (morphology)
+  join closure c on c.morphology = i.morphology and c.point_id = i.point_id and c.ancestor = t.ancestor),
+child{r} as (select w.morphology, w.point_id, coalesce(c.ancestor, w.point_id) as child from way{r} w
+  left join closure c on c.morphology = w.morphology and c.point_id = w.point_id and c.steps = w.steps - 1),
+p{r + 1} as materialized (select q.morphology, q.point_id, coalesce(child, part) as part
+  from p{r} q left join child{r} using (morphology, point_id))"""
+
+
+SPLIT_SQL = f"""
+{CLOSURE_SQL},
+leaves as materialized (select p.morphology, p.point_id, p.x, p.y, p.z from points p where parent_id <> -1 and not exists
+  (select 1 from points c where c.morphology = p.morphology and c.parent_id = p.point_id)),
+p0 as materialized (select morphology, point_id, 0 as part from leaves),
+""" + ",".join(_split_sql(r) for r in range(3))
+
+
+@shelf.add("c09_split_clusters", f"""with recursive {SPLIT_SQL},
+    sizes as (select morphology, part, count(*) as size, min(point_id) as first, avg(x) as x from p3 join leaves using (morphology, point_id) group by 1, 2)
+    select morphology, row_number() over (partition by morphology order by first) as terminal_id, size, {r6s('x')} as x from sizes
+    union all select morphology, 0, 1, {r6s('x')} from points where parent_id = -1""")
 def c09(spark, sf):
     """Every tree starts as one cluster here, so all of them are split until four exist."""
     nodes, ends = tree_nodes(spark, sf)
