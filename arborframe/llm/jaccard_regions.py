@@ -4,9 +4,11 @@ Documents with equal shingle sets are one point.  1 - Jaccard is a metric; two p
 radius share one of their rarest shingles, so the points that hold a rare shingle form a region
 and no link leaves it.  In a region, pivots are compared with all points: a point within the
 radius joins the pivot's cell.  Where a region still falls into several components, it is split
-again with further pivots, among points that are not yet connected; distances to earlier pivots
-bound a pair's distance from below (the triangle inequality), and pairs beyond the window are
-left out.  It ends when every pair across components is compared or bounded away.
+again with further pivots, among points that are not yet connected.  Two bounds leave pairs out:
+the distances to earlier pivots (the triangle inequality), and the shingles that no other point of
+a crowded region holds, which lie outside every intersection.  The first pivot of a region is the
+point with the fewest of those, next to its centre.  It ends when every pair across components is
+compared or bounded away.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborframe.llm.shingles import set_digest, shingle_set
-from arborframe.operators.core import written
+from arborframe.operators.core import Scratch, written
 from arborframe.operators.spatial import components
 
-SKETCH_BITS, SKETCH_SLICES = 20, 64
+SKETCH_BITS, SKETCH_SLICES = 21, 64
 PROFILE = 128
 POINTS = "doc_id long, n_shingles long, point long, slice int, counts binary"
 
@@ -31,12 +33,12 @@ POINTS = "doc_id long, n_shingles long, point long, slice int, counts binary"
 def points(docs: DataFrame, *, size: int = 5) -> DataFrame:
     """One row per document with its set's size and digest, and one sketch per partition.
 
-    The sketch counts the documents' shingles in 2^20 slots, whatever the corpus holds.  It only
+    The sketch counts the documents' shingles in 2^21 slots, whatever the corpus holds.  It only
     orders shingles by how common they are; any order gives the same links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         waiting, n_waiting = [], 0
         for batch in batches:
             texts, rows = batch.column(1), []
@@ -46,17 +48,23 @@ def points(docs: DataFrame, *, size: int = 5) -> DataFrame:
                 waiting.append(own >> np.uint64(64 - SKETCH_BITS))
                 n_waiting += len(own)
             if n_waiting > 1 << 20:
-                counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
+                _count(counts, waiting)
                 waiting, n_waiting = [], 0
             yield _point_batch(rows, [])
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
+        _count(counts, waiting)
         parts = np.split(counts, SKETCH_SLICES)
         yield _point_batch([], [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(parts) if c.any()])
 
     return docs.mapInArrow(run, POINTS)
 
 
+def _count(counts: np.ndarray, waiting: list[np.ndarray]) -> None:
+    """Adds the slots to a sketch, whose numbers stop at the largest that fits."""
+    if waiting:
+        more = np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
+        counts[:] = np.minimum(counts + more, np.iinfo(np.uint32).max)
+
+
 def _point_batch(rows: list[tuple], slices: list[tuple]) -> pa.RecordBatch:
     n, m = len(rows), len(slices)
     own = [list(c) for c in zip(*rows)] or [[], [], []]
@@ -71,13 +79,14 @@ def _point_batch(rows: list[tuple], slices: list[tuple]) -> pa.RecordBatch:
 
 
 def sketch(made: DataFrame) -> np.ndarray:
-    """The sum of all partitions' sketches, added up slice by slice; 2^20 numbers in the end."""
+    """The sum of all partitions' sketches, added up slice by slice: 2^21 numbers on a
+    logarithmic scale, 4 MB, whatever the corpus holds."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(zlib.decompress(raw), np.int64)
+                own = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.int64)
                 total[k] = total[k] + own if k in total else own
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()),
@@ -91,7 +100,7 @@ def sketch(made: DataFrame) -> np.ndarray:
     out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.int64)
     for row in summed.collect():  # one row per slice
         out[row["slice"]] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
+    return (np.log2(out.ravel() + 1.0) * 1000).astype(np.uint16)
 
 
 def rare_shingles(
@@ -110,7 +119,8 @@ def rare_shingles(
                 if n == 0 or point in seen:
                     continue
                 seen.add(point)
-                rank = np.lexsort((own, counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                slots = (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                rank = np.argsort(counts[slots], kind="stable")  # ties in the order of the hash
                 chosen = own[rank[: n - (percent * n + 99) // 100 + 1]]
                 shingles.append(chosen.view(np.int64))
                 owners.append(np.full(len(chosen), point, np.int64))
@@ -125,13 +135,22 @@ def rare_shingles(
 
 
 def first_cells(rare: DataFrame, *, pivots: int = 4, percent: int = 80) -> DataFrame:
-    """Rows ``region, a, b``: pairs of the first pivots and the points of their region, and,
-    with ``b`` NULL, the points of regions that hold more than those pivots and one other.
+    """Rows ``region, a, b``: all pairs of regions with at most ``pivots`` + 1 points, and, with
+    ``b`` NULL, the points of larger regions.
 
-    The rows of a region stream past in order; only its pivots are held, however large it is.
-    Pairs whose sizes alone forbid a link are left out.
+    The rows of a region stream past in order; only a few are held, however large it is.  Pairs
+    whose sizes alone forbid a link are left out.
     """
 
+    def pairs_of(first: list, sent: set) -> list[tuple]:
+        out = []
+        for i, (q, q_size) in enumerate(first):
+            for point, size in first[:i]:
+                if 100 * min(size, q_size) >= percent * max(size, q_size) and (point, q) not in sent:
+                    sent.add((point, q))
+                    out.append((None, point, q))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, first, n_seen, last = None, [], 0, None
         sent: set[tuple[int, int]] = set()
@@ -149,16 +168,14 @@ def first_cells(rare: DataFrame, *, pivots: int = 4, percent: int = 80) -> DataF
             out: list[tuple] = []
             for r, point, size in zip(g[at].tolist(), p, n):
                 if r != region:
+                    if n_seen <= pivots + 1:
+                        out += pairs_of(first, sent)
                     region, first, n_seen, last = r, [], 0, None
                 if point == last:
                     continue
                 last = point
                 n_seen += 1
-                for q, q_size in first[:pivots]:
-                    if 100 * min(size, q_size) >= percent * max(size, q_size) and (q, point) not in sent:
-                        sent.add((q, point))
-                        out.append((None, q, point))
-                if len(first) <= pivots:
+                if n_seen <= pivots + 1:
                     first.append((point, size))
                 elif n_seen == pivots + 2:
                     out += [(r, q, None) for q, _ in first] + [(r, point, None)]
@@ -166,43 +183,57 @@ def first_cells(rare: DataFrame, *, pivots: int = 4, percent: int = 80) -> DataF
                     out.append((r, point, None))
             if len(sent) > 500_000:
                 sent.clear()  # a pair may be sent twice; equal pairs are dropped later
-            cols = zip(*out) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), pa.int64()) for c in cols], names=["region", "a", "b"]
-            )
+            yield batch_of(out)
+        if n_seen <= pivots + 1:
+            yield batch_of(pairs_of(first, sent))
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*out) if out else ([], [], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), pa.int64()) for c in cols], names=["region", "a", "b"]
+        )
 
     ordered = rare.repartition("shingle").sortWithinPartitions("shingle", "point")
     return ordered.mapInArrow(run, "region long, a long, b long")
 
 
 def point_sets(docs: DataFrame, wanted: DataFrame, *, size: int = 5) -> DataFrame:
-    """Rows ``point, profile, shingles`` for ``wanted`` (``doc_id, point``), read from the texts."""
+    """Rows ``point, crowd, profile, shingles`` for ``wanted`` (``doc_id, point, crowd``), read
+    from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows = batch.column(0), []
+            crowd = batch.column(2).to_pylist()
             for i, point in enumerate(batch.column(1).to_pylist()):
                 own = shingle_set(texts[i].as_py(), size)
                 if set_digest(own) == point:
                     profile = np.bincount((own % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE)
-                    rows.append((point, profile, own.view(np.int64)))
-            cols = [list(c) for c in zip(*rows)] or [[], [], []]
+                    rows.append((point, crowd[i], profile, own.view(np.int64)))
+            cols = [list(c) for c in zip(*rows)] or [[], [], [], []]
+            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())),
-                 pa.array(cols[2], pa.list_(pa.int64()))],
-                names=["point", "profile", "shingles"],
+                [pa.array(c, t) for c, t in zip(cols, kinds)],
+                names=["point", "crowd", "profile", "shingles"],
             )
 
-    texts = docs.join(wanted, "doc_id").select("text", "point")
-    kind = "point long, profile array<long>, shingles array<long>"
-    return texts.mapInArrow(run, kind).dropDuplicates(["point"])
+    texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "point", "text"])
+    kind = "point long, crowd boolean, profile array<long>, shingles array<long>"
+    return texts.select("text", "point", "crowd").mapInArrow(run, kind)
 
 
-def distances(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFrame:
-    """Rows ``a, b, distance`` of the pairs that may be linked, judged by their whole sets.
+def among(sets: DataFrame, points: DataFrame, *, most: int = 500_000) -> DataFrame:
+    """The sets of the given points, a written table; it is broadcast while it has at most
+    ``most`` rows of one number, and joined by a shuffle beyond."""
+    listed = F.broadcast(points) if points.count() <= most else points
+    return sets.join(listed, "point", "left_semi")
 
-    Each set's shingles are also counted in 128 classes; the classes' smaller counts add up to
-    at least the intersection, which rules most other pairs out before any set is moved.
+
+def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFrame:
+    """The pairs ``a, b`` that may be linked, judged by counts of their shingles in 128 classes.
+
+    The classes' smaller counts add up to at least the intersection, which rules most other
+    pairs out before any set is moved.
     """
     small = sets.select("point", "profile")
     least = F.aggregate(
@@ -213,12 +244,16 @@ def distances(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFr
         F.zip_with("profile_a", "profile_b", lambda x, y: x + y), F.lit(0).cast("long"),
         lambda s, x: s + x,
     )
-    near = (
+    return (
         pairs.join(small.toDF("b", "profile_b"), "b").join(small.toDF("a", "profile_a"), "a")
         .filter(100 * least >= percent * (both - least)).select("a", "b")
     )
+
+
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows ``a, b, common, union, distance`` of pairs, judged by their whole sets."""
     whole = sets.select("point", "shingles")
-    met = near.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
+    met = pairs.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     return met.select(
@@ -227,11 +262,32 @@ def distances(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFr
     )
 
 
+def lonely(crowd: DataFrame) -> DataFrame:
+    """Rows ``point, n, alone``: the size of each set of the crowd, and how many of its shingles
+    no other point of the crowd holds."""
+    own = crowd.select("point", "shingles")
+    single = (
+        own.select("point", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("point").alias("point"))
+        .filter(F.col("held") == 1).groupBy("point").agg(F.count(F.lit(1)).alias("alone"))
+    )
+    return own.select("point", F.size("shingles").alias("n")).join(single, "point", "left").select(
+        "point", "n", F.coalesce("alone", F.lit(0)).alias("alone")
+    )
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two points of a crowd can link at all: neither holds the other's lonely shingles."""
+    common = F.least(F.col("n") - F.col("alone"), F.col("n_p") - F.col("alone_p"))
+    return 100 * common >= percent * (F.col("n") + F.col("n_p") - common)
+
+
 def _beyond(pairs: DataFrame, known: DataFrame, radius: float) -> DataFrame:
     """Pairs that some earlier pivot shows to lie farther apart than the radius."""
-    seen = known.select(F.col("a").alias("pivot"), F.col("b").alias("point"), "distance")
-    left = seen.toDF("pivot", "a", "to_a")
-    right = seen.toDF("pivot", "b", "to_b")
+    both = known.select("a", "b", "distance").unionByName(
+        known.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")
+    )
+    left, right = both.toDF("pivot", "a", "to_a"), both.toDF("pivot", "b", "to_b")
     apart = F.abs(F.col("to_a") - F.col("to_b")) > radius + 1e-9
     return (
         pairs.join(left, "a").join(right, ["pivot", "b"]).filter(apart).select("a", "b").distinct()
@@ -251,63 +307,97 @@ def linked_components(docs: DataFrame, *, size: int = 5, percent: int = 80) -> D
     NULL.  Repeated rows are one point and come back as often as they were given.  Jobs run
     while the plan is built; an empty table gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(points(own, size=size), "points")
     named = made.filter(F.col("slice").isNull()).select("doc_id", "n_shingles", "point")
-    reps = written(
+    reps = scratch.written(
         named.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         .groupBy("point").agg(F.min("doc_id").alias("doc_id")),
         "points-first",
     )
     usable = own.filter(F.col("doc_id").isNotNull())
     rare = rare_shingles(usable, sketch(made), size=size, percent=percent)
-    cells = written(first_cells(rare, percent=percent), "cells")
+    cells = scratch.written(first_cells(rare, percent=percent), "cells")
     crowds = cells.filter(F.col("b").isNull()).select("region", F.col("a").alias("point"))
-    pairs = written(cells.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "pairs")
+    pairs = scratch.written(cells.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "pairs")
     needed = (
-        pairs.select(F.col("a").alias("point"))
-        .unionByName(pairs.select(F.col("b").alias("point")))
-        .unionByName(crowds.select("point")).distinct()
+        pairs.select(F.col("a").alias("point"), F.lit(False).alias("crowd"))
+        .unionByName(pairs.select(F.col("b").alias("point"), F.lit(False).alias("crowd")))
+        .unionByName(crowds.select("point", F.lit(True).alias("crowd")))
+        .groupBy("point").agg(F.max("crowd").alias("crowd"))
     )
-    sets = written(
-        point_sets(usable, written(needed.join(reps, "point"), "wanted"), size=size), "sets"
+    every = scratch.written(
+        point_sets(usable, scratch.written(needed.join(reps, "point"), "wanted"), size=size), "sets"
     )
+    near = scratch.written(near_pairs(pairs, every, percent=percent), "near")
+    ends = near.select(F.col("a").alias("point")).unionByName(near.select(F.col("b").alias("point")))
+    # from here on only the sets that a pair needs are moved
+    sets = scratch.written(among(every, scratch.written(ends.distinct(), "near-points")), "near-sets")
     radius = (100 - percent) / 100
     linked = 100 * F.col("common") >= percent * F.col("union")
     tested = [pairs]
-    known = [written(distances(pairs, sets, percent=percent), "distances")]
-    component = written(_component_of(known[0].filter(linked)), "component")
-    used = None
-    pivots = 8
+    known = [scratch.written(distances(near, sets), "distances")]
+    component = scratch.written(_component_of(known[0].filter(linked)), "component")
+    facts = scratch.written(lonely(every.filter("crowd")), "lonely")
+    # a point that holds too much of its own cannot link with anything in its crowd
+    # (and each row names the regions before it, so that a pair is met once and not in every one)
+    along = Window.partitionBy("point").orderBy("region")
+    live = scratch.written(
+        crowds.join(facts, "point")
+        .filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+        .withColumn("past", F.array_compact(F.array(*[F.lag("region", k).over(along) for k in range(1, 7)]))),
+        "crowds",
+    )
+    sets = scratch.written(
+        among(every, scratch.written(live.select("point").distinct(), "live-points")), "live-sets"
+    )
+    spent, pivots = None, 1
     while True:
-        at = crowds.join(component, "point", "left").withColumn(
+        at = live.join(component, "point", "left").withColumn(
             "component", F.coalesce("component", "point")
         )
-        if used is not None:
-            at = at.join(used.withColumn("spent", F.lit(True)), ["region", "point"], "left")
-        else:
-            at = at.withColumn("spent", F.lit(False))
-        at = at.withColumn("spent", F.coalesce("spent", F.lit(False)))
-        split = at.groupBy("region").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min("spent").alias("spent"),
-        ).filter((F.col("low") < F.col("high")) & ~F.col("spent")).select("region")
-        at = written(at.join(split, "region", "left_semi"), "split-regions")
+        done = F.lit(False)
+        if spent is not None:
+            at = at.join(spent, ["region", "point"], "left")
+            done = F.col("was_pivot").isNotNull()
+        at = at.select("region", "point", "n", "alone", "past", "component", done.alias("done"))
+        # of two points in different components one is outside the region's largest component,
+        # so a region is done when all points outside it have been pivots
+        held = at.groupBy("region", "component").agg(F.count(F.lit(1)).alias("held"))
+        main = held.groupBy("region").agg(
+            F.max_by("component", F.struct("held", "component")).alias("main")
+        )
+        at = at.join(main, "region").withColumn(
+            "open", (F.col("component") != F.col("main")) & ~F.col("done")
+        )
+        split = at.filter("open").select("region").distinct()
+        at = scratch.written(at.join(split, "region", "left_semi"), "split-regions")
         if at.isEmpty():
             break
-        sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        fresh = at.filter(~F.col("spent")).join(sizes, "component", "left").withColumn(
-            "size", F.coalesce("size", F.lit(1))
-        )
+        # first the point nearest to the centre, then the open ones, from small components on
+        fresh, order = at, ["alone", "point"]
+        if spent is not None:
+            sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+            fresh = at.filter("open").join(sizes, "component", "left").withColumn(
+                "size", F.coalesce("size", F.lit(1))
+            )
+            order = ["size", *order]
         spot = F.pmod(F.xxhash64("point"), F.lit(pivots))
-        chosen = written(
+        chosen = scratch.written(
             fresh.groupBy("region", spot.alias("spot"))
-            .agg(F.min(F.struct("size", "point", "component")).alias("p"))
-            .select("region", F.col("p.point").alias("pivot"), F.col("p.component").alias("own")),
+            .agg(F.min(F.struct(*order, "n", "component", "past")).alias("p"))
+            .select(
+                "region", F.col("p.point").alias("pivot"), F.col("p.n").alias("n_p"),
+                F.col("p.alone").alias("alone_p"), F.col("p.component").alias("own"),
+                F.col("p.past").alias("past_p"),
+            ),
             "pivots",
         )
         across = (
-            at.join(chosen, "region").filter(F.col("component") != F.col("own"))
+            at.join(chosen, "region")
+            .filter((F.col("component") != F.col("own")) & _may_link(percent))
+            .filter(~F.arrays_overlap("past", "past_p"))  # met in an earlier region of both
             .select(F.least("pivot", "point").alias("a"), F.greatest("pivot", "point").alias("b"))
             .distinct()
         )
@@ -316,20 +406,25 @@ def linked_components(docs: DataFrame, *, size: int = 5, percent: int = 80) -> D
                 before.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
                 ["a", "b"], "left_anti",
             )
-        across = written(across, "across")
-        seen = known[0]
-        for more in known[1:]:
-            seen = seen.unionByName(more)
-        close = across.join(_beyond(across, seen, radius), ["a", "b"], "left_anti")
-        tested.append(across)
-        known.append(written(distances(close, sets, percent=percent), "distances"))
-        links = known[0].filter(linked)
-        for more in known[1:]:
-            links = links.unionByName(more.filter(linked))
-        component = written(_component_of(links), "component")
-        now = chosen.select("region", F.col("pivot").alias("point"))
-        used = written(now if used is None else used.unionByName(now).distinct(), "spent-pivots")
-        pivots *= 8
+        across = scratch.written(across, "across")
+        found = not across.isEmpty()
+        if found:
+            seen = known[0]
+            for more in known[1:]:
+                seen = seen.unionByName(more)
+            close = across.join(_beyond(across, seen, radius), ["a", "b"], "left_anti")
+            tested.append(across)
+            close = near_pairs(close, sets, percent=percent)
+            known.append(scratch.written(distances(close, sets), "distances"))
+            found = not known[-1].filter(linked).isEmpty()
+        if found:
+            links = known[0].filter(linked)
+            for more in known[1:]:
+                links = links.unionByName(more.filter(linked))
+            component = scratch.written(_component_of(links), "component")
+        now = chosen.select("region", F.col("pivot").alias("point"), F.lit(True).alias("was_pivot"))
+        spent = scratch.written(now if spent is None else spent.unionByName(now), "spent-pivots")
+        pivots *= 64
     # the smallest document of every component, and of every point beside them
     smallest = (
         reps.join(component, "point", "left")
@@ -339,6 +434,7 @@ def linked_components(docs: DataFrame, *, size: int = 5, percent: int = 80) -> D
     label = written(
         smallest.join(lowest, "component").select("point", "component_id"), "labels"
     )
+    scratch.clear()
     return named.join(label, "point", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id"))

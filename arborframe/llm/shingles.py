@@ -13,8 +13,8 @@ from arborframe.llm.encoding import Known
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _word(word: bytes) -> int:
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+def _word(word: bytes) -> bytes:
+    return blake2b(word, digest_size=8).digest()
 
 
 @lru_cache(maxsize=1)
@@ -26,7 +26,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words between ASCII white space, A to Z lower-cased."""
     known = known_words()
     words = (text or "").encode().lower().split()
-    return np.array([known[w] for w in words], dtype=np.uint64)
+    return np.frombuffer(b"".join([known[w] for w in words]), "<u8")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -50,7 +50,8 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """The distinct shingles of a text, ascending."""
-    return np.unique(gram_hashes(word_hashes(text), size))
+    own = np.sort(gram_hashes(word_hashes(text), size))
+    return own[np.append(True, own[1:] != own[:-1])] if len(own) else own
 
 
 def set_digest(shingles: np.ndarray) -> int:

@@ -190,7 +190,7 @@ def test_regions_are_split_until_nothing_is_left(spark):
         tail = " ".join(f"t{i // 6}x{j}" for j in range(12))
         rows.append((i, f"{shared} {tail} {'w' if i % 2 else 'v'}{draw.randint(0, 3)}"))
     rare = jaccard_regions.rare_shingles(
-        messy.table(spark, rows).select("doc_id", "text"), np.zeros(1 << 20, np.uint32)
+        messy.table(spark, rows).select("doc_id", "text"), np.zeros(1 << jaccard_regions.SKETCH_BITS, np.uint16)
     )
     cells = jaccard_regions.first_cells(rare, pivots=1)
     assert cells.filter("b is null").count() > 0
