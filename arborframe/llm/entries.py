@@ -50,7 +50,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 @shelf.add("op5_stupid_backoff")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
-    return backoff.scored(table(spark, sf, "documents"), order=2)
+    return backoff.scored(table(spark, sf, "documents"), order=3)
 
 
 @shelf.add("op7_token_counts")

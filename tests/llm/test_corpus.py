@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arborframe.llm import backoff, jaccard_regions, runlength
+from arborframe.llm import backoff, entries, jaccard_regions, runlength
 from arborframe.llm.shingles import shingle_set
 
 from . import messy
@@ -60,6 +60,35 @@ def test_backoff(spark, order):
     assert backoff.scored(messy.empty(spark)).count() == 0
 
 
+def same_scores(got, want):
+    for a, b in zip(sorted(map(tuple, got)), sorted(want), strict=True):
+        assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_backoff_query_scores_trigrams(spark, tmp_path):
+    words = ["a b c d", "a b c e", "x a b c", "b c a b", "d d d d d", "q r s", "q r", None]
+    rows = list(enumerate(words))
+    messy.table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = entries.op5(spark, str(tmp_path)).collect()
+    same_scores(got, plain_backoff(rows, 3))
+    assert {r["doc_id"]: r["n_backed_off"] for r in got}[3] == 2  # b c held, c a and b c a not
+
+
+@pytest.mark.parametrize("order", [4, 5])
+def test_backoff_of_longer_orders(spark, order):
+    draw = random.Random(order)
+    rows = [(i, " ".join(draw.choices("abc", k=draw.randint(0, 12)))) for i in range(300)]
+    got = backoff.scored(messy.table(spark, rows), order=order, block_bytes=60).collect()
+    same_scores(got, plain_backoff(rows, order))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2000) | st.integers(0, 2**50), max_size=50))
+def test_packed_counts(numbers):
+    own = np.array(numbers, dtype=np.int64)
+    assert backoff.unpacked_counts(backoff.packed_counts(own)).tolist() == numbers
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
 def test_packed_numbers(numbers):
