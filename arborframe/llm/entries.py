@@ -66,9 +66,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @shelf.add("op8_quality_rules")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return fertility.judged(
-        fertility.measures(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    rows = fertility.measures(
+        docs, public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.path("word_bpe_49k.json"), lang_col="lang",
     )
+    return fertility.judged_by_corpus(rows)
 
 
 @shelf.add("op4_secret_scan", secrets.oracle())

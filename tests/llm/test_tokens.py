@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from arborframe.llm import fertility, packing, token_cache
+from arborframe.llm import entries, fertility, packing, token_cache
 from arborframe.llm.encoding import Encoder
 
 from . import messy
@@ -201,3 +201,33 @@ def test_bands(spark):
         {"latin": fertility.Band(least_chars=1.6)}, most_repeated=100,
     )
     assert {r["doc_id"]: r["kept"] for r in judged.collect()} == {1: True, 2: False}
+
+
+def test_fences_reject_junk_that_passes_the_base_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    got = entries.op8(spark, sf).filter("not base_failed").join(labels, "doc_id").collect()
+    junk = [r["kept"] for r in got if r["quality"] == 0]
+    clean = [r["kept"] for r in got if r["quality"] == 1]
+    assert len(junk) >= 20 and sum(junk) / len(junk) < 0.1 and sum(clean) / len(clean) > 0.95
+
+
+def test_fences_follow_the_corpus(spark):
+    names = [c.split()[0] for c in fertility.MEASURES.split(", ")]
+    plain = dict.fromkeys(names, 0) | {"n_words": 200, "n_tokens": 400, "script": "other"}
+    plain |= {"byte_share": 0.5, "entropy": 6.0, "chars_per_token": 0.6, "chars_per_token_2": 0.5}
+    rows = [plain | {"doc_id": i, "entropy": 6 + i / 100} for i in range(40)]
+    rows += [plain | {"doc_id": 100, "byte_share": 0.95}, plain | {"doc_id": 101, "entropy": 5.0}]
+    rows += [plain | {"doc_id": 102, "chars_per_token_2": 0.3}]
+    rows += [plain | {"doc_id": 103, "lang": "few", "byte_share": 0.95}]
+    kinds = {c.split()[0]: c.split()[1] for c in fertility.MEASURES.split(", ")}
+    table = [
+        tuple(
+            (r[c] or None) if c == "lang" else float(r[c]) if kinds[c] == "double" else r[c]
+            for c in names
+        )
+        for r in rows
+    ]
+    docs = spark.createDataFrame(table, fertility.MEASURES)
+    kept = {r["doc_id"]: r["kept"] for r in fertility.judged_by_corpus(docs).collect()}
+    assert len(kept) == 44 and {i for i, k in kept.items() if not k} == {100, 101, 102}
