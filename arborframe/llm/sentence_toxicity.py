@@ -99,8 +99,9 @@ def learn(
 ) -> Model:
     """Fit on at most ``most`` labelled documents, the bounded sample that reaches the driver.
 
-    The sample also ends where its words, taken in the order of the ids' hash, exceed
-    ``most_words``, so that very long documents cannot fill the driver.
+    Its words, taken in the order of the ids' hash, do not exceed ``most_words``, so that very
+    long documents cannot fill the driver: one that does not fit the rest is skipped.  Raises if
+    that leaves a class without documents.
     """
     chosen = F.broadcast(sample(labels, label, most, parts=parts, part=part))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
@@ -109,7 +110,7 @@ def learn(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists, packed = batch.column(1), [], []
+            texts, lists, packed, sizes = batch.column(1), [], [], []
             for i in range(batch.num_rows):
                 seen: dict[str, int] = {}
                 out = array("i")
@@ -118,28 +119,33 @@ def learn(
                     if words:
                         out.extend([seen.setdefault(bare(w), len(seen)) for w in words])
                         out.append(-1)
-                lists.append(" ".join(seen))
-                packed.append(out.tobytes())
+                fits = len(out) <= most_words  # else it is skipped, and only its size is needed
+                lists.append(" ".join(seen) if fits else "")
+                packed.append(out.tobytes() if fits else b"")
+                sizes.append(len(out))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(lists, pa.string()),
-                 pa.array(packed, pa.binary())],
-                names=["doc_id", "y", "words", "places"],
+                 pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())],
+                names=["doc_id", "y", "words", "places", "size"],
             )
 
     made = rows.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(
-        run, "doc_id long, y int, words string, places binary"
+        run, "doc_id long, y int, words string, places binary, size long"
     )
-    taken, y, vocabulary, n = [], [], {}, 0
+    taken, y, skipped, vocabulary, n = [], [], set(), {}, 0
     by_hash = made.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(most)
     for row in by_hash.toLocalIterator():
         places = np.frombuffer(row["places"], np.int32)
+        if n + row["size"] > most_words:
+            skipped.add(row["y"])
+            continue
         n += len(places)
-        if n > most_words:
-            break
         if len(places):
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in row["words"].split(" ")]
             taken.append(np.append(np.array(ids, np.int32), np.int32(-1))[places])
             y.append(row["y"])
+    if missing := skipped - set(y):
+        raise ValueError(f"documents of {label} {sorted(missing)} are too long for {most_words} words")
     return fit(taken, np.array(y, dtype=np.int64), list(vocabulary))
 
 

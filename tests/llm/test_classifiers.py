@@ -106,6 +106,21 @@ def test_offending_sentences_are_located(spark):
     assert right / len(rows) > 0.97 and found / len(rows) > 0.95
 
 
+def test_long_labelled_texts_are_skipped(spark):
+    rows, labels = toxic_corpus(random.Random(4), 60)
+    long_ = [(1000 + i, "grobnik " * 20_000) for i in range(60)]
+    schema = "doc_id long, toxic int"
+    given = spark.createDataFrame(labels, schema)
+    more = spark.createDataFrame(labels + [(i, 1) for i, _ in long_], schema)
+    want = sentence_toxicity.learn(messy.table(spark, rows), given, most_words=19_000)
+    got = sentence_toxicity.learn(messy.table(spark, rows + long_), more, most_words=19_000)
+    assert want.weights.any() and np.array_equal(got.weights, want.weights) and got.bias == want.bias
+    clean = spark.createDataFrame([(i, 0) for i, y in labels if not y], schema)
+    only = clean.unionByName(more.filter("doc_id >= 1000"))
+    with pytest.raises(ValueError, match="too long"):
+        sentence_toxicity.learn(messy.table(spark, rows + long_), only, most_words=19_000)
+
+
 def test_features_of_extremes():
     for text in (None, "", " ", "x" * 100_000, "\x00", "é🙂" * 50):
         values = pairwise_quality.features(text)
