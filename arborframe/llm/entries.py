@@ -9,12 +9,14 @@ from arborframe.llm import (
     backoff,
     decontaminate,
     fertility,
+    fill_middle,
     jaccard_regions,
     packing,
     pairwise_quality,
     runlength,
     secrets,
     sentence_toxicity,
+    spelling,
     token_cache,
 )
 from arborframe.operators.core import scratch_path
@@ -92,3 +94,13 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @shelf.add("op9_run_length_dedup")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return runlength.digest(table(spark, sf, "documents"))
+
+
+@shelf.add("op12_fill_middle", fill_middle.ORACLE)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf, "documents"))
+
+
+@shelf.add("op13_spelling_variants")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
