@@ -10,6 +10,7 @@ from arborframe.llm import (
     decontaminate,
     fertility,
     fill_middle,
+    hyperminhash,
     jaccard_regions,
     packing,
     pairwise_quality,
@@ -96,6 +97,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return runlength.digest(table(spark, sf, "documents"))
 
 
+@shelf.add("op11_hyperminhash", hyperminhash.ORACLE)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @shelf.add("op12_fill_middle", fill_middle.ORACLE)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return fill_middle.digest(table(spark, sf, "documents"))
