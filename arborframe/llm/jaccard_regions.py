@@ -1,36 +1,47 @@
-"""Exact Jaccard join of documents, by regions around pivots of a metric space.
-
-Documents with equal shingle sets are one point.  1 - Jaccard is a metric; two points within the
-radius share one of their rarest shingles, so the points that hold a rare shingle form a region
-and no link leaves it.  In a region, pivots are compared with all points: a point within the
-radius joins the pivot's cell.  Where a region still falls into several components, it is split
-again with further pivots, among points that are not yet connected.  Two bounds leave pairs out:
-the distances to earlier pivots (the triangle inequality), and the shingles that no other point of
-a crowded region holds, which lie outside every intersection.  The first pivot of a region is the
-point with the fewest of those, next to its centre.  It ends when every pair across components is
-compared or bounded away.
+"""Exact Jaccard join of documents: pivots of a metric space, triangle windows, pieces of regions.
+
+Documents with equal shingle sets are one point.  1 - Jaccard is a metric, in which two unlike
+texts are almost as far apart as can be: no window of two radii around a pivot leaves anything out
+there.  Space is therefore cut first by rare shingles: linked points share one of the rarest
+shingles of both, so the points that hold a rare shingle form a region and no link leaves it.  In
+a region one pivot, the point that is most at home in regions, is compared with all others; what
+lies within the radius is one component with it.  Where points of different components are left,
+those outside the largest component are compared with the others, region by region in pieces of
+bounded size.  A pair is left out by the triangle inequality over the pivot, by the shingles that
+no other point of the crowded regions holds, or by counts of shingles in 128 classes, before it is
+written; what is left is judged on full sets.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborframe.llm.shingles import set_digest, shingle_set
+from arborframe.llm.shingles import shingle_set
 from arborframe.operators.core import Scratch, written
 from arborframe.operators.spatial import components
 
 SKETCH_BITS, SKETCH_SLICES = 21, 64
 PROFILE = 128
-POINTS = "doc_id long, n_shingles long, point long, slice int, counts binary"
+#: Regions of at most this many points do without counting shingles that one point alone holds
+SMALL = 64
+POINTS = "doc_id long, n_shingles long, point long, check long, slice int, counts binary"
+BEFORE = 6
 
 
-def points(docs: DataFrame, *, size: int = 5) -> DataFrame:
+def set_names(shingles: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """A set's 128-bit digest as two signed numbers; the first one names its point."""
+    raw = blake2b(shingles.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def points(docs: DataFrame, *, size: int = 5, salt: int = 0) -> DataFrame:
     """One row per document with its set's size and digest, and one sketch per partition.
 
     The sketch counts the documents' shingles in 2^21 slots, whatever the corpus holds.  It only
@@ -44,12 +55,12 @@ def points(docs: DataFrame, *, size: int = 5) -> DataFrame:
             texts, rows = batch.column(1), []
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 own = shingle_set(texts[i].as_py(), size)
-                rows.append((doc, len(own), set_digest(own)))
+                rows.append((doc, len(own), *set_names(own, salt)))
                 waiting.append(own >> np.uint64(64 - SKETCH_BITS))
                 n_waiting += len(own)
-            if n_waiting > 1 << 20:
-                _count(counts, waiting)
-                waiting, n_waiting = [], 0
+                if n_waiting > 1 << 20:
+                    _count(counts, waiting)
+                    waiting, n_waiting = [], 0
             yield _point_batch(rows, [])
         _count(counts, waiting)
         parts = np.split(counts, SKETCH_SLICES)
@@ -67,14 +78,14 @@ def _count(counts: np.ndarray, waiting: list[np.ndarray]) -> None:
 
 def _point_batch(rows: list[tuple], slices: list[tuple]) -> pa.RecordBatch:
     n, m = len(rows), len(slices)
-    own = [list(c) for c in zip(*rows)] or [[], [], []]
+    own = [list(c) for c in zip(*rows)] or [[], [], [], []]
     cut = [list(c) for c in zip(*slices)] or [[], []]
     return pa.RecordBatch.from_arrays(
         [
             *[pa.array(c + [None] * m, pa.int64()) for c in own],
             pa.array([None] * n + cut[0], pa.int32()), pa.array([None] * n + cut[1], pa.binary()),
         ],
-        names=["doc_id", "n_shingles", "point", "slice", "counts"],
+        names=["doc_id", "n_shingles", "point", "check", "slice", "counts"],
     )
 
 
@@ -104,7 +115,7 @@ def sketch(made: DataFrame) -> np.ndarray:
 
 
 def rare_shingles(
-    docs: DataFrame, counts: np.ndarray, *, size: int = 5, percent: int = 80
+    docs: DataFrame, counts: np.ndarray, *, size: int = 5, percent: int = 80, salt: int = 0
 ) -> DataFrame:
     """Rows ``shingle, point, n``: the rarest shingles of each set, enough that two linked sets
     share one of them: all but ``ceil(percent / 100 * n) - 1``."""
@@ -115,7 +126,7 @@ def rare_shingles(
             shingles, owners, sizes = [], [], []
             for i in range(batch.num_rows):
                 own = shingle_set(texts[i].as_py(), size)
-                point, n = set_digest(own), len(own)
+                point, n = set_names(own, salt)[0], len(own)
                 if n == 0 or point in seen:
                     continue
                 seen.add(point)
@@ -134,306 +145,365 @@ def rare_shingles(
     return docs.mapInArrow(run, "shingle long, point long, n int")
 
 
-def first_cells(rare: DataFrame, *, pivots: int = 4, percent: int = 80) -> DataFrame:
-    """Rows ``region, a, b``: all pairs of regions with at most ``pivots`` + 1 points, and, with
-    ``b`` NULL, the points of larger regions.
+def regions(rare: DataFrame) -> DataFrame:
+    """Rows ``region, point, n`` of all shingles that two points or more hold as rare ones.
 
-    The rows of a region stream past in order; only a few are held, however large it is.  Pairs
-    whose sizes alone forbid a link are left out.
+    The rows of a region stream past in order; the last one waits until a second point comes.
     """
 
-    def pairs_of(first: list, sent: set) -> list[tuple]:
-        out = []
-        for i, (q, q_size) in enumerate(first):
-            for point, size in first[:i]:
-                if 100 * min(size, q_size) >= percent * max(size, q_size) and (point, q) not in sent:
-                    sent.add((point, q))
-                    out.append((None, point, q))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, first, n_seen, last = None, [], 0, None
-        sent: set[tuple[int, int]] = set()
+        last, sent = np.zeros((0, 3), np.int64), False
         for batch in batches:
-            g = batch.column(0).to_numpy()
-            if not len(g):
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1)
+            rows = np.concatenate([last, rows])
+            if not len(rows):
                 continue
-            same = g[1:] == g[:-1]
-            alone = np.ones(len(g), bool)
-            alone[1:] &= ~same
-            alone[:-1] &= ~same
-            alone[[0, -1]] = False  # their region may go on in another batch
-            at = np.flatnonzero(~alone)
-            p, n = batch.column(1).to_numpy()[at].tolist(), batch.column(2).to_numpy()[at].tolist()
-            out: list[tuple] = []
-            for r, point, size in zip(g[at].tolist(), p, n):
-                if r != region:
-                    if n_seen <= pivots + 1:
-                        out += pairs_of(first, sent)
-                    region, first, n_seen, last = r, [], 0, None
-                if point == last:
-                    continue
-                last = point
-                n_seen += 1
-                if n_seen <= pivots + 1:
-                    first.append((point, size))
-                elif n_seen == pivots + 2:
-                    out += [(r, q, None) for q, _ in first] + [(r, point, None)]
-                else:
-                    out.append((r, point, None))
-            if len(sent) > 500_000:
-                sent.clear()  # a pair may be sent twice; equal pairs are dropped later
-            yield batch_of(out)
-        if n_seen <= pivots + 1:
-            yield batch_of(pairs_of(first, sent))
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        cols = zip(*out) if out else ([], [], [])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), pa.int64()) for c in cols], names=["region", "a", "b"]
-        )
+            rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))]
+            same = rows[1:, 0] == rows[:-1, 0]
+            shared = np.append(False, same) | np.append(same, False)
+            if sent:
+                shared[0] = False
+            sent = bool(shared[-1]) or (len(rows) == 1 and sent)
+            last, out = rows[-1:], rows[shared]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))],
+                names=["region", "point", "n"],
+            )
 
     ordered = rare.repartition("shingle").sortWithinPartitions("shingle", "point")
-    return ordered.mapInArrow(run, "region long, a long, b long")
+    return ordered.mapInArrow(run, "region long, point long, n int")
+
+
+def with_pivots(shared: DataFrame) -> DataFrame:
+    """Regions with the point of each that is most at home in regions: ``region, point, n, pivot,
+    n_pivot``.  Near the centre of a group a point has few shingles of its own, so most of its rare
+    ones are regions, and large ones."""
+    sizes = shared.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+    met = shared.join(sizes, "region").groupBy("point").agg(F.sum("size").alias("met"))
+    pivot = (
+        shared.join(met, "point").groupBy("region").agg(F.max(F.struct("met", "point", "n")).alias("p"))
+        .select("region", F.col("p.point").alias("pivot"), F.col("p.n").alias("n_pivot"))
+    )
+    return shared.join(pivot, "region")
 
 
-def point_sets(docs: DataFrame, wanted: DataFrame, *, size: int = 5) -> DataFrame:
-    """Rows ``point, crowd, profile, shingles`` for ``wanted`` (``doc_id, point, crowd``), read
-    from the texts."""
+def point_sets(docs: DataFrame, wanted: DataFrame, *, size: int = 5, salt: int = 0) -> DataFrame:
+    """Rows ``point, n, profile, shingles`` for ``wanted`` (``doc_id, point``), read from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rows = batch.column(0), []
-            crowd = batch.column(2).to_pylist()
-            for i, point in enumerate(batch.column(1).to_pylist()):
-                own = shingle_set(texts[i].as_py(), size)
-                if set_digest(own) == point:
-                    profile = np.bincount((own % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE)
-                    rows.append((point, crowd[i], profile, own.view(np.int64)))
+            rows = []
+            for text in batch.column(0):
+                own = shingle_set(text.as_py(), size)
+                rows.append((set_names(own, salt)[0], len(own), _profile(own), own.view(np.int64)))
             cols = [list(c) for c in zip(*rows)] or [[], [], [], []]
-            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, kinds)],
-                names=["point", "crowd", "profile", "shingles"],
+                names=["point", "n", "profile", "shingles"],
             )
 
-    texts = docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "point", "text"])
-    kind = "point long, crowd boolean, profile array<long>, shingles array<long>"
-    return texts.select("text", "point", "crowd").mapInArrow(run, kind)
+    kind = "point long, n int, profile binary, shingles array<long>"
+    texts = among(docs, wanted.select("doc_id"), "doc_id").select("text")
+    # an id that is given to several texts brings sets of other points along
+    made = among(texts.mapInArrow(run, kind), wanted.select("point"), "point")
+    return made.groupBy("point").agg(*[F.first(c).alias(c) for c in ("n", "profile", "shingles")])
 
 
-def among(sets: DataFrame, points: DataFrame, *, most: int = 500_000) -> DataFrame:
-    """The sets of the given points, a written table; it is broadcast while it has at most
-    ``most`` rows of one number, and joined by a shuffle beyond."""
-    listed = F.broadcast(points) if points.count() <= most else points
-    return sets.join(listed, "point", "left_semi")
+def _profile(own: np.ndarray) -> bytes:
+    """How many shingles lie in each of 128 classes, in one byte each where that holds them."""
+    counts = np.bincount((own % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def _profiles(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    rows = [r if len(r) > PROFILE else np.frombuffer(r, np.uint8).astype(np.uint32).tobytes() for r in raw]
+    return np.frombuffer(b"".join(rows), np.uint32).reshape(-1, PROFILE)
+
+
+def may_share(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray, percent: int):
+    """Whether sets with these profiles can be linked: the smaller counts of the classes add up to
+    at least the intersection."""
+    most = np.minimum(one, two).sum(1).astype(np.int64)
+    return 100 * most >= percent * (n_one + n_two - most)
+
+
+def among(table: DataFrame, wanted: DataFrame, key: str, *, most: int = 500_000) -> DataFrame:
+    """The rows of a table with a wanted key, a written table of numbers; those are broadcast while
+    they are at most ``most``, and joined by a shuffle beyond."""
+    few = F.broadcast(wanted) if wanted.count() <= most else wanted
+    return table.join(few, key, "left_semi")
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFrame:
-    """The pairs ``a, b`` that may be linked, judged by counts of their shingles in 128 classes.
+    """The pairs ``a, b`` that may be linked, judged by their profiles before any set is moved."""
 
-    The classes' smaller counts add up to at least the intersection, which rules most other
-    pairs out before any set is moved.
-    """
-    small = sets.select("point", "profile")
-    least = F.aggregate(
-        F.zip_with("profile_a", "profile_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"),
-        lambda s, x: s + x,
-    )
-    both = F.aggregate(
-        F.zip_with("profile_a", "profile_b", lambda x, y: x + y), F.lit(0).cast("long"),
-        lambda s, x: s + x,
-    )
-    return (
-        pairs.join(small.toDF("b", "profile_b"), "b").join(small.toDF("a", "profile_a"), "a")
-        .filter(100 * least >= percent * (both - least)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = _profiles(batch.column(4)), _profiles(batch.column(5))
+            n_one, n_two = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            keep = pa.array(np.flatnonzero(may_share(one, two, n_one, n_two, percent)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"]
+            )
+
+    small = sets.select("point", "n", "profile")
+    met = (
+        pairs.join(small.toDF("b", "n_b", "profile_b"), "b").join(small.toDF("a", "n_a", "profile_a"), "a")
+        .select("a", "b", "n_a", "n_b", "profile_a", "profile_b")
     )
+    return met.mapInArrow(run, "a long, b long")
 
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows ``a, b, common, union, distance`` of pairs, judged by their whole sets."""
+def distances(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFrame:
+    """Rows ``a, b, distance, linked`` of pairs, judged by their whole sets."""
     whole = sets.select("point", "shingles")
     met = pairs.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return met.select(
-        "a", "b", common.alias("common"), union.alias("union"),
-        (F.lit(1.0) - common / union).alias("distance"),
+    return met.select("a", "b", common.alias("common"), union.alias("union")).select(
+        "a", "b", (F.lit(1.0) - F.col("common") / F.col("union")).alias("distance"),
+        (100 * F.col("common") >= percent * F.col("union")).alias("linked"),
     )
 
 
 def lonely(crowd: DataFrame) -> DataFrame:
-    """Rows ``point, n, alone``: the size of each set of the crowd, and how many of its shingles
-    no other point of the crowd holds."""
-    own = crowd.select("point", "shingles")
-    single = (
-        own.select("point", F.explode("shingles").alias("shingle"))
-        .groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("point").alias("point"))
-        .filter(F.col("held") == 1).groupBy("point").agg(F.count(F.lit(1)).alias("alone"))
-    )
-    return own.select("point", F.size("shingles").alias("n")).join(single, "point", "left").select(
-        "point", "n", F.coalesce("alone", F.lit(0)).alias("alone")
+    """Rows ``point, alone`` of the points of which some shingles are in no other set of the crowd."""
+    each = crowd.select("point", F.explode("shingles").alias("shingle"))
+    return (
+        each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("point").alias("point"))
+        .filter("held = 1").groupBy("point").agg(F.count(F.lit(1)).alias("alone"))
     )
 
 
-def _may_link(percent: int) -> Column:
-    """Whether two points of a crowd can link at all: neither holds the other's lonely shingles."""
-    common = F.least(F.col("n") - F.col("alone"), F.col("n_p") - F.col("alone_p"))
-    return 100 * common >= percent * (F.col("n") + F.col("n_p") - common)
+ROW = "region, piece, part, role, point, component, open, n, alone, to_pivot, past, profile"
+
+
+def left_pairs(rows: DataFrame, *, percent: int) -> DataFrame:
+    """Rows ``a, b``: pairs of a region, of different components, that the bounds leave.
+
+    In each (region, piece, part) a bounded number of askers (role 0) come first, against which the
+    others stream past.  Of two open points the smaller one asks; a pair is met in the first of the
+    regions that both name as earlier ones.
+    """
+    radius = (100 - percent) / 100
+
+    def near(asking: _Rows, others: _Rows, block: int = 1 << 15) -> Iterator[tuple]:
+        step = max(1, (1 << 21) // len(asking))
+        for lo in range(0, len(others), step):
+            b = others.part(slice(lo, lo + step))
+            most = np.minimum((asking.n - asking.alone)[:, None], (b.n - b.alone)[None])
+            may = 100 * most >= percent * (asking.n[:, None] + b.n[None] - most)
+            may &= asking.component[:, None] != b.component[None]
+            may &= ~b.open[None] | (asking.point[:, None] < b.point[None])
+            # the triangle inequality over the pivot, where both distances are known
+            may &= ~(np.abs(asking.to_pivot[:, None] - b.to_pivot[None]) > radius + 1e-9)
+            i, j = np.nonzero(may)
+            for k in range(0, len(i), block):
+                p, q = i[k : k + block], j[k : k + block]
+                good = may_share(asking.profile[p], b.profile[q], asking.n[p], b.n[q], percent)
+                p, q = p[good], q[good]
+                one, two = asking.past[p], b.past[q]
+                met = ((one[:, :, None] == two[:, None, :]) & (asking.had[p][:, :, None] & b.had[q][:, None, :]))
+                fresh = ~met.any((1, 2))
+                yield asking.point[p[fresh]], b.point[q[fresh]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, asking = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            every = _Rows.of(batch)
+            edges = (np.flatnonzero((every.place[1:] != every.place[:-1]).any(1)) + 1).tolist()
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+                part = every.part(slice(lo, hi))
+                *here, role = part.place[0].tolist()
+                if here != place:
+                    place, asking = here, None
+                if role == 0:
+                    asking = part if asking is None else asking.plus(part)
+                elif asking is not None:
+                    for a, b in near(asking, part):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    names = ROW.split(", ")
+    ordered = rows.repartition(*names[:3]).sortWithinPartitions(*names[:4])
+    return ordered.select(*names).mapInArrow(run, "a long, b long")
+
+
+class _Rows:
+    """Points of one region as columns."""
+
+    FIELDS = ("place", "point", "component", "open", "n", "alone", "to_pivot", "past", "had", "profile")
+
+    def __init__(self, **columns: np.ndarray):
+        self.__dict__.update(columns)
+
+    def __len__(self) -> int:
+        return len(self.point)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Rows:
+        number = lambda k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)
+        past = np.zeros((batch.num_rows, BEFORE), np.int64)
+        had = np.zeros(past.shape, bool)
+        for i, earlier in enumerate(batch.column(10).to_pylist()):
+            past[i, : len(earlier)], had[i, : len(earlier)] = earlier, True
+        return cls(
+            place=np.stack([number(k) for k in range(4)], 1), point=number(4), component=number(5),
+            open=number(6) == 1, n=number(7), alone=number(8), past=past, had=had,
+            to_pivot=batch.column(9).to_numpy(zero_copy_only=False).astype(np.float64),
+            profile=_profiles(batch.column(11)),
+        )
+
+    def part(self, where) -> _Rows:
+        return _Rows(**{f: getattr(self, f)[where] for f in self.FIELDS})
+
+    def plus(self, more: _Rows) -> _Rows:
+        return _Rows(**{f: np.concatenate([getattr(self, f), getattr(more, f)]) for f in self.FIELDS})
+
 
+def _components(links: DataFrame) -> DataFrame:
+    return components(links, []).toDF("point", "component")
 
-def _beyond(pairs: DataFrame, known: DataFrame, radius: float) -> DataFrame:
-    """Pairs that some earlier pivot shows to lie farther apart than the radius."""
-    both = known.select("a", "b", "distance").unionByName(
-        known.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")
+
+def _own() -> Column:
+    return F.coalesce("component", "point").alias("component")
+
+
+def open_regions(homes: DataFrame, component: DataFrame, known: DataFrame) -> DataFrame:
+    """Points of the regions in which, beside the pivot, several components are left: ``region,
+    point, n, to_pivot, component, open, size``.  Open points lie outside the largest component;
+    of two points in different components one is open."""
+    at = homes.filter("point <> pivot").join(component, "point", "left")
+    at = at.select("region", "point", "n", "pivot", _own())
+    held = at.groupBy("region", "component").agg(F.count(F.lit(1)).alias("held"))
+    main = (
+        held.groupBy("region").agg(
+            F.max(F.struct("held", "component")).alias("m"), F.count(F.lit(1)).alias("parts"),
+            F.sum("held").alias("size"),
+        )
+        .filter("parts > 1").select("region", F.col("m.component").alias("main"), "size")
     )
-    left, right = both.toDF("pivot", "a", "to_a"), both.toDF("pivot", "b", "to_b")
-    apart = F.abs(F.col("to_a") - F.col("to_b")) > radius + 1e-9
+    to_pivot = known.select(F.col("a").alias("pivot"), F.col("b").alias("point"), F.col("distance").alias("to_pivot"))
     return (
-        pairs.join(left, "a").join(right, ["pivot", "b"]).filter(apart).select("a", "b").distinct()
+        at.join(main, "region").join(to_pivot, ["pivot", "point"], "left")
+        .select(
+            "region", "point", "n", "to_pivot", "component",
+            (F.col("component") != F.col("main")).alias("open"), "size",
+        )
     )
 
 
-def _component_of(links: DataFrame) -> DataFrame:
-    return components(links.select("a", "b"), []).toDF("point", "component")
-
+def bounded(at: DataFrame, sets: DataFrame, scratch: Scratch, *, percent: int) -> DataFrame:
+    """Open regions with ``alone`` and ``past`` in the place of ``size``.
 
-def linked_components(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    In regions of more than ``SMALL`` points a point that holds too much of its own cannot be
+    linked and goes.  ``past`` names up to six regions of the point before this one.
+    """
+    crowd = scratch.written(at.filter(F.col("size") > SMALL).select("point").distinct(), "crowd")
+    facts = scratch.written(lonely(among(sets, crowd, "point")), "lonely")
+    at = at.join(facts, "point", "left").withColumn(
+        "alone", F.when(F.col("size") > SMALL, F.coalesce("alone", F.lit(0))).otherwise(F.lit(0))
+    )
+    live = at.filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).drop("size")
+    along = Window.partitionBy("point").orderBy("region")
+    earlier = [F.lag("region", k).over(along) for k in range(1, BEFORE + 1)]
+    return live.withColumn("past", F.array_compact(F.array(*earlier)))
+
+
+def in_pieces(at: DataFrame, sets: DataFrame, *, asking: int, others: int) -> DataFrame:
+    """Rows for :func:`left_pairs`: the open points of a region in pieces, repeated for every part
+    of its points, and those for every piece."""
+    dealt = at.groupBy("region").agg(
+        F.ceil(F.sum(F.col("open").cast("int")) / F.lit(asking)).cast("int").alias("pieces"),
+        F.ceil(F.count(F.lit(1)) / F.lit(others)).cast("int").alias("parts"),
+    ).filter("pieces > 0")
+    at = at.join(dealt, "region").join(sets.select("point", "profile"), "point")
+    at = at.withColumn("open", F.col("open").cast("int"))
+    spot, names = F.xxhash64("point"), ROW.split(", ")
+    askers = at.filter("open = 1").withColumns({
+        "piece": F.pmod(spot, F.col("pieces")).cast("int"), "role": F.lit(0),
+        "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)),
+    })
+    asked = at.withColumns({
+        "part": F.pmod(spot, F.col("parts")).cast("int"), "role": F.lit(1),
+        "piece": F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)),
+    })
+    return askers.select(*names).unionByName(asked.select(*names))
+
+
+def linked_components(
+    docs: DataFrame, *, size: int = 5, percent: int = 80, asking: int = 1024, others: int = 16_384
+) -> DataFrame:
     """Rows ``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; the
     component is named by its smallest doc_id.  Texts without words, NULL ones among them, link
     with nothing and are their own component; so is a row with a NULL id, whose component is
-    NULL.  Repeated rows are one point and come back as often as they were given.  Jobs run
-    while the plan is built; an empty table gives an empty result.
+    NULL.  Repeated rows are one point and come back as often as they were given.  A crowded
+    region is compared in pieces of ``asking`` against ``others`` points.  Two sets never share a
+    name: where two 64-bit names are equal and the other halves of the digests are not, all are
+    named anew with another salt.  Jobs run while the plan is built; an empty table gives an empty
+    result.
     """
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = written(points(own, size=size), "points")
-    named = made.filter(F.col("slice").isNull()).select("doc_id", "n_shingles", "point")
-    reps = scratch.written(
-        named.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("point").agg(F.min("doc_id").alias("doc_id")),
-        "points-first",
-    )
+    salt = -1
+    while True:
+        salt += 1
+        made = written(points(own, size=size, salt=salt), "points")
+        named = made.filter(F.col("slice").isNull()).select("doc_id", "n_shingles", "point", "check")
+        reps = scratch.written(
+            named.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("point").agg(
+                F.min("doc_id").alias("doc_id"), (F.min("check") != F.max("check")).alias("clash")
+            ),
+            "points-first",
+        )
+        if reps.filter("clash").isEmpty():
+            break
     usable = own.filter(F.col("doc_id").isNotNull())
-    rare = rare_shingles(usable, sketch(made), size=size, percent=percent)
-    cells = scratch.written(first_cells(rare, percent=percent), "cells")
-    crowds = cells.filter(F.col("b").isNull()).select("region", F.col("a").alias("point"))
-    pairs = scratch.written(cells.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "pairs")
-    needed = (
-        pairs.select(F.col("a").alias("point"), F.lit(False).alias("crowd"))
-        .unionByName(pairs.select(F.col("b").alias("point"), F.lit(False).alias("crowd")))
-        .unionByName(crowds.select("point", F.lit(True).alias("crowd")))
-        .groupBy("point").agg(F.max("crowd").alias("crowd"))
-    )
-    every = scratch.written(
-        point_sets(usable, scratch.written(needed.join(reps, "point"), "wanted"), size=size), "sets"
+    rare = rare_shingles(usable, sketch(made), size=size, percent=percent, salt=salt)
+    shared = scratch.written(regions(rare), "regions")
+    homes = scratch.written(with_pivots(shared), "homes")
+    stars = scratch.written(
+        homes.filter("point <> pivot")
+        .filter(100 * F.least("n", "n_pivot") >= percent * F.greatest("n", "n_pivot"))
+        .groupBy(F.col("pivot").alias("a"), F.col("point").alias("b")).agg(F.count(F.lit(1)).alias("together")),
+        "stars",
     )
-    near = scratch.written(near_pairs(pairs, every, percent=percent), "near")
-    ends = near.select(F.col("a").alias("point")).unionByName(near.select(F.col("b").alias("point")))
-    # from here on only the sets that a pair needs are moved
-    sets = scratch.written(among(every, scratch.written(ends.distinct(), "near-points")), "near-sets")
-    radius = (100 - percent) / 100
-    linked = 100 * F.col("common") >= percent * F.col("union")
-    tested = [pairs]
-    known = [scratch.written(distances(near, sets), "distances")]
-    component = scratch.written(_component_of(known[0].filter(linked)), "component")
-    facts = scratch.written(lonely(every.filter("crowd")), "lonely")
-    # a point that holds too much of its own cannot link with anything in its crowd
-    # (and each row names the regions before it, so that a pair is met once and not in every one)
-    along = Window.partitionBy("point").orderBy("region")
-    live = scratch.written(
-        crowds.join(facts, "point")
-        .filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-        .withColumn("past", F.array_compact(F.array(*[F.lag("region", k).over(along) for k in range(1, 7)]))),
-        "crowds",
+    needed = scratch.written(
+        reps.join(shared.select("point").distinct(), "point", "left_semi").select("doc_id", "point"), "needed"
     )
-    sets = scratch.written(
-        among(every, scratch.written(live.select("point").distinct(), "live-points")), "live-sets"
+    sets = scratch.written(point_sets(usable, needed, size=size, salt=salt), "sets")
+    # the pivot nearest to home first, then those pivots that may still join components
+    best = stars.groupBy("b").agg(F.max(F.struct("together", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
+    best = scratch.written(near_pairs(best, sets, percent=percent), "near")
+    known = scratch.written(distances(best, sets, percent=percent), "distances")
+    component = scratch.written(_components(known.filter("linked")), "component")
+    rest = (
+        stars.join(best, ["a", "b"], "left_anti")
+        .join(component.toDF("a", "in_a"), "a", "left").join(component.toDF("b", "in_b"), "b", "left")
+        .filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
     )
-    spent, pivots = None, 1
-    while True:
-        at = live.join(component, "point", "left").withColumn(
-            "component", F.coalesce("component", "point")
-        )
-        done = F.lit(False)
-        if spent is not None:
-            at = at.join(spent, ["region", "point"], "left")
-            done = F.col("was_pivot").isNotNull()
-        at = at.select("region", "point", "n", "alone", "past", "component", done.alias("done"))
-        # of two points in different components one is outside the region's largest component,
-        # so a region is done when all points outside it have been pivots
-        held = at.groupBy("region", "component").agg(F.count(F.lit(1)).alias("held"))
-        main = held.groupBy("region").agg(
-            F.max_by("component", F.struct("held", "component")).alias("main")
-        )
-        at = at.join(main, "region").withColumn(
-            "open", (F.col("component") != F.col("main")) & ~F.col("done")
-        )
-        split = at.filter("open").select("region").distinct()
-        at = scratch.written(at.join(split, "region", "left_semi"), "split-regions")
-        if at.isEmpty():
-            break
-        # first the point nearest to the centre, then the open ones, from small components on
-        fresh, order = at, ["alone", "point"]
-        if spent is not None:
-            sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-            fresh = at.filter("open").join(sizes, "component", "left").withColumn(
-                "size", F.coalesce("size", F.lit(1))
-            )
-            order = ["size", *order]
-        spot = F.pmod(F.xxhash64("point"), F.lit(pivots))
-        chosen = scratch.written(
-            fresh.groupBy("region", spot.alias("spot"))
-            .agg(F.min(F.struct(*order, "n", "component", "past")).alias("p"))
-            .select(
-                "region", F.col("p.point").alias("pivot"), F.col("p.n").alias("n_p"),
-                F.col("p.alone").alias("alone_p"), F.col("p.component").alias("own"),
-                F.col("p.past").alias("past_p"),
-            ),
-            "pivots",
-        )
-        across = (
-            at.join(chosen, "region")
-            .filter((F.col("component") != F.col("own")) & _may_link(percent))
-            .filter(~F.arrays_overlap("past", "past_p"))  # met in an earlier region of both
-            .select(F.least("pivot", "point").alias("a"), F.greatest("pivot", "point").alias("b"))
-            .distinct()
-        )
-        for before in tested:
-            across = across.join(
-                before.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                ["a", "b"], "left_anti",
-            )
-        across = scratch.written(across, "across")
-        found = not across.isEmpty()
-        if found:
-            seen = known[0]
-            for more in known[1:]:
-                seen = seen.unionByName(more)
-            close = across.join(_beyond(across, seen, radius), ["a", "b"], "left_anti")
-            tested.append(across)
-            close = near_pairs(close, sets, percent=percent)
-            known.append(scratch.written(distances(close, sets), "distances"))
-            found = not known[-1].filter(linked).isEmpty()
-        if found:
-            links = known[0].filter(linked)
-            for more in known[1:]:
-                links = links.unionByName(more.filter(linked))
-            component = scratch.written(_component_of(links), "component")
-        now = chosen.select("region", F.col("pivot").alias("point"), F.lit(True).alias("was_pivot"))
-        spent = scratch.written(now if spent is None else spent.unionByName(now), "spent-pivots")
-        pivots *= 64
+    rest = scratch.written(near_pairs(rest, sets, percent=percent), "near")
+    if not rest.isEmpty():
+        known = known.unionByName(scratch.written(distances(rest, sets, percent=percent), "distances"))
+        component = scratch.written(_components(known.filter("linked")), "component")
+    at = scratch.written(open_regions(homes, component, known), "open-regions")
+    if not at.isEmpty():
+        at = scratch.written(bounded(at, sets, scratch, percent=percent), "bounded")
+        rows = in_pieces(at, sets, asking=asking, others=others)
+        left = scratch.written(left_pairs(rows, percent=percent).distinct(), "left-pairs")
+        if not left.isEmpty():
+            more = scratch.written(distances(left, sets, percent=percent), "distances")
+            links = known.unionByName(more).filter("linked")
+            component = scratch.written(_components(links), "component")
     # the smallest document of every component, and of every point beside them
-    smallest = (
-        reps.join(component, "point", "left")
-        .withColumn("component", F.coalesce("component", "point"))
-    )
+    smallest = reps.join(component, "point", "left").select("point", "doc_id", _own())
     lowest = smallest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = written(
-        smallest.join(lowest, "component").select("point", "component_id"), "labels"
-    )
+    label = written(smallest.join(lowest, "component").select("point", "component_id"), "labels")
     scratch.clear()
     return named.join(label, "point", "left").select(
         "doc_id", "n_shingles",

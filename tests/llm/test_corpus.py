@@ -210,30 +210,73 @@ def test_jaccard_components(spark):
     assert jaccard_regions.linked_components(messy.empty(spark)).count() == 0
 
 
-def test_regions_are_split_until_nothing_is_left(spark):
+@pytest.mark.parametrize("limits", [{}, {"asking": 3, "others": 7}])
+def test_what_one_pivot_leaves_is_compared(spark, limits):
     """Many texts share their rarest shingles, in several components: one pivot is not enough."""
     draw = random.Random(4)
     shared = " ".join(f"s{i}" for i in range(30))
     rows = []
-    for i in range(60):
+    for i in range(150):
         tail = " ".join(f"t{i // 6}x{j}" for j in range(12))
         rows.append((i, f"{shared} {tail} {'w' if i % 2 else 'v'}{draw.randint(0, 3)}"))
+    rows += [(1000 + i, f"{shared} u{i} " + " ".join(f"u{i}x{j}" for j in range(3))) for i in range(90)]
     rare = jaccard_regions.rare_shingles(
         messy.table(spark, rows).select("doc_id", "text"), np.zeros(1 << jaccard_regions.SKETCH_BITS, np.uint16)
     )
-    cells = jaccard_regions.first_cells(rare, pivots=1)
-    assert cells.filter("b is null").count() > 0
-    got = jaccard_regions.linked_components(messy.table(spark, rows)).collect()
+    held = collections.defaultdict(set)
+    for r in rare.collect():
+        held[r["shingle"]].add(r["point"])
+    shared = jaccard_regions.regions(rare)
+    want = {(s, p) for s, own in held.items() for p in own if len(own) > 1}
+    got = [(r["region"], r["point"]) for r in shared.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    sizes = collections.Counter(s for s, _ in want)
+    assert max(sizes.values()) > jaccard_regions.SMALL
+    got = jaccard_regions.linked_components(messy.table(spark, rows), **limits).collect()
     assert sorted(map(tuple, got)) == sorted(plain_components(rows))
 
 
-def test_bounds_by_earlier_pivots(spark):
-    known = spark.createDataFrame(
-        [(1, 2, 0.1), (1, 3, 0.6), (1, 4, 0.25)], "a long, b long, distance double"
+def test_bounds_on_pairs_of_a_region(spark):
+    """Of the pairs with an open point those stay that no bound leaves out, each once."""
+    profile = np.full(128, 2, np.uint8).tobytes()
+    far = np.concatenate([np.full(64, 4, np.uint8), np.zeros(64, np.uint8)]).tobytes()
+    wide = np.full(128, 300, np.uint32).tobytes()
+    rows = [  # point, component, open, n, alone, distance to the pivot, earlier regions, profile
+        (1, 1, 1, 256, 0, 0.3, [], profile), (2, 1, 0, 256, 0, 0.3, [], profile),
+        (3, 3, 1, 256, 0, 0.45, [], profile), (4, 4, 1, 256, 0, 0.9, [], profile),
+        (5, 5, 1, 256, 0, None, [], far), (6, 6, 1, 256, 40, 0.3, [], profile),
+        (7, 7, 0, 256, 0, 0.3, [77], profile), (8, 8, 1, 256, 0, 0.3, [76, 77], profile),
+        (9, 9, 1, 38400, 0, None, [], wide),
+    ]
+    n = collections.Counter()
+    asked = [(5, 0, 0, 1, *r) for r in rows]
+    asking = [(5, 0, 0, 0, *r) for r in rows if r[2]]
+    kind = (
+        "region long, piece int, part int, role int, point long, component long, open int, n long, "
+        "alone long, to_pivot double, past array<long>, profile binary"
     )
-    pairs = spark.createDataFrame([(2, 3), (2, 4), (3, 4)], "a long, b long")
-    got = {tuple(r) for r in jaccard_regions._beyond(pairs, known, 0.2).collect()}
-    assert got == {(2, 3), (3, 4)}
+    got = jaccard_regions.left_pairs(spark.createDataFrame(asking + asked, kind), percent=80)
+    n.update((r["a"], r["b"]) for r in got.collect())
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and (a[2] or b[2]) and a[1] != b[1]:
+                known = a[5] is not None and b[5] is not None
+                if known and abs(a[5] - b[5]) > 0.2 or {a[0], b[0]} == {7, 8}:
+                    continue
+                most = min(a[3] - a[4], b[3] - b[4])
+                own, other = (np.frombuffer(x[7], np.uint8 if len(x[7]) == 128 else np.uint32) for x in (a, b))
+                most = min(most, int(np.minimum(own, other).sum()))
+                if 100 * most >= 80 * (a[3] + b[3] - most):
+                    want.add((a[0], b[0]) if a[2] else (b[0], a[0]))
+    assert {tuple(sorted(p)) for p in n} == {tuple(sorted(p)) for p in want} and set(n.values()) == {1}
+
+
+def test_names_of_sets_depend_on_the_salt():
+    one, two = shingle_set("a b c d e f"), shingle_set("a b c d e g")
+    assert jaccard_regions.set_names(one) == jaccard_regions.set_names(one.copy())
+    names = [jaccard_regions.set_names(s, salt) for s in (one, two) for salt in (0, 1)]
+    assert len(set(names)) == 4 and all(-(2**63) <= h < 2**63 for n in names for h in n)
 
 
 def test_shingles_of_short_texts():
