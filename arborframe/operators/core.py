@@ -65,9 +65,12 @@ class Scratch:
 
 
 class Rounds:
-    """Cuts lineage once per round and removes the tables of rounds before the last one."""
+    """Cuts lineage once per round and removes the tables of rounds before the last one.
 
-    def __init__(self, spark: SparkSession, label: str, limit: int = 64):
+    Rounds go on until the caller sees nothing change; ``limit`` is for loops that may not end.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, limit: int | None = None):
         self.spark = spark
         self.label = label
         self.limit = limit
@@ -78,7 +81,7 @@ class Rounds:
 
     def next(self) -> int:
         self._round += 1
-        if self._round > self.limit:
+        if self.limit is not None and self._round > self.limit:
             raise RuntimeError(f"{self.label}: no convergence after {self.limit} rounds")
         return self._round
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
+from arborframe.operators.contraction import climb, is_root
 from arborframe.operators.core import written
 from arborframe.operators.trees import fold, section_measures, with_parent_point
 
@@ -112,10 +113,23 @@ def strahler_orders(section_table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Strahler order per section: (keys, section_id, strahler).
 
     A section reaches order n + 1 when it or one below it has two children of order n or more.
-    Each pass settles one order on the sections that reached the one before, whose number at
-    least halves; the tree is climbed by pointer doubling inside the pass.
+    Trees of one piece are settled there; those of several pieces order by order.
     """
     keys = list(keys)
+    found = climb(
+        section_table, keys, node="section_id", orders="strahler",
+        parent=F.when(~is_root("parent_section_id"), F.col("parent_section_id")),
+    ).select(*keys, "section_id", F.col("strahler").cast("int").alias("strahler"))
+    split = found.filter(F.col("strahler").isNull()).select(*keys, "section_id")
+    if split.isEmpty():
+        return found
+    rest = section_table.join(split, [*keys, "section_id"], "left_semi")
+    return found.filter(F.col("strahler").isNotNull()).unionByName(_orders_by_level(rest, keys))
+
+
+def _orders_by_level(section_table: DataFrame, keys: list[str]) -> DataFrame:
+    """The same by folds of whole trees: each settles one order on the sections that reached the
+    one before, whose number at least halves."""
     level = written(section_table.select(*keys, "section_id", "parent_section_id"), "strahler")
     found = level.select(*keys, "section_id", F.lit(1).alias("strahler"))
     order = 1
@@ -129,7 +143,7 @@ def strahler_orders(section_table: DataFrame, keys: Sequence[str]) -> DataFrame:
             below={"_any": ("max", F.coalesce("_fork", F.lit(0)))},
         ).filter("_any = 1")
         level = written(level.join(below, [*keys, "section_id"], "left_semi"), "strahler")
-        if level.limit(1).count() == 0:
+        if level.isEmpty():
             break
         order += 1
         found = found.unionByName(level.select(*keys, "section_id", F.lit(order).alias("strahler")))

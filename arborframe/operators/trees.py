@@ -4,9 +4,8 @@ A point table has the key columns of its tree (``keys``), ``point_id``, ``parent
 NULL at the root), ``x, y, z, radius`` and usually ``type``.  Section ids are the id of the
 point that opens the section; the root point belongs to section -1.
 
-Everything that follows parent links does so by pointer doubling: a round looks twice as far
-as the one before, so a chain of a million points takes twenty rounds, and a round keeps one
-row per point.
+Sums along the way to the root and folds over subtrees are found by contraction, in pieces of
+bounded size first; see :mod:`arborframe.operators.contraction`.
 """
 
 from __future__ import annotations
@@ -17,15 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
+from arborframe.operators.contraction import climb, is_root
 from arborframe.operators.core import Rounds, accumulate, id_slice, numbered, written
 
 KEYS = ("morphology",)
 
 
-def is_root(parent: str = "parent_id") -> Column:
-    return F.col(parent).isNull() | (F.col(parent) == -1)
-
-
 def child_counts(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Number of children per point that has any: (keys, point_id, n_children)."""
     return (
@@ -35,7 +31,7 @@ def child_counts(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-# --- pointer doubling ---------------------------------------------------------------------
+# --- ways to the root ---------------------------------------------------------------------
 
 
 def run_heads(
@@ -46,42 +42,11 @@ def run_heads(
     ``linked`` tells whether a node continues the run of its parent.  Returns
     (keys, node, head, steps).
     """
-    keys = list(keys)
-    rounds = Rounds(nodes.sparkSession, "run-heads")
-    state = rounds.cut(
-        nodes.select(
-            *keys,
-            F.col(node).alias("_node"),
-            F.when(F.col(linked), F.col(parent)).otherwise(F.col(node)).alias("_head"),
-            F.when(F.col(linked), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("_steps"),
-        )
-    )
-    while True:
-        rounds.next()
-        far = state.select(
-            *keys,
-            F.col("_node").alias("_head"),
-            F.col("_head").alias("_far"),
-            F.col("_steps").alias("_more"),
-        )
-        state = rounds.cut(
-            state.join(far, [*keys, "_head"], "left").select(
-                *keys,
-                "_node",
-                F.coalesce("_far", "_head").alias("_head"),
-                (F.col("_steps") + F.coalesce("_more", F.lit(0))).alias("_steps"),
-                (F.coalesce("_more", F.lit(0)) > 0).alias("_moved"),
-            ),
-            watch=F.col("_moved"),
-        )
-        if rounds.pending == 0:
-            break
-    return state.select(
-        *keys,
-        F.col("_node").alias(node),
-        F.col("_head").alias("head"),
-        F.col("_steps").alias("steps"),
+    found = climb(
+        nodes, keys, node=node, parent=F.when(F.col(linked), F.col(parent)),
+        up={"steps": F.when(F.col(linked), F.lit(1)).otherwise(F.lit(0)).cast("bigint")},
     )
+    return found.select(*keys, node, F.col("_summit").alias("head"), "steps")
 
 
 def fold(
@@ -94,7 +59,7 @@ def fold(
     below: dict[str, tuple[str, Column]] | None = None,
     reach: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Sums along the path to the root and aggregates over each subtree, in one loop.
+    """Sums along the path to the root and aggregates over each subtree, by contraction.
 
     ``up``: name -> value summed over the node and all its ancestors.
     ``below``: name -> ("sum" | "max" | "min", value) over the node and all its descendants.
@@ -102,55 +67,11 @@ def fold(
     (excluded) down to any descendant.
     Returns (keys, node, *names).
     """
-    up, below, reach = up or {}, below or {}, reach or {}
-    keys = list(keys)
-    rounds = Rounds(nodes.sparkSession, "fold")
-    state = rounds.cut(
-        nodes.select(
-            *keys,
-            F.col(node).alias("_node"),
-            F.when(~is_root(parent), F.col(parent)).alias("_hop"),
-            *[v.alias(n) for n, v in up.items()],
-            *[v.alias(n) for n, (_, v) in below.items()],
-            *[F.lit(0.0).alias(n) for n in reach],
-        )
+    found = climb(
+        nodes, keys, node=node, parent=F.when(~is_root(parent), F.col(parent)),
+        up=up, below=below, reach=reach,
     )
-    while True:
-        rounds.next()
-        names = [*up, *below, *reach]
-        far = state.select(
-            *keys,
-            F.col("_node").alias("_hop"),
-            F.col("_hop").alias("_far"),
-            *[F.col(n).alias(f"_f_{n}") for n in up],
-        )
-        grown = state.join(far, [*keys, "_hop"], "left")
-        merged = {n: F.col(n) + F.coalesce(F.col(f"_f_{n}"), F.lit(0)) for n in up}
-        if below or reach:
-            how = {"sum": F.sum, "max": F.max, "min": F.min}
-            parts = [how[kind](n).alias(f"_b_{n}") for n, (kind, _) in below.items()]
-            parts += [F.max(F.col(u) + F.col(n)).alias(f"_b_{n}") for n, u in reach.items()]
-            lower = (
-                state.filter(F.col("_hop").isNotNull())
-                .groupBy(*keys, F.col("_hop").alias("_node"))
-                .agg(*parts)
-            )
-            grown = grown.join(lower, [*keys, "_node"], "left")
-            pair = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest,
-                    "min": F.least}
-            for n, (kind, _) in below.items():
-                merged[n] = pair[kind](F.col(n), F.col(f"_b_{n}"))
-            for n in reach:
-                merged[n] = F.greatest(F.col(n), F.col(f"_b_{n}"))
-        state = rounds.cut(
-            grown.select(
-                *keys, "_node", F.col("_far").alias("_hop"), *[merged[n].alias(n) for n in names]
-            ),
-            watch=F.col("_hop").isNotNull(),
-        )
-        if rounds.pending == 0:
-            break
-    return state.select(*keys, F.col("_node").alias(node), *[*up, *below, *reach])
+    return found.drop("_summit")
 
 
 def ancestors(
