@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborframe.llm.shingles import shingle_set
+from arborframe.llm.shingles import in_short, shingle_set
 from arborframe.operators.core import Scratch, written
 from arborframe.operators.spatial import components
 
@@ -51,7 +51,7 @@ def points(docs: DataFrame, *, size: int = 5, salt: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         waiting, n_waiting = [], 0
-        for batch in batches:
+        for batch in in_short(batches):
             texts, rows = batch.column(1), []
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 own = shingle_set(texts[i].as_py(), size)
@@ -121,8 +121,11 @@ def rare_shingles(
     share one of them: all but ``ceil(percent / 100 * n) - 1``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, seen = batch.column(1), set()
+        seen: set[int] = set()  # only saves work: a point may be sent twice
+        for batch in in_short(batches):
+            texts = batch.column(1)
+            if len(seen) > 100_000:
+                seen.clear()
             shingles, owners, sizes = [], [], []
             for i in range(batch.num_rows):
                 own = shingle_set(texts[i].as_py(), size)
@@ -191,7 +194,7 @@ def point_sets(docs: DataFrame, wanted: DataFrame, *, size: int = 5, salt: int =
     """Rows ``point, n, profile, shingles`` for ``wanted`` (``doc_id, point``), read from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_short(batches):
             rows = []
             for text in batch.column(0):
                 own = shingle_set(text.as_py(), size)
@@ -206,8 +209,7 @@ def point_sets(docs: DataFrame, wanted: DataFrame, *, size: int = 5, salt: int =
     kind = "point long, n int, profile binary, shingles array<long>"
     texts = among(docs, wanted.select("doc_id"), "doc_id").select("text")
     # an id that is given to several texts brings sets of other points along
-    made = among(texts.mapInArrow(run, kind), wanted.select("point"), "point")
-    return made.groupBy("point").agg(*[F.first(c).alias(c) for c in ("n", "profile", "shingles")])
+    return among(texts.mapInArrow(run, kind), wanted.select("point"), "point")
 
 
 def _profile(own: np.ndarray) -> bytes:
@@ -256,9 +258,12 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataF
     return met.mapInArrow(run, "a long, b long")
 
 
-def distances(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFrame:
-    """Rows ``a, b, distance, linked`` of pairs, judged by their whole sets."""
-    whole = sets.select("point", "shingles")
+def distances(pairs: DataFrame, sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFrame:
+    """Rows ``a, b, distance, linked`` of written pairs, judged by their whole sets, of which only
+    those are moved that a pair needs."""
+    ends = pairs.select(F.col("a").alias("point")).unionByName(pairs.select(F.col("b").alias("point")))
+    ends = scratch.written(ends.distinct(), "ends")
+    whole = scratch.written(among(sets.select("point", "shingles"), ends, "point"), "needed-sets")
     met = pairs.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
@@ -477,10 +482,12 @@ def linked_components(
         reps.join(shared.select("point").distinct(), "point", "left_semi").select("doc_id", "point"), "needed"
     )
     sets = scratch.written(point_sets(usable, needed, size=size, salt=salt), "sets")
+    if sets.count() > needed.count():  # rows that were given more than once
+        sets = scratch.written(sets.dropDuplicates(["point"]), "sets")
     # the pivot nearest to home first, then those pivots that may still join components
     best = stars.groupBy("b").agg(F.max(F.struct("together", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
     best = scratch.written(near_pairs(best, sets, percent=percent), "near")
-    known = scratch.written(distances(best, sets, percent=percent), "distances")
+    known = scratch.written(distances(best, sets, scratch, percent=percent), "distances")
     component = scratch.written(_components(known.filter("linked")), "component")
     rest = (
         stars.join(best, ["a", "b"], "left_anti")
@@ -489,7 +496,7 @@ def linked_components(
     )
     rest = scratch.written(near_pairs(rest, sets, percent=percent), "near")
     if not rest.isEmpty():
-        known = known.unionByName(scratch.written(distances(rest, sets, percent=percent), "distances"))
+        known = known.unionByName(scratch.written(distances(rest, sets, scratch, percent=percent), "distances"))
         component = scratch.written(_components(known.filter("linked")), "component")
     at = scratch.written(open_regions(homes, component, known), "open-regions")
     if not at.isEmpty():
@@ -497,7 +504,7 @@ def linked_components(
         rows = in_pieces(at, sets, asking=asking, others=others)
         left = scratch.written(left_pairs(rows, percent=percent).distinct(), "left-pairs")
         if not left.isEmpty():
-            more = scratch.written(distances(left, sets, percent=percent), "distances")
+            more = scratch.written(distances(left, sets, scratch, percent=percent), "distances")
             links = known.unionByName(more).filter("linked")
             component = scratch.written(_components(links), "component")
     # the smallest document of every component, and of every point beside them

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 
 from arborframe.llm.encoding import Known
 
@@ -29,6 +31,13 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.frombuffer(b"".join([known[w] for w in words]), "<u8")
 
 
+def in_short(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that the sets of few texts are held at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * MIX
     return h ^ (h >> np.uint64(29))
