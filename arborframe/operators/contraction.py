@@ -45,14 +45,25 @@ class Piece:
     """Nodes of a block of pieces as arrays; ``parent`` is -1 where it is not in the piece."""
 
     def __init__(self, group: np.ndarray, node: np.ndarray, hop: np.ndarray, linked: np.ndarray):
-        n = len(node)
-        _, number = np.unique(np.concatenate([node, hop]), return_inverse=True)
-        spread = np.int64(number.max() + 1) if n else np.int64(1)
-        own, wanted = group * spread + number[:n], group * spread + number[n:]
-        order = np.argsort(own, kind="stable")
-        at = np.minimum(np.searchsorted(own[order], wanted), max(n - 1, 0))
-        found = order[at] if n else at
-        self.parent = np.where(linked & (own[found] == wanted), found, -1) if n else found
+        self.names, self.spread = np.unique(node), np.int64(len(np.unique(node)) + 1)
+        self.own = self._coded(group, node)
+        self.order = np.argsort(self.own, kind="stable")
+        self.parent = np.where(linked, self.at(group, hop), -1)
+
+    def _coded(self, group: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """One number for each tree, piece and node; the last one of a piece for unknown nodes."""
+        place = np.minimum(np.searchsorted(self.names, node), max(len(self.names) - 1, 0))
+        known = self.names[place] == node if len(self.names) else np.zeros(len(node), bool)
+        return group * self.spread + np.where(known, place, self.spread - 1)
+
+    def at(self, group: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Positions of the named nodes, -1 where the piece has none of the name."""
+        if not len(self.own):
+            return np.full(len(node), -1)
+        wanted = self._coded(group, node)
+        place = np.minimum(np.searchsorted(self.own[self.order], wanted), len(self.own) - 1)
+        found = self.order[place]
+        return np.where(self.own[found] == wanted, found, -1)
 
     def hops(self, live: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Nodes and the nodes 1, 2, 4, ... links above them, as long as there are any."""
@@ -195,6 +206,110 @@ def _solved(
     return ordered.mapInArrow(run, schema)
 
 
+# --- ways through pieces -------------------------------------------------------------------
+
+
+def ways_up(
+    nodes: DataFrame, keys: Sequence[str], *, node: str, parent: Column, of: DataFrame | None = None,
+    most: str | None = None, width: int = WIDTH, block: int = 1 << 18,
+) -> DataFrame:
+    """Rows ``keys, node, ancestor, steps``: the way from every node to its root, itself first.
+
+    ``of`` restricts it to its distinct ``keys, node``; with ``most``, one of its columns, a way
+    ends after so many nodes (the largest number, where a node has several).  A way goes through
+    a piece in one task and only from piece to piece in rounds; no rows but those of the result
+    are written.  A node that is not in the table has no way.
+    """
+    keys = list(keys)
+    own = _in_pieces(
+        nodes.select(*keys, F.col(node).cast("bigint").alias("_node"), parent.cast("bigint").alias("_hop")),
+        keys, width,
+    )
+    own = own.select(
+        *keys, "_node", "_hop", F.lit(0).alias("_role"), *[F.lit(None).cast("bigint").alias(c) for c in _WALK],
+        "_tree", "_tree2", "_piece",
+    )
+    at = F.col(node).cast("bigint")
+    far = F.max(F.col(most).cast("bigint")) if most else F.max(F.lit(None).cast("bigint"))
+    walkers = (of if of is not None else nodes).groupBy(*keys, at.alias("_node")).agg(far.alias("_left")).select(
+        *keys, "_node", F.col("_node").alias("_start"), F.lit(0).cast("bigint").alias("_steps"), "_left"
+    )
+    fields = [StructField(f.name, f.dataType) for f in own.select(*keys).schema.fields]
+    fields += [StructField(c, own.schema["_node"].dataType) for c in ("_start", "ancestor", "_steps", "_next", "_left")]
+    schema = StructType(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, "_piece"):
+            yield from walk(table.combine_chunks())
+
+    def walk(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        number = lambda c: table.column(c).fill_null(0).to_numpy()
+        group = _codes(number("_tree"), number("_tree2"), number("_piece"))
+        walking = number("_role") == 1
+        tree = np.flatnonzero(~walking)
+        hop, linked = number("_hop")[tree], table.column("_hop").is_valid().to_numpy()[tree]
+        piece = Piece(group[tree], number("_node")[tree], hop, linked)
+        row = np.flatnonzero(walking)
+        here = piece.at(group[row], number("_node")[row])
+        row, here = row[here >= 0], here[here >= 0]
+        names = number("_node")[tree]
+        start, steps = number("_start")[row], number("_steps")[row]
+        left = np.where(table.column("_left").is_valid().to_numpy()[row], number("_left")[row], np.iinfo(np.int64).max)
+        made, held = [], 0
+        while len(row):
+            going = left > 0
+            row, here, start, steps, left = (c[going] for c in (row, here, start, steps, left))
+            made.append((row, start, names[here], steps, np.full(len(row), -1), left))
+            held += len(row)
+            above = piece.parent[here]
+            # where the parent lies in another piece, the walk goes on there
+            out = (above < 0) & linked[here] & (left > 1)
+            made.append((row[out], start[out], np.full(out.sum(), -1), steps[out] + 1, hop[here[out]], left[out] - 1))
+            stay = above >= 0
+            row, here, start, steps, left = row[stay], above[stay], start[stay], steps[stay] + 1, left[stay] - 1
+            if held > block:
+                yield rows(table, made)
+                made, held = [], 0
+        if made:
+            yield rows(table, made)
+
+    def rows(table: pa.Table, made: list[tuple]) -> pa.RecordBatch:
+        row, start, ancestor, steps, onward, left = (np.concatenate(c) for c in zip(*made))
+        more = ancestor_missing(made)
+        columns = [table.column(k).take(pa.array(row)).combine_chunks() for k in keys]
+        endless = left >= np.iinfo(np.int64).max // 2
+        columns += [
+            pa.array(start), pa.array(ancestor, mask=more), pa.array(steps), pa.array(onward, mask=~more),
+            pa.array(left, mask=endless),
+        ]
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def ancestor_missing(made: list[tuple]) -> np.ndarray:
+        """Rows that go on in another piece: every second part of what was made."""
+        return np.concatenate([np.full(len(m[0]), k % 2 == 1) for k, m in enumerate(made)])
+
+    found = None
+    while True:
+        sent = _in_pieces(walkers, keys, width).select(
+            *keys, "_node", F.lit(None).cast("bigint").alias("_hop"), F.lit(1).alias("_role"), *_WALK,
+            "_tree", "_tree2", "_piece",
+        )
+        met = own if found is None else own.join(sent.select("_piece").distinct(), "_piece", "left_semi").select(*own.columns)
+        dealt = met.unionByName(sent).repartition("_piece").sortWithinPartitions("_piece")
+        walked = written(dealt.mapInArrow(run, schema), "ways")
+        part = walked.filter(F.col("_next").isNull())
+        found = part if found is None else found.unionByName(part)
+        walkers = walked.filter(F.col("_next").isNotNull()).select(
+            *keys, F.col("_next").alias("_node"), "_start", "_steps", "_left"
+        )
+        if walkers.isEmpty():
+            return found.select(*keys, F.col("_start").alias(node), "ancestor", F.col("_steps").alias("steps"))
+
+
+_WALK = ("_start", "_steps", "_left")
+
+
 # --- the forest of tops -------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
-from arborframe.operators.contraction import climb, is_root
+from arborframe.operators.contraction import climb, is_root, ways_up
 from arborframe.operators.core import Rounds, accumulate, id_slice, numbered, written
 
 KEYS = ("morphology",)
@@ -87,43 +87,7 @@ def ancestors(
     ``of`` restricts the left side to its distinct (keys, node) rows; the result then holds
     only the paths of those nodes.
     """
-    keys = list(keys)
-    rounds = Rounds(nodes.sparkSession, "ancestors")
-    jumps = rounds.cut(
-        nodes.filter(~is_root(parent)).select(
-            *keys, F.col(node).alias("ancestor"), F.col(parent).alias("_far")
-        ),
-        "jumps",
-    )
-    members = (of if of is not None else nodes).select(*keys, F.col(node).alias("_node"))
-    paths = rounds.cut(
-        (members.distinct() if of is not None else members).select(
-            *keys, "_node", F.col("_node").alias("ancestor"),
-            F.lit(0).cast("bigint").alias("steps"),
-        ),
-        "paths",
-    )
-    stride = 1
-    while True:
-        rounds.next()
-        longer = paths.join(jumps, [*keys, "ancestor"]).select(
-            *keys, "_node", F.col("_far").alias("ancestor"), (F.col("steps") + stride).alias("steps")
-        )
-        paths = rounds.cut(paths.unionByName(longer), "paths")
-        ahead = jumps.select(
-            *keys, F.col("ancestor").alias("_far"), F.col("_far").alias("_next")
-        )
-        jumps = rounds.cut(
-            jumps.join(ahead, [*keys, "_far"]).select(
-                *keys, "ancestor", F.col("_next").alias("_far")
-            ),
-            "jumps",
-            watch=F.lit(True),
-        )
-        stride *= 2
-        if rounds.pending == 0:
-            break
-    return paths.select(*keys, F.col("_node").alias(node), "ancestor", "steps")
+    return ways_up(nodes, keys, node=node, parent=F.when(~is_root(parent), F.col(parent)), of=of)
 
 
 # --- sections -----------------------------------------------------------------------------

@@ -119,20 +119,6 @@ _WIDE_SQL = f"""select morphology, {r6s("count(*) filter (bif)::double")} as sum
   count(*)::double as mean_number_of_sections_per_neurite, count(*)::double as sum_number_of_sections_per_neurite, {r6s("sum(length)")} as mean_total_length_per_neurite from sf group by 1"""
 
 
-def wide_features(spark, sf, strahler=False):
-    def make():
-        sec = section_table(spark, sf).withColumn("neurite", F.lit(0))
-        return S.morphometrics(sec, [M], ["neurite"], strahler=strahler)
-
-    return shared(spark, sf, f"features-{strahler}", make)
-
-
-@shelf.add("m05_morphometrics", f"with recursive {MORPH_SQL} {_WIDE_SQL}")
-def m05(spark, sf):
-    out = wide_features(spark, sf)
-    return out.select(M, *[r6(F.col(c)).alias(c) for c in out.columns if c != M])
-
-
 # A section has order n + 1 when it or one below it has two children of order n or more; twelve
 # orders need 2048 leaves in one tree.
 ORDERS_SQL = f"""
@@ -153,6 +139,29 @@ o1 as materialized (select morphology, section_id from sections),
 _EVERY_ORDER = " union all ".join(f"select {n} as strahler, * from o{n}" for n in range(1, 13))
 
 
+def wide_features(spark, sf):
+    def make():
+        sec = section_table(spark, sf).withColumn("neurite", F.lit(0))
+        return S.morphometrics(sec, [M], ["neurite"])
+
+    return shared(spark, sf, "features", make)
+
+
+_ORDER_MEANS = f"""orders as (select morphology, avg(strahler) as mean_order from (
+    select morphology, section_id, max(strahler) as strahler from ({_EVERY_ORDER}) group by 1, 2) group by 1)"""
+
+
+_FEATURES_SQL = f"{MORPH_SQL.replace(SECTIONS_SQL, ORDERS_SQL)}, {_ORDER_MEANS}"
+_ALL_WIDE_SQL = f"""select w.*, {r6s("mean_order")} as mean_section_strahler_orders
+    from ({_WIDE_SQL}) w join orders using (morphology)"""
+
+
+@shelf.add("m05_morphometrics", f"with recursive {_FEATURES_SQL} {_ALL_WIDE_SQL}")
+def m05(spark, sf):
+    out = wide_features(spark, sf)
+    return out.select(M, *[r6(F.col(c)).alias(c) for c in out.columns if c != M])
+
+
 @shelf.add("m05_strahler_orders", f"""with recursive {ORDERS_SQL}
     select morphology, strahler, count(*) as n_sections from (
       select morphology, section_id, max(strahler)::integer as strahler from ({_EVERY_ORDER}) group by 1, 2) group by 1, 2""")
@@ -256,8 +265,8 @@ def m04(spark, sf):
 # --- scores: users against the next user ----------------------------------------------------------
 
 SCORE_SQL = f"""
-{MORPH_SQL},
-wide as materialized ({_WIDE_SQL}),
+{_FEATURES_SQL},
+wide as materialized ({_ALL_WIDE_SQL}),
 ord as (select morphology, row_number() over (order by morphology::bigint) - 1 as pos from wide),
 lng as materialized (select morphology, feature, value from wide unpivot include nulls (value for feature in (columns(* exclude morphology)))),
 sc as materialized (select r.morphology, r.feature, case when r.value is null or t.value is null then 'nan'::double when r.value = 0 then case when t.value = 0 then 0 when t.value > 0 then 'inf'::double else '-inf'::double end else (t.value - r.value) / r.value end::double as score

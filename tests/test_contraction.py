@@ -146,3 +146,25 @@ def test_piece(parents):
     rows = zip(piece.tops(), piece.up(held), piece.below(held, "sum"), piece.below(held, "max"), piece.orders())
     for (v, want), got in zip(plain(parent, value).items(), rows):
         assert tuple(int(x) for x in got) == (*want[:4], want[5])
+
+
+@pytest.mark.parametrize("width", [3, 50, 1 << 16])
+def test_ways_up(spark, width):
+    draw = random.Random(width)
+    forests = {f"t{k}": grown(draw, n, s) for k, (n, s) in enumerate([(1, 1), (60, 60), (120, 4)])}
+    rows = [(k, v, p) for k, f in forests.items() for v, p in f.items()]
+    nodes = spark.createDataFrame(rows, "tree string, id long, up long")
+    want = set()
+    for tree, parent in forests.items():
+        for v in parent:
+            at, steps = v, 0
+            while at is not None:
+                want.add((tree, v, at, steps))
+                at, steps = parent[at], steps + 1
+    got = contraction.ways_up(nodes, ["tree"], node="id", parent=F.col("up"), width=width).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    asked = [(t, v, (v % 4) + (0 if v % 3 else 2)) for t, v, _ in rows if v % 2] * 2 + [("t1", 10_000, 3), ("none", 1, 3)]
+    of = spark.createDataFrame(asked, "tree string, id long, far int")
+    got = contraction.ways_up(nodes, ["tree"], node="id", parent=F.col("up"), of=of, most="far", width=width)
+    far = {(t, v): n for t, v, n in asked}
+    assert sorted(map(tuple, got.collect())) == sorted(w for w in want if w[3] < far.get(w[:2], 0))
