@@ -117,7 +117,7 @@ def sketch(made: DataFrame) -> np.ndarray:
 def rare_shingles(
     docs: DataFrame, counts: np.ndarray, *, size: int = 5, percent: int = 80, salt: int = 0
 ) -> DataFrame:
-    """Rows ``shingle, point, n``: the rarest shingles of each set, enough that two linked sets
+    """Rows ``shingle, point``: the rarest shingles of each set, enough that two linked sets
     share one of them: all but ``ceil(percent / 100 * n) - 1``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def rare_shingles(
             texts = batch.column(1)
             if len(seen) > 100_000:
                 seen.clear()
-            shingles, owners, sizes = [], [], []
+            shingles, owners = [], []
             for i in range(batch.num_rows):
                 own = shingle_set(texts[i].as_py(), size)
                 point, n = set_names(own, salt)[0], len(own)
@@ -138,56 +138,93 @@ def rare_shingles(
                 chosen = own[rank[: n - (percent * n + 99) // 100 + 1]]
                 shingles.append(chosen.view(np.int64))
                 owners.append(np.full(len(chosen), point, np.int64))
-                sizes.append(np.full(len(chosen), n, np.int32))
             if shingles:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (shingles, owners, sizes)],
-                    names=["shingle", "point", "n"],
+                    [pa.array(np.concatenate(c)) for c in (shingles, owners)], names=["shingle", "point"]
                 )
 
-    return docs.mapInArrow(run, "shingle long, point long, n int")
+    return docs.mapInArrow(run, "shingle long, point long")
 
 
 def regions(rare: DataFrame) -> DataFrame:
-    """Rows ``region, point, n`` of all shingles that two points or more hold as rare ones.
+    """Rows ``region, point`` of all shingles that two points or more hold as rare ones.
 
-    The rows of a region stream past in order; the last one waits until a second point comes.
+    A passage that the same points share is many shingles but one region: regions of up to
+    ``SMALL`` points are listed whole and equal lists kept once.  Larger ones stream past.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sent = np.zeros((0, 3), np.int64), False
+        held, crowded = np.zeros((0, 2), np.int64), None
         for batch in batches:
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1)
-            rows = np.concatenate([last, rows])
+            rows = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1)])
             if not len(rows):
                 continue
-            rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))]
-            same = rows[1:, 0] == rows[:-1, 0]
-            shared = np.append(False, same) | np.append(same, False)
-            if sent:
-                shared[0] = False
-            sent = bool(shared[-1]) or (len(rows) == 1 and sent)
-            last, out = rows[-1:], rows[shared]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))],
-                names=["region", "point", "n"],
-            )
+            fresh = np.append(True, (rows[1:] != rows[:-1]).any(1))
+            rows = rows[fresh]
+            starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            ends = np.append(starts[1:], len(rows))
+            lists: set[bytes] = set()
+            large = []
+            if rows[0, 0] == crowded:  # goes on from the batch before
+                large.append(rows[: ends[0]])
+                starts, ends = starts[1:], ends[1:]
+            held = np.zeros((0, 2), np.int64)
+            if len(starts):
+                crowded = None
+                if ends[-1] - starts[-1] <= SMALL:  # may go on in the next batch
+                    held, starts, ends = rows[starts[-1] :], starts[:-1], ends[:-1]
+                else:
+                    crowded = rows[-1, 0]
+            sizes = ends - starts
+            for k in np.flatnonzero(sizes > 1).tolist():
+                part = rows[starts[k] : ends[k]]
+                if len(part) <= SMALL:
+                    lists.add(part[:, 1].tobytes())
+                else:
+                    large.append(part)
+            yield regions_of(lists, large)
+        if len(held) > 1:
+            yield regions_of({held[:, 1].tobytes()}, [])
+
+    def regions_of(lists: set[bytes], large: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(large) if large else np.zeros((0, 2), np.int64)
+        none = pa.nulls(len(lists), pa.int64())
+        members = [np.frombuffer(m, np.int64) for m in lists]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([none, pa.array(rows[:, 0])]), pa.concat_arrays([none, pa.array(rows[:, 1])]),
+                pa.array([*members, *[None] * len(rows)], pa.list_(pa.int64())),
+            ],
+            names=["region", "point", "members"],
+        )
 
     ordered = rare.repartition("shingle").sortWithinPartitions("shingle", "point")
-    return ordered.mapInArrow(run, "region long, point long, n int")
+    return ordered.mapInArrow(run, "region long, point long, members array<long>")
+
+
+def members(listed: DataFrame) -> DataFrame:
+    """Rows ``region, point`` from the written result of :func:`regions`."""
+    small = listed.filter(F.col("members").isNotNull()).select("members").distinct()
+    small = small.select(F.xxhash64("members").alias("region"), F.explode("members").alias("point"))
+    return listed.filter(F.col("members").isNull()).select("region", "point").unionByName(small)
 
 
-def with_pivots(shared: DataFrame) -> DataFrame:
+def small_side(table: DataFrame, *, most: int = 500_000) -> DataFrame:
+    """A written table of numbers, marked for broadcast while it has at most ``most`` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def with_pivots(shared: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
     """Regions with the point of each that is most at home in regions: ``region, point, n, pivot,
     n_pivot``.  Near the centre of a group a point has few shingles of its own, so most of its rare
-    ones are regions, and large ones."""
-    sizes = shared.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-    met = shared.join(sizes, "region").groupBy("point").agg(F.sum("size").alias("met"))
-    pivot = (
-        shared.join(met, "point").groupBy("region").agg(F.max(F.struct("met", "point", "n")).alias("p"))
-        .select("region", F.col("p.point").alias("pivot"), F.col("p.n").alias("n_pivot"))
+    ones are regions.  ``sizes``: (point, n)."""
+    homes = shared.groupBy("point").agg(F.count(F.lit(1)).alias("met"))
+    homes = scratch.written(homes.join(sizes, "point"), "points-at-home")
+    placed = shared.join(small_side(homes), "point")
+    pivot = placed.groupBy("region").agg(F.max(F.struct("met", "point", "n")).alias("p")).select(
+        "region", F.col("p.point").alias("pivot"), F.col("p.n").alias("n_pivot")
     )
-    return shared.join(pivot, "region")
+    return placed.join(pivot, "region").select("region", "point", "n", "pivot", "n_pivot")
 
 
 def point_sets(docs: DataFrame, wanted: DataFrame, *, size: int = 5, salt: int = 0) -> DataFrame:
@@ -234,8 +271,7 @@ def may_share(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.nda
 def among(table: DataFrame, wanted: DataFrame, key: str, *, most: int = 500_000) -> DataFrame:
     """The rows of a table with a wanted key, a written table of numbers; those are broadcast while
     they are at most ``most``, and joined by a shuffle beyond."""
-    few = F.broadcast(wanted) if wanted.count() <= most else wanted
-    return table.join(few, key, "left_semi")
+    return table.join(small_side(wanted, most=most), key, "left_semi")
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFrame:
@@ -252,7 +288,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataF
 
     small = sets.select("point", "n", "profile")
     met = (
-        pairs.join(small.toDF("b", "n_b", "profile_b"), "b").join(small.toDF("a", "n_a", "profile_a"), "a")
+        small.toDF("b", "n_b", "profile_b").join(pairs, "b").join(small.toDF("a", "n_a", "profile_a"), "a")
         .select("a", "b", "n_a", "n_b", "profile_a", "profile_b")
     )
     return met.mapInArrow(run, "a long, b long")
@@ -261,10 +297,12 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataF
 def distances(pairs: DataFrame, sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFrame:
     """Rows ``a, b, distance, linked`` of written pairs, judged by their whole sets, of which only
     those are moved that a pair needs."""
-    ends = pairs.select(F.col("a").alias("point")).unionByName(pairs.select(F.col("b").alias("point")))
-    ends = scratch.written(ends.distinct(), "ends")
-    whole = scratch.written(among(sets.select("point", "shingles"), ends, "point"), "needed-sets")
-    met = pairs.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
+    first, second = (scratch.written(pairs.select(F.col(c).alias("point")).distinct(), "ends") for c in "ab")
+    whole = sets.select("point", "shingles")
+    met = (
+        among(whole, second, "point").toDF("b", "set_b").join(small_side(pairs), "b")
+        .join(among(whole, first, "point").toDF("a", "set_a"), "a")
+    )
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     return met.select("a", "b", common.alias("common"), union.alias("union")).select(
@@ -295,7 +333,7 @@ def left_pairs(rows: DataFrame, *, percent: int) -> DataFrame:
     radius = (100 - percent) / 100
 
     def near(asking: _Rows, others: _Rows, block: int = 1 << 15) -> Iterator[tuple]:
-        step = max(1, (1 << 21) // len(asking))
+        step = max(1, (1 << 19) // len(asking))
         for lo in range(0, len(others), step):
             b = others.part(slice(lo, lo + step))
             most = np.minimum((asking.n - asking.alone)[:, None], (b.n - b.alone)[None])
@@ -381,7 +419,7 @@ def open_regions(homes: DataFrame, component: DataFrame, known: DataFrame) -> Da
     """Points of the regions in which, beside the pivot, several components are left: ``region,
     point, n, to_pivot, component, open, size``.  Open points lie outside the largest component;
     of two points in different components one is open."""
-    at = homes.filter("point <> pivot").join(component, "point", "left")
+    at = homes.filter("point <> pivot").join(small_side(component), "point", "left")
     at = at.select("region", "point", "n", "pivot", _own())
     held = at.groupBy("region", "component").agg(F.count(F.lit(1)).alias("held"))
     main = (
@@ -393,7 +431,7 @@ def open_regions(homes: DataFrame, component: DataFrame, known: DataFrame) -> Da
     )
     to_pivot = known.select(F.col("a").alias("pivot"), F.col("b").alias("point"), F.col("distance").alias("to_pivot"))
     return (
-        at.join(main, "region").join(to_pivot, ["pivot", "point"], "left")
+        at.join(main, "region").join(small_side(to_pivot), ["pivot", "point"], "left")
         .select(
             "region", "point", "n", "to_pivot", "component",
             (F.col("component") != F.col("main")).alias("open"), "size",
@@ -462,7 +500,8 @@ def linked_components(
         named = made.filter(F.col("slice").isNull()).select("doc_id", "n_shingles", "point", "check")
         reps = scratch.written(
             named.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("point").agg(
-                F.min("doc_id").alias("doc_id"), (F.min("check") != F.max("check")).alias("clash")
+                F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"),
+                (F.min("check") != F.max("check")).alias("clash"),
             ),
             "points-first",
         )
@@ -470,8 +509,9 @@ def linked_components(
             break
     usable = own.filter(F.col("doc_id").isNotNull())
     rare = rare_shingles(usable, sketch(made), size=size, percent=percent, salt=salt)
-    shared = scratch.written(regions(rare), "regions")
-    homes = scratch.written(with_pivots(shared), "homes")
+    shared = scratch.written(members(scratch.written(regions(rare), "region-lists")), "regions")
+    sizes = reps.select("point", "n")
+    homes = scratch.written(with_pivots(shared, sizes, scratch), "homes")
     stars = scratch.written(
         homes.filter("point <> pivot")
         .filter(100 * F.least("n", "n_pivot") >= percent * F.greatest("n", "n_pivot"))

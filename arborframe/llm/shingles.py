@@ -21,7 +21,7 @@ def _word(word: bytes) -> bytes:
 
 @lru_cache(maxsize=1)
 def known_words() -> Known:
-    return Known(_word, 500_000)
+    return Known(_word, 150_000)
 
 
 def word_hashes(text: str | None) -> np.ndarray:

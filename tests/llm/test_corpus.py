@@ -226,12 +226,13 @@ def test_what_one_pivot_leaves_is_compared(spark, limits):
     held = collections.defaultdict(set)
     for r in rare.collect():
         held[r["shingle"]].add(r["point"])
-    shared = jaccard_regions.regions(rare)
-    want = {(s, p) for s, own in held.items() for p in own if len(own) > 1}
-    got = [(r["region"], r["point"]) for r in shared.collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    sizes = collections.Counter(s for s, _ in want)
-    assert max(sizes.values()) > jaccard_regions.SMALL
+    shared = collections.defaultdict(list)
+    for r in jaccard_regions.members(jaccard_regions.regions(rare)).collect():
+        shared[r["region"]].append(r["point"])
+    want = {frozenset(own) for own in held.values() if len(own) > 1}
+    assert {frozenset(own) for own in shared.values()} == want
+    assert all(len(own) == len(set(own)) for own in shared.values())
+    assert max(map(len, want)) > jaccard_regions.SMALL > 2 and len(want) < sum(len(o) > 1 for o in held.values())
     got = jaccard_regions.linked_components(messy.table(spark, rows), **limits).collect()
     assert sorted(map(tuple, got)) == sorted(plain_components(rows))
 
