@@ -120,7 +120,7 @@ class Piece:
             order[live] += 1
 
 
-def _codes(*columns: np.ndarray) -> np.ndarray:
+def codes(*columns: np.ndarray) -> np.ndarray:
     """One number for each different row of the columns."""
     out = np.zeros(len(columns[0]), np.int64)
     for c in columns:
@@ -129,7 +129,7 @@ def _codes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+def blocks(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
     """Whole pieces, several at a time; the batches come in the order of their pieces."""
     waiting, rows = [], 0
     for batch in batches:
@@ -173,7 +173,7 @@ def _solved(
     schema = StructType([StructField(f.name, f.dataType) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, "_piece"):
+        for block in blocks(batches, "_piece"):
             yield from solve(block.combine_chunks()).to_batches()
 
     def solve(block: pa.Table) -> pa.Table:
@@ -181,7 +181,7 @@ def _solved(
         hop = block.column("_hop")
         linked = hop.is_valid().to_numpy()
         node, above = number("_node"), hop.fill_null(0).to_numpy()
-        group = _codes(number("_tree"), number("_tree2"), number("_piece"))
+        group = codes(number("_tree"), number("_tree2"), number("_piece"))
         piece = Piece(group, node, above, linked)
         made = {"_summit": node[piece.tops()]}
         for name in up:
@@ -239,12 +239,12 @@ def ways_up(
     schema = StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _blocks(batches, "_piece"):
+        for table in blocks(batches, "_piece"):
             yield from walk(table.combine_chunks())
 
     def walk(table: pa.Table) -> Iterator[pa.RecordBatch]:
         number = lambda c: table.column(c).fill_null(0).to_numpy()
-        group = _codes(number("_tree"), number("_tree2"), number("_piece"))
+        group = codes(number("_tree"), number("_tree2"), number("_piece"))
         walking = number("_role") == 1
         tree = np.flatnonzero(~walking)
         hop, linked = number("_hop")[tree], table.column("_hop").is_valid().to_numpy()[tree]

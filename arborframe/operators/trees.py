@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from arborframe.functions import geometry as geo
 from arborframe.operators.contraction import climb, is_root, ways_up
 from arborframe.operators.core import Rounds, accumulate, id_slice, numbered, written
+from arborframe.operators.intervals import common_ancestors, labels, paths_below
 
 KEYS = ("morphology",)
 
@@ -322,23 +323,14 @@ def common_path(
     depth counted from the root, ``is_lowest`` marking the lowest common ancestor.
     """
     keys, sets = list(keys), list(sets)
-    member = members.select(*keys, *sets, node).distinct()
-    up = ancestors(nodes, keys, node=node, parent=parent, of=member)
-    sizes = member.groupBy(*keys, *sets).agg(F.count(F.lit(1)).alias("_size"))
-    shared = (
-        member.join(up, [*keys, node])
-        .groupBy(*keys, *sets, "ancestor")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("steps").alias("_steps"))
-        .join(sizes, [*keys, *sets])
-        .filter(F.col("_n") == F.col("_size"))
-    )
-    span = shared.groupBy(*keys, *sets).agg(
-        F.max("_steps").alias("_top"), F.min("_steps").alias("_low")
-    )
-    return shared.join(span, [*keys, *sets]).select(
-        *keys, *sets, "ancestor",
-        (F.col("_top") - F.col("_steps")).alias("depth"),
-        (F.col("_steps") == F.col("_low")).alias("is_lowest"),
+    labelled = labels(nodes, keys, node=node, parent=F.when(~is_root(parent), F.col(parent)))
+    lowest = common_ancestors(labelled, members, keys, sets, node=node).filter(F.col("ancestor").isNotNull())
+    lowest = written(lowest.withColumnRenamed("ancestor", node), "common-ancestors")
+    # no way but those of the result is followed
+    ways = ways_up(labelled, keys, node=node, parent=F.col("parent"), of=lowest)
+    depth = labelled.select(*keys, F.col(node).alias("ancestor"), "depth")
+    return lowest.join(ways, [*keys, node]).join(depth, [*keys, "ancestor"]).select(
+        *keys, *sets, "ancestor", "depth", (F.col("steps") == 0).alias("is_lowest")
     )
 
 
@@ -360,18 +352,11 @@ def tuft_nodes(
     """
     keys, sets = list(keys), list(sets)
     member = members.select(*keys, *sets, node).distinct()
-    up = ancestors(nodes, keys, node=node, parent=parent, of=member)
-    shared = common_path(nodes, member, keys, sets, node=node, parent=parent)
-    on_paths = member.join(up, [*keys, node]).select(*keys, *sets, "ancestor").distinct()
-    above = shared.filter(~F.col("is_lowest")).select(*keys, *sets, "ancestor")
-    lowest = shared.filter("is_lowest").select(*keys, *sets, "ancestor", "is_lowest")
-    return (
-        on_paths.join(above, [*keys, *sets, "ancestor"], "left_anti")
-        .join(lowest, [*keys, *sets, "ancestor"], "left")
-        .select(
-            *keys, *sets, F.col("ancestor").alias(node),
-            F.coalesce("is_lowest", F.lit(False)).alias("is_common_ancestor"),
-        )
+    labelled = labels(nodes, keys, node=node, parent=F.when(~is_root(parent), F.col(parent)))
+    lowest = written(common_ancestors(labelled, member, keys, sets, node=node), "common-ancestors")
+    marked = lowest.select(*keys, *sets, F.col("ancestor").alias(node), F.lit(True).alias("_lowest"))
+    return paths_below(labelled, member, keys, sets, node=node).join(marked, [*keys, *sets, node], "left").select(
+        *keys, *sets, node, F.coalesce("_lowest", F.lit(False)).alias("is_common_ancestor")
     )
 
 
