@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
+from arborframe.operators.components import components
 from arborframe.operators.core import Rounds, written
 
 CELL = ("_cx", "_cy", "_cz")
@@ -81,49 +82,6 @@ def pairs_within(
     )
 
 
-def components(edges: DataFrame, keys: Sequence[str], *, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected edges: (keys, id, component), smallest id as label.
-
-    Alternates the two star contractions of Kiveris et al. (2014): every node hands its larger
-    neighbours, then its smaller ones, to its smallest neighbour until only stars are left.
-    """
-    keys = list(keys)
-    rounds = Rounds(edges.sparkSession, "components", limit=100)
-    flat = (
-        edges.select(*keys, F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .filter("u <> v").distinct()
-    )
-    state = rounds.cut(flat, mark=True)
-    seal = rounds.seal
-    while True:
-        rounds.next()
-        both = state.unionByName(
-            state.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))
-        )
-        lowest = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("_m"))
-        # larger neighbours move to the smallest one
-        large = (
-            both.join(lowest, [*keys, "u"]).filter("v > u")
-            .select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
-        )
-        large = rounds.cut(large, "large")
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("_m"))
-        # smaller neighbours, and the node itself, move to the smallest one
-        small = (
-            large.join(low, [*keys, "u"])
-            .filter("v <> _m").select(*keys, F.col("v").alias("u"), F.col("_m").alias("v"))
-            .unionByName(low.select(*keys, "u", F.col("_m").alias("v")))
-            .filter("u <> v").distinct()
-        )
-        state = rounds.cut(small, mark=True)
-        if rounds.seal == seal:
-            break
-        seal = rounds.seal
-    stars = state.select(*keys, F.col("u").alias("id"), F.col("v").alias("component"))
-    centres = state.select(*keys, F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return stars.unionByName(centres)
-
-
 def label_all(
     nodes: DataFrame, found: DataFrame, keys: Sequence[str], *, node: str = "id"
 ) -> DataFrame:
