@@ -15,7 +15,7 @@ written; what is left is judged on full sets.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -227,26 +227,59 @@ def with_pivots(shared: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFr
     return placed.join(pivot, "region").select("region", "point", "n", "pivot", "n_pivot")
 
 
+def profiles(docs: DataFrame, wanted: DataFrame, *, size: int = 5, salt: int = 0) -> DataFrame:
+    """Rows ``point, n, profile`` for ``wanted`` (``doc_id, point``), read from the texts."""
+
+    def one(own: np.ndarray) -> tuple:
+        return set_names(own, salt)[0], len(own), _profile(own)
+
+    return _from_texts(docs, wanted, one, {"point": "long", "n": "int", "profile": "binary"}, size)
+
+
 def point_sets(docs: DataFrame, wanted: DataFrame, *, size: int = 5, salt: int = 0) -> DataFrame:
-    """Rows ``point, n, profile, shingles`` for ``wanted`` (``doc_id, point``), read from the texts."""
+    """Rows ``point, shingles`` for ``wanted`` (``doc_id, point``), read from the texts."""
+
+    def one(own: np.ndarray) -> tuple:
+        return set_names(own, salt)[0], own.view(np.int64)
+
+    return _from_texts(docs, wanted, one, {"point": "long", "shingles": "array<long>"}, size)
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
+
+def _from_texts(
+    docs: DataFrame, wanted: DataFrame, one: Callable[[np.ndarray], tuple], kinds: dict[str, str], size: int
+) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_short(batches):
-            rows = []
-            for text in batch.column(0):
-                own = shingle_set(text.as_py(), size)
-                rows.append((set_names(own, salt)[0], len(own), _profile(own), own.view(np.int64)))
-            cols = [list(c) for c in zip(*rows)] or [[], [], [], []]
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            rows = [one(shingle_set(text.as_py(), size)) for text in batch.column(0)]
+            cols = [list(c) for c in zip(*rows)] or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, kinds)],
-                names=["point", "n", "profile", "shingles"],
+                [pa.array(c, ARROW[k]) for c, k in zip(cols, kinds.values())], names=list(kinds)
             )
 
-    kind = "point long, n int, profile binary, shingles array<long>"
     texts = among(docs, wanted.select("doc_id"), "doc_id").select("text")
+    made = texts.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
     # an id that is given to several texts brings sets of other points along
-    return among(texts.mapInArrow(run, kind), wanted.select("point"), "point")
+    return among(made, wanted.select("point"), "point")
+
+
+class Sets:
+    """Reads what is wanted of the points' sets from the texts, each point once."""
+
+    def __init__(self, docs: DataFrame, places: DataFrame, scratch: Scratch, *, size: int, salt: int):
+        self.docs, self.places, self.scratch = docs, places, scratch
+        self.how = {"size": size, "salt": salt}
+
+    def of(self, points: DataFrame, made=point_sets) -> DataFrame:
+        """A written table for distinct points."""
+        points = self.scratch.written(points, "wanted-points")
+        wanted = self.scratch.written(among(self.places, points, "point"), "wanted")
+        found = self.scratch.written(made(self.docs, wanted, **self.how), "sets")
+        if found.count() > wanted.count():  # rows that were given more than once
+            found = self.scratch.written(found.dropDuplicates(["point"]), "sets")
+        return found
 
 
 def _profile(own: np.ndarray) -> bytes:
@@ -274,7 +307,7 @@ def among(table: DataFrame, wanted: DataFrame, key: str, *, most: int = 500_000)
     return table.join(small_side(wanted, most=most), key, "left_semi")
 
 
-def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataFrame:
+def near_pairs(pairs: DataFrame, small: DataFrame, *, percent: int = 80) -> DataFrame:
     """The pairs ``a, b`` that may be linked, judged by their profiles before any set is moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +319,6 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataF
                 [batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"]
             )
 
-    small = sets.select("point", "n", "profile")
     met = (
         small.toDF("b", "n_b", "profile_b").join(pairs, "b").join(small.toDF("a", "n_a", "profile_a"), "a")
         .select("a", "b", "n_a", "n_b", "profile_a", "profile_b")
@@ -294,11 +326,11 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, *, percent: int = 80) -> DataF
     return met.mapInArrow(run, "a long, b long")
 
 
-def distances(pairs: DataFrame, sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFrame:
+def distances(pairs: DataFrame, sets: Sets, *, percent: int = 80) -> DataFrame:
     """Rows ``a, b, distance, linked`` of written pairs, judged by their whole sets, of which only
-    those are moved that a pair needs."""
-    first, second = (scratch.written(pairs.select(F.col(c).alias("point")).distinct(), "ends") for c in "ab")
-    whole = sets.select("point", "shingles")
+    those are read that a pair needs."""
+    first, second = (sets.scratch.written(pairs.select(F.col(c).alias("point")).distinct(), "ends") for c in "ab")
+    whole = sets.of(first.unionByName(second).distinct())
     met = (
         among(whole, second, "point").toDF("b", "set_b").join(small_side(pairs), "b")
         .join(among(whole, first, "point").toDF("a", "set_a"), "a")
@@ -439,14 +471,14 @@ def open_regions(homes: DataFrame, component: DataFrame, known: DataFrame) -> Da
     )
 
 
-def bounded(at: DataFrame, sets: DataFrame, scratch: Scratch, *, percent: int) -> DataFrame:
+def bounded(at: DataFrame, sets: Sets, *, percent: int) -> DataFrame:
     """Open regions with ``alone`` and ``past`` in the place of ``size``.
 
     In regions of more than ``SMALL`` points a point that holds too much of its own cannot be
     linked and goes.  ``past`` names up to six regions of the point before this one.
     """
-    crowd = scratch.written(at.filter(F.col("size") > SMALL).select("point").distinct(), "crowd")
-    facts = scratch.written(lonely(among(sets, crowd, "point")), "lonely")
+    crowd = sets.of(at.filter(F.col("size") > SMALL).select("point").distinct())
+    facts = sets.scratch.written(lonely(crowd), "lonely")
     at = at.join(facts, "point", "left").withColumn(
         "alone", F.when(F.col("size") > SMALL, F.coalesce("alone", F.lit(0))).otherwise(F.lit(0))
     )
@@ -456,14 +488,14 @@ def bounded(at: DataFrame, sets: DataFrame, scratch: Scratch, *, percent: int) -
     return live.withColumn("past", F.array_compact(F.array(*earlier)))
 
 
-def in_pieces(at: DataFrame, sets: DataFrame, *, asking: int, others: int) -> DataFrame:
+def in_pieces(at: DataFrame, small: DataFrame, *, asking: int, others: int) -> DataFrame:
     """Rows for :func:`left_pairs`: the open points of a region in pieces, repeated for every part
     of its points, and those for every piece."""
     dealt = at.groupBy("region").agg(
         F.ceil(F.sum(F.col("open").cast("int")) / F.lit(asking)).cast("int").alias("pieces"),
         F.ceil(F.count(F.lit(1)) / F.lit(others)).cast("int").alias("parts"),
     ).filter("pieces > 0")
-    at = at.join(dealt, "region").join(sets.select("point", "profile"), "point")
+    at = at.join(dealt, "region").join(small.select("point", "profile"), "point")
     at = at.withColumn("open", F.col("open").cast("int"))
     spot, names = F.xxhash64("point"), ROW.split(", ")
     askers = at.filter("open = 1").withColumns({
@@ -518,33 +550,29 @@ def linked_components(
         .groupBy(F.col("pivot").alias("a"), F.col("point").alias("b")).agg(F.count(F.lit(1)).alias("together")),
         "stars",
     )
-    needed = scratch.written(
-        reps.join(shared.select("point").distinct(), "point", "left_semi").select("doc_id", "point"), "needed"
-    )
-    sets = scratch.written(point_sets(usable, needed, size=size, salt=salt), "sets")
-    if sets.count() > needed.count():  # rows that were given more than once
-        sets = scratch.written(sets.dropDuplicates(["point"]), "sets")
+    sets = Sets(usable, reps.select("doc_id", "point"), scratch, size=size, salt=salt)
+    small = sets.of(shared.select("point").distinct(), profiles)
     # the pivot nearest to home first, then those pivots that may still join components
     best = stars.groupBy("b").agg(F.max(F.struct("together", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
-    best = scratch.written(near_pairs(best, sets, percent=percent), "near")
-    known = scratch.written(distances(best, sets, scratch, percent=percent), "distances")
+    best = scratch.written(near_pairs(best, small, percent=percent), "near")
+    known = scratch.written(distances(best, sets, percent=percent), "distances")
     component = scratch.written(_components(known.filter("linked")), "component")
     rest = (
         stars.join(best, ["a", "b"], "left_anti")
         .join(component.toDF("a", "in_a"), "a", "left").join(component.toDF("b", "in_b"), "b", "left")
         .filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
     )
-    rest = scratch.written(near_pairs(rest, sets, percent=percent), "near")
+    rest = scratch.written(near_pairs(rest, small, percent=percent), "near")
     if not rest.isEmpty():
-        known = known.unionByName(scratch.written(distances(rest, sets, scratch, percent=percent), "distances"))
+        known = known.unionByName(scratch.written(distances(rest, sets, percent=percent), "distances"))
         component = scratch.written(_components(known.filter("linked")), "component")
     at = scratch.written(open_regions(homes, component, known), "open-regions")
     if not at.isEmpty():
-        at = scratch.written(bounded(at, sets, scratch, percent=percent), "bounded")
-        rows = in_pieces(at, sets, asking=asking, others=others)
+        at = scratch.written(bounded(at, sets, percent=percent), "bounded")
+        rows = in_pieces(at, small, asking=asking, others=others)
         left = scratch.written(left_pairs(rows, percent=percent).distinct(), "left-pairs")
         if not left.isEmpty():
-            more = scratch.written(distances(left, sets, scratch, percent=percent), "distances")
+            more = scratch.written(distances(left, sets, percent=percent), "distances")
             links = known.unionByName(more).filter("linked")
             component = scratch.written(_components(links), "component")
     # the smallest document of every component, and of every point beside them
