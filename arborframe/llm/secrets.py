@@ -155,8 +155,8 @@ def _matches(text: Column, at: int, rule: Rule) -> Column:
 def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Rows ``key, size, rules``: which rules' trigram queries a content satisfies, as bits.
 
-    ``texts`` has ``key``, a hash of the content, ``size`` and ``text``.  Contents that share a
-    hash share their postings, which can only add candidates.
+    ``texts`` has ``key``, a hash of the content, ``size`` and ``text``.  Contents that share both
+    share their postings, which can only add candidates.
     """
     spark = texts.sparkSession
     clauses = [
@@ -179,14 +179,11 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     postings = low.select("key", "size", F.explode(there).alias("term"))
     whole = (
         postings.join(F.broadcast(index), "term")
-        .groupBy("key", "rule", "clause")
-        .agg(F.bit_or("bit").alias("bits"), F.max("need").alias("need"), F.max("size").alias("size"))
+        .groupBy("key", "size", "rule", "clause")
+        .agg(F.bit_or("bit").alias("bits"), F.max("need").alias("need"))
         .filter(F.col("bits") == F.col("need"))
     )
-    return whole.groupBy("key").agg(
-        F.max("size").alias("size"),
-        F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"),
-    )
+    return whole.groupBy("key", "size").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
@@ -252,7 +249,12 @@ def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]")
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, and all spans as text."""
+    """Counts of the base kinds, the digest of their spans, and all spans as text.
+
+    NULL and empty texts have no spans: zeros, the digest of the empty string and an empty text.
+    Repeated rows come back as often as they were given, NULL ids stay, other columns are not
+    returned, an empty table gives an empty result.
+    """
     spans = F.col("secret_spans")
     base = F.filter(spans, lambda s: s["kind"] < len(BASE))
 
