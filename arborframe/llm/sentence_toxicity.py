@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from arborframe.llm.encoding import Known
 from arborframe.llm.labelled import held_out, sample
+from arborframe.operators.core import Scratch
 
 BREAK = re.compile(r"[.!?\n]")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -95,13 +96,14 @@ def fit(
 def learn(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = 8_000,
     parts: int = 5, part: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    most_words: int = 4_000_000,
+    most_words: int = 4_000_000, doc_words: int = 40_000,
 ) -> Model:
     """Fit on at most ``most`` labelled documents, the bounded sample that reaches the driver.
 
-    Its words, taken in the order of the ids' hash, do not exceed ``most_words``, so that very
-    long documents cannot fill the driver: one that does not fit the rest is skipped.  Raises if
-    that leaves a class without documents.
+    A document of more than ``doc_words`` words takes part with the sentences of smallest hash
+    that have so many.  The documents come in the order of their ids' hash; one that does not fit
+    what is left of ``most_words`` words is passed over.  Only sizes are ordered; the words that
+    are fetched are those that were chosen.
     """
     chosen = F.broadcast(sample(labels, label, most, parts=parts, part=part))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
@@ -114,14 +116,11 @@ def learn(
             for i in range(batch.num_rows):
                 seen: dict[str, int] = {}
                 out = array("i")
-                for sentence in BREAK.split((texts[i].as_py() or "").lower()):
-                    words = sentence.split()
-                    if words:
-                        out.extend([seen.setdefault(bare(w), len(seen)) for w in words])
-                        out.append(-1)
-                fits = len(out) <= most_words  # else it is skipped, and only its size is needed
-                lists.append(" ".join(seen) if fits else "")
-                packed.append(out.tobytes() if fits else b"")
+                for words in some_sentences((texts[i].as_py() or "").lower(), doc_words):
+                    out.extend([seen.setdefault(bare(w), len(seen)) for w in words])
+                    out.append(-1)
+                lists.append(" ".join(seen))
+                packed.append(out.tobytes())
                 sizes.append(len(out))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(lists, pa.string()),
@@ -132,23 +131,41 @@ def learn(
     made = rows.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(
         run, "doc_id long, y int, words string, places binary, size long"
     )
-    taken, y, skipped, vocabulary, n = [], [], set(), {}, 0
-    by_hash = made.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(most)
-    for row in by_hash.toLocalIterator():
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.written(made.withColumn("rid", F.xxhash64("doc_id", "y", "words", "places")), "labelled-words")
+    sizes = made.select("rid", "doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id", "rid").limit(most).collect()
+    wanted, n = [], 0
+    for row in sizes:
+        if n + row["size"] <= most_words:
+            n += row["size"]
+            wanted.append(row["rid"])
+    few = docs.sparkSession.createDataFrame([(r,) for r in sorted(set(wanted))], "rid long")
+    fetched = made.join(F.broadcast(few), "rid", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "rid")
+    taken, y, vocabulary = [], [], {}
+    for row in fetched.toLocalIterator():
         places = np.frombuffer(row["places"], np.int32)
-        if n + row["size"] > most_words:
-            skipped.add(row["y"])
-            continue
-        n += len(places)
         if len(places):
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in row["words"].split(" ")]
             taken.append(np.append(np.array(ids, np.int32), np.int32(-1))[places])
             y.append(row["y"])
-    if missing := skipped - set(y):
-        raise ValueError(f"documents of {label} {sorted(missing)} are too long for {most_words} words")
+    scratch.clear()
     return fit(taken, np.array(y, dtype=np.int64), list(vocabulary))
 
 
+def some_sentences(text: str, most: int) -> list[list[str]]:
+    """The words of all sentences; of more than ``most`` words, those of the sentences of smallest
+    hash, and of a sentence that alone has more, its first ones."""
+    every = [words for s in BREAK.split(text) if (words := s.split())]
+    if sum(map(len, every)) <= most:
+        return every
+    out, left = [], most
+    for words in sorted(every, key=lambda w: zlib.crc32(" ".join(w).encode())):
+        if len(words) <= left or not out:
+            out.append(words[:left])
+            left -= len(out[-1])
+    return out
+
+
 def scored(
     docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text",
     offends: float = 0.5,
@@ -192,7 +209,12 @@ def scored(
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Rows ``doc_id, held_out, score, predicted, n_offending, sentences`` for every document."""
+    """Rows ``doc_id, held_out, score, predicted, n_offending, sentences`` for every document.
+
+    NULL and empty texts score 0; a NULL id counts as an empty one in ``held_out``.  Repeated rows come back as
+    often as they were given, other columns are not read, ties of the sample's order do not change
+    the scores, an empty table gives an empty result; without any label all weights are 0.
+    """
     model = learn(docs, labels, **options)
     parts, part = options.get("parts", 5), options.get("part", 0)
     return scored(docs, model).select(

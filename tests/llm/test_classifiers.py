@@ -117,8 +117,45 @@ def test_long_labelled_texts_are_skipped(spark):
     assert want.weights.any() and np.array_equal(got.weights, want.weights) and got.bias == want.bias
     clean = spark.createDataFrame([(i, 0) for i, y in labels if not y], schema)
     only = clean.unionByName(more.filter("doc_id >= 1000"))
-    with pytest.raises(ValueError, match="too long"):
-        sentence_toxicity.learn(messy.table(spark, rows + long_), only, most_words=19_000)
+    docs = messy.table(spark, rows + long_)
+    assert not sentence_toxicity.learn(docs, only, most_words=19_000).weights.any()
+    # with a bound for each document the long ones take part by some of their sentences
+    assert sentence_toxicity.learn(docs, only, most_words=19_000, doc_words=150).weights.any()
+
+
+def test_sentences_of_long_texts():
+    text = ". ".join(f"s{i} of five words here" for i in range(100))
+    every = sentence_toxicity.some_sentences(text, 10_000)
+    assert len(every) == 100 and all(len(s) == 5 for s in every)
+    some = sentence_toxicity.some_sentences(text, 52)
+    assert len(some) == 10 and all(s in every for s in some) and some != every[:10]
+    assert sentence_toxicity.some_sentences("a b c d", 2) == [["a", "b"]]
+    assert sentence_toxicity.some_sentences(". !\n", 2) == []
+
+
+def plain_chance(text, model):
+    """Noisy-or by hand: sentences without words do not count."""
+    none = 1.0
+    for sentence in sentence_toxicity.BREAK.split(text or ""):
+        words = sentence.lower().split()
+        if words:
+            z = model.bias + sum(
+                float(model.weights.astype(np.float32)[sentence_toxicity.slots(sentence_toxicity.bare(w))].sum())
+                for w in words
+            )
+            none *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - none
+
+
+def test_scores_are_noisy_or(spark):
+    rows, labels = toxic_corpus(random.Random(12), 80)
+    docs = messy.table(spark, rows + messy.texts())
+    model = sentence_toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = sentence_toxicity.scored(docs, model).select("doc_id", "score").collect()
+    want = [(d, plain_chance(t, model)) for d, t in rows + messy.texts()]
+    key = lambda r: (r[0] is None, r[0] or 0, round(r[1], 4))
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-4
 
 
 def test_features_of_extremes():
