@@ -300,9 +300,14 @@ def c16(spark, sf):
     return table(spark, sf, "pages").select("page_id", C.morphology_name(F.col("url")).alias(M))
 
 
-@shelf.add("g15_nearest_distance", f"""with {POINTS_SQL.replace("points as (", "points as materialized (")}, a as (select event_id, x, y, z from points where event_type = 'click'), b as (select event_id, x, y, z from points where event_type = 'error')
-    select a.event_id as id, {r6s('min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)))')} as distance from a, b group by 1""")
+# every event's point against the whole cloud, which is moved to where the points lie
+_MOVED = {a: f"50 + 40 * {a}" for a in "xyz"}
+
+
+@shelf.add("g15_nearest_distance", f"""with {POINTS_SQL.replace("points as (", "points as materialized (")}, {CLOUD_SQL},
+    b as materialized (select {", ".join(f"{e} as {a}" for a, e in _MOVED.items())} from cloud)
+    select a.event_id as id, {r6s('min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)))')} as distance from points a, b group by 1""")
 def g15(spark, sf):
-    pts = written(points(spark, sf).select(F.col("event_id").alias("id"), "event_type", "x", "y", "z"), "cloud")
-    out = S.nearest_distance(pts.filter("event_type = 'click'"), pts.filter("event_type = 'error'"))
-    return out.withColumn("distance", r6(F.col("distance")))
+    pts = written(points(spark, sf).select(F.col("event_id").alias("id"), "x", "y", "z"), "cloud")
+    targets = cloud(spark, sf).select("id", *[(50 + 40 * F.col(a)).alias(a) for a in "xyz"])
+    return S.nearest_distance(pts, targets).withColumn("distance", r6(F.col("distance")))

@@ -1,6 +1,6 @@
 """Queries on candidate graphs.
 
-The source is the first point of a user's tree, its targets are the user's clicks.
+The source is the first point of a user's tree, its targets are all further points of the user.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ M = "morphology"
 START_SQL = f"""
 {POINTS_SQL.replace("points as (", "points as materialized (")},
 srcs as (select morphology, x as sx, y as sy, z as sz from points where point_id = 1),
-targets as materialized (select p.*, sx, sy, sz, sqrt((x-sx)*(x-sx) + (y-sy)*(y-sy) + (z-sz)*(z-sz)) as d from points p join srcs using (morphology) where event_type = 'click' and point_id > 1),
+targets as materialized (select p.*, sx, sy, sz, sqrt((x-sx)*(x-sx) + (y-sy)*(y-sy) + (z-sz)*(z-sz)) as d from points p join srcs using (morphology) where point_id > 1),
 counted as (select *, least(floor(d / 30), 3)::integer as n from targets),
 steps as (select *, unnest(generate_series(1, n)) as step from counted where n > 0),
 inter as materialized (select morphology, point_id, step, sx + (x - sx) * (step / (n + 1)::double) as x, sy + (y - sy) * (step / (n + 1)::double) as y, sz + (z - sz) * (step / (n + 1)::double) as z from steps),
@@ -40,7 +40,7 @@ nodes as materialized (select morphology, row_number() over (partition by morpho
 def start(spark, sf):
     pts = shared(spark, sf, "plain-points", lambda: points(spark, sf)).select(M, "point_id", "event_type", "x", "y", "z")
     src = pts.filter("point_id = 1").select(M, *[F.col(a).alias(f"source_{a}") for a in "xyz"])
-    targets = pts.filter("event_type = 'click' and point_id > 1").join(src, M)
+    targets = pts.filter("point_id > 1").join(src, M)
     return pts, src, targets.withColumnRenamed("point_id", "id")
 
 

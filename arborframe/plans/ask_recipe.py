@@ -304,7 +304,7 @@ def e14(spark, sf):
 TUFT_SQL = f"""
 {POINTS_SQL},
 tuft_means as (select morphology, (point_id % 2)::integer as axon_id, event_type,
-  avg(x) as common_ancestor_x, avg(y) as common_ancestor_y, avg(z) as common_ancestor_z from points where type <> 4 group by 1, 2, 3),
+  avg(x) as common_ancestor_x, avg(y) as common_ancestor_y, avg(z) as common_ancestor_z from points group by 1, 2, 3),
 tufts as (select *, row_number() over (partition by morphology order by event_type, axon_id) as tuft_id from tuft_means),
 cells as (select distinct c_custkey::varchar as morphology from customer)
 """
@@ -313,7 +313,7 @@ cells as (select distinct c_custkey::varchar as morphology from customer)
 def tufts(spark, sf):
     from pyspark.sql import Window
 
-    base = points(spark, sf).filter("type <> 4").groupBy("morphology", (F.col("point_id") % 2).cast("int").alias("axon_id"), "event_type").agg(
+    base = points(spark, sf).groupBy("morphology", (F.col("point_id") % 2).cast("int").alias("axon_id"), "event_type").agg(
         *[F.avg(a).alias(f"common_ancestor_{a}") for a in "xyz"])
     w = Window.partitionBy("morphology").orderBy("event_type", "axon_id")  # at most ten rows a group
     return base.withColumn("tuft_id", F.row_number().over(w).cast("bigint"))

@@ -418,30 +418,71 @@ def t19(spark, sf):
     return box.select(M, *[r6(F.col(c)).alias(c) for c in ("x_min", "x_max", "z_min")])
 
 
+# sections cut once more where the event type changes, so that many have a single child
+TYPED_SQL = f"""
+{SECTIONED_SQL},
+typed as materialized (
+  select f.morphology, f.point_id, f.parent_id, q.parent_id = -1 as at_root,
+    coalesce(f.linked and f.event_type = q.event_type, false) as same
+  from flagged f left join points q on f.morphology = q.morphology and f.parent_id = q.point_id
+),
+typed_walk as (
+  select morphology, point_id, point_id as piece from typed where not same
+  union all
+  select t.morphology, t.point_id, w.piece
+  from typed t join typed_walk w on t.morphology = w.morphology and t.parent_id = w.point_id where t.same
+),
+pieces as materialized (
+  select t.morphology, t.point_id as section_id, case when t.at_root then -1 else w.piece end as parent_section_id
+  from typed t join typed_walk w on t.morphology = w.morphology and t.parent_id = w.point_id where not t.same
+)
+"""
+
+
+def typed_pieces(spark, sf):
+    """Section table of the pieces: (morphology, section_id, parent_section_id, n_children)."""
+
+    def make():
+        pts = sectioned(spark, sf)
+        up = pts.select(
+            M, F.col("point_id").alias("parent_id"), F.col("event_type").alias("_type"),
+            (F.col("section_id") == -1).alias("_at_root"), F.col("n_children").alias("_kids"),
+        )
+        linked = pts.join(up, [M, "parent_id"], "left").withColumn(
+            "_same", F.coalesce((F.col("_kids") == 1) & ~F.col("_at_root") & (F.col("event_type") == F.col("_type")), F.lit(False))
+        )
+        linked = written(linked.select(M, "point_id", "parent_id", "_same", "_at_root"), "typed-points")
+        heads = written(T.run_heads(linked, [M], node="point_id", parent="parent_id", linked="_same"), "typed-heads")
+        above = heads.select(M, F.col("point_id").alias("parent_id"), F.col("head").alias("_above"))
+        own = linked.filter(~F.col("_same")).join(above, [M, "parent_id"]).select(
+            M, F.col("point_id").alias("section_id"),
+            F.when(F.col("_at_root"), F.lit(-1)).otherwise(F.col("_above")).cast("bigint").alias("parent_section_id"),
+        )
+        kids = own.groupBy(M, F.col("parent_section_id").alias("section_id")).agg(F.count(F.lit(1)).alias("kids"))
+        return own.join(kids, [M, "section_id"], "left").withColumn("n_children", F.coalesce("kids", F.lit(0))).drop("kids")
+
+    return shared(spark, sf, "typed-pieces", make)
+
+
 @shelf.add(
     "t20_merged_chains",
-    f"""with recursive {SECTIONS_SQL},
-    own as materialized (select morphology, section_id, parent_section_id, length,
-        (select count(*) from sections c where c.morphology = s.morphology
-           and c.parent_section_id = s.section_id and c.length < 60) as kids
-      from sections s where length < 60),
-    lk as materialized (select o.*, coalesce(p.kids = 1, false) as linked from own o left join own p
-      on o.morphology = p.morphology and o.parent_section_id = p.section_id),
+    f"""with recursive {TYPED_SQL},
+    kid as materialized (select morphology, parent_section_id, count(*) as kids from pieces group by 1, 2),
+    lk as materialized (select o.*, coalesce(k.kids = 1, false) and o.parent_section_id <> -1 as linked from pieces o left join kid k
+      on o.morphology = k.morphology and o.parent_section_id = k.parent_section_id),
     ch as (select morphology, section_id, section_id as chain_id, 0::bigint as chain_pos from lk where not linked
       union all select l.morphology, l.section_id, c.chain_id, c.chain_pos + 1 from lk l
       join ch c on c.morphology = l.morphology and c.section_id = l.parent_section_id where l.linked)
     select * from ch""",
 )
 def t20(spark, sf):
-    short = written(section_table(spark, sf).filter("length < 60"), "short")
-    kids = short.groupBy(M, F.col("parent_section_id").alias("section_id")).agg(
-        F.count(F.lit(1)).alias("kids")
-    )
-    table = (
-        short.join(kids, [M, "section_id"], "left")
-        .withColumn("n_children", F.coalesce("kids", F.lit(0)))
-    )
-    return T.merge_chains(table).select(M, "section_id", "chain_id", "chain_pos")
+    return T.merge_chains(typed_pieces(spark, sf)).select(M, "section_id", "chain_id", "chain_pos")
+
+
+# every event type of a user is a line, read along the line of the type after it
+_TYPES = ("click", "error", "purchase", "signup", "view")
+_READ = list(zip(_TYPES, (*_TYPES[1:], _TYPES[0])))
+_READ_SQL = ", ".join(f"('{a}', '{b}')" for a, b in _READ)
 
 
 @shelf.add(
@@ -452,25 +493,25 @@ def t20(spark, sf):
         row_number() over w as pos,
         coalesce(sqrt((x - lag(x) over w) * (x - lag(x) over w) + (y - lag(y) over w) * (y - lag(y) over w)
           + (z - lag(z) over w) * (z - lag(z) over w)), 0) as step
-      from points where event_type in ('click', 'view')
+      from points
       window w as (partition by morphology, event_type order by point_id)),
     d as materialized (select *, sum(step) over (partition by morphology, event_type order by pos) as cum from lines),
     c as (select *, max(cum) over (partition by morphology, event_type) as total from d),
     t as materialized (select *, case when total > 0 then least(cum / total, 1.0) else 0 end as t from c),
-    have as (select morphology, t as t0, radius as v0,
-        coalesce(lead(t) over (partition by morphology order by pos), t) as t1,
-        coalesce(lead(radius) over (partition by morphology order by pos), radius) as v1
-      from t where event_type = 'click'),
-    want as (select morphology, point_id, t from t where event_type = 'view')
-    select w.morphology, w.point_id, {r6s("arg_max(v0 + case when t1 > t0 then (t - t0) / (t1 - t0) else 0 end * (v1 - v0), t0)")} as radius
-    from want w join have h on w.morphology = h.morphology and t >= t0 and t <= t1 group by all""",
+    reads as (select * from (values {_READ_SQL}) r(line, target)),
+    have as (select morphology, line, target, t as t0, radius as v0,
+        coalesce(lead(t) over w, t) as t1, coalesce(lead(radius) over w, radius) as v1
+      from t join reads on event_type = line window w as (partition by morphology, event_type order by pos)),
+    want as (select morphology, event_type as target, point_id, t from t)
+    select w.morphology, h.line, w.point_id, {r6s("arg_max(v0 + case when t1 > t0 then (t - t0) / (t1 - t0) else 0 end * (v1 - v0), t0)")} as radius
+    from want w join have h on w.morphology = h.morphology and w.target = h.target and t >= t0 and t <= t1 group by all""",
 )
 def t21(spark, sf):
-    pts = points(spark, sf)
-    a = pts.filter("event_type = 'click'").select(M, "point_id", "x", "y", "z", "radius")
-    b = pts.filter("event_type = 'view'").select(M, "point_id", "x", "y", "z")
-    out = T.resample(a, b, [M], order="point_id", value="radius")
-    return out.select(M, "point_id", r6(F.col("radius")).alias("radius"))
+    pts = points(spark, sf).select(M, "event_type", "point_id", "x", "y", "z", "radius")
+    line = pts.withColumn("line", F.col("event_type"))
+    target = pts.withColumn("line", F.create_map(*[F.lit(v) for a, b in _READ for v in (b, a)])[F.col("event_type")])
+    out = T.resample(line, target, [M, "line"], order="point_id", value="radius")
+    return out.select(M, "line", "point_id", r6(F.col("radius")).alias("radius"))
 
 
 @shelf.add(
