@@ -8,12 +8,14 @@ from arborframe.operators import clustering as C
 from arborframe.operators import regions as R
 from arborframe.operators import spatial as S
 from arborframe.operators import trees as T
+from arborframe.operators import tufts as TU
 from arborframe.operators.core import numbered, written
 from arborframe.plans.ask_trees import CLOSURE_SQL, SECTIONS_SQL, section_table
-from arborframe.plans.ask_voxels import CUT_SQL, _cut, elders
+from arborframe.plans.ask_voxels import CUT_SQL, GRID, _cut, elders, idx_sql, rotation_field
 from arborframe.plans.registry import Shelf
 from arborframe.plans.views import (
-    CLOUD_SQL, FOREST_SQL, POINTS_SQL, cloud, forest, points, r6, r6s, shared, table,
+    CLOUD_SQL, FOREST_SQL, POINTS_SQL, VOXELS_SQL, cloud, forest, points, r6, r6s, shared, table, u_sql,
+    voxels,
 )
 
 shelf = Shelf()
@@ -253,7 +255,8 @@ def c12(spark, sf):
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@shelf.add("c13_cluster_properties", f"""with recursive {SECTIONS_SQL},
+TUFT_SQL = f"""
+{SECTIONS_SQL}, {VOXELS_SQL},
     leafs as materialized (select s.morphology, s.section_id, s.x_last, s.y_last, s.z_last, list_position(['click', 'error', 'purchase', 'signup', 'view'], p.event_type) as tuft_id
       from sections s join points p on p.morphology = s.morphology and p.point_id = s.last_point where s.n_children = 0),
     sz as materialized (select morphology, tuft_id, count(*) as size, avg(x_last) as cx, avg(y_last) as cy, avg(z_last) as cz from leafs group by 1, 2),
@@ -263,20 +266,77 @@ KINDS = ["click", "error", "purchase", "signup", "view"]
     anc as (select morphology, tuft_id, size, ancestor as section_id from pick where r = case when size = 1 and n + 1 > 2 then 2 else 1 end),
     pd as materialized (select u.morphology, u.section_id, sum(a.length) as path_distance from up u join sections a on a.morphology = u.morphology and a.section_id = u.ancestor group by all),
     below as (select u.morphology, u.ancestor as section_id, sum(s.length) as path_length, max(pd.path_distance) as max_path_extent
-      from up u join sections s using (morphology, section_id) join pd using (morphology, section_id) group by all)
-    select a.morphology, a.tuft_id::bigint as tuft_id, a.size, a.section_id as common_ancestor_id, {r6s('s.x_last')} as common_ancestor_x, {r6s('cx')} as center_x,
-      {r6s('(cx - s.x_last) / sqrt((cx-s.x_last)*(cx-s.x_last) + (cy-s.y_last)*(cy-s.y_last) + (cz-s.z_last)*(cz-s.z_last))')} as ux,
-      {r6s('path_distance')} as path_distance, {r6s('path_length')} as path_length, {r6s('max_path_extent')} as max_path_extent
-    from anc a join sections s using (morphology, section_id) join sz using (morphology, tuft_id) join pd using (morphology, section_id) join below using (morphology, section_id)""")
+      from up u join sections s using (morphology, section_id) join pd using (morphology, section_id) group by all),
+    props as materialized (select a.morphology, a.tuft_id::bigint as tuft_id, a.size, a.section_id as ca, s.x_last as ax, s.y_last as ay, s.z_last as az, cx,
+      (cx - s.x_last) / nullif(sqrt((cx-s.x_last)*(cx-s.x_last) + (cy-s.y_last)*(cy-s.y_last) + (cz-s.z_last)*(cz-s.z_last)), 0) as u0,
+      (cy - s.y_last) / nullif(sqrt((cx-s.x_last)*(cx-s.x_last) + (cy-s.y_last)*(cy-s.y_last) + (cz-s.z_last)*(cz-s.z_last)), 0) as v0,
+      path_distance, path_length, max_path_extent
+      from anc a join sections s using (morphology, section_id) join sz using (morphology, tuft_id) join pd using (morphology, section_id) join below using (morphology, section_id)),
+    mp as materialized (select l.morphology, l.tuft_id, u.ancestor as section_id, max(1 + pl.path_distance - pc.path_distance) as top
+      from leafs l join up u on u.morphology = l.morphology and u.section_id = l.section_id join props p on p.morphology = l.morphology and p.tuft_id = l.tuft_id
+      join up uc on uc.morphology = l.morphology and uc.section_id = l.section_id and uc.ancestor = p.ca
+      join pd pl on pl.morphology = l.morphology and pl.section_id = l.section_id join pd pc on pc.morphology = l.morphology and pc.section_id = p.ca
+      where u.steps <= uc.steps group by 1, 2, 3),
+    rk as (select m.*, s.parent_section_id, p.ca, row_number() over (partition by m.morphology, m.tuft_id, s.parent_section_id order by top desc, m.section_id) as r
+      from mp m join sections s on s.morphology = m.morphology and s.section_id = m.section_id join props p on p.morphology = m.morphology and p.tuft_id = m.tuft_id),
+    bars as materialized (select k.morphology, k.tuft_id::bigint as tuft_id, k.section_id, k.top as birth, case when k.section_id = ca then 0 else 1 + pp.path_distance - pc.path_distance end as death
+      from rk k join pd pc on pc.morphology = k.morphology and pc.section_id = k.ca left join pd pp on pp.morphology = k.morphology and pp.section_id = k.parent_section_id
+      where k.section_id = ca or r > 1)
+"""
+
+
+def tuft_tables(spark, sf):
+    """Properties and bars of the tufts: the leaves of a tree by the event type of their point."""
+    made = {}
+
+    def both():
+        if not made:
+            sections = section_table(spark, sf)
+            kinds = points(spark, sf).select(M, F.col("point_id").alias("last_point"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type")).alias("tuft_id"))
+            leaves = written(sections.filter("is_leaf").join(kinds, [M, "last_point"]), "leaves")
+            clusters = leaves.groupBy(M, F.col("tuft_id").alias("terminal_id")).agg(F.count(F.lit(1)).alias("size"), *[F.avg(f"{a}_last").alias(a) for a in "xyz"])
+            into = table(spark, sf, "supplier").select(
+                (100 + F.col("s_nationkey")).cast("bigint").alias("region_id"), F.col("s_suppkey").cast("bigint").alias("order"),
+                F.col("s_name").alias("target_projection_name"), F.col("s_suppkey").cast("double").alias("pop_neuron_numbers"),
+                (F.lit(1000.0) + F.col("s_suppkey") % 7).alias("volume"),
+                F.when(F.col("s_suppkey") % 3 != 0, F.lit(0.5)).alias("fraction"), F.lit(2.0).alias("strength"),
+            )
+            made["all"] = TU.complete_properties(
+                sections, leaves.select(M, "section_id", "tuft_id"), clusters, written(T.section_measures(sections), "measures"), [M],
+                voxels=voxels(spark, sf), field=rotation_field(spark, sf), projections=into, grid=GRID, bouton_density=0.2,
+            )
+        return made["all"]
+
+    return shared(spark, sf, "tuft-table", lambda: both()[0]), shared(spark, sf, "tuft-bars", lambda: both()[1])
+
+
+@shelf.add("c13_cluster_properties", f"""with recursive {TUFT_SQL},
+    reg as materialized (select p.*, coalesce(v.region_id, 0) as region_id, {u_sql("p.morphology", "p.tuft_id", "'projection'")} as u from props p
+      left join voxels v on v.i = {idx_sql("ax")} and v.j = {idx_sql("ay")} and v.k = {idx_sql("az")}),
+    into_region as (select 100 + s_nationkey as region_id, s_suppkey, s_name, row_number() over (partition by s_nationkey order by s_suppkey) as rn, count(*) over (partition by s_nationkey) as n from supplier),
+    drawn as (select r.morphology, r.tuft_id, s_name, s_suppkey from reg r join into_region i on i.region_id = r.region_id and u >= (rn - 1)::double / n and u < case when rn = n then 1.0::double else rn::double / n end),
+    summed as (select morphology, tuft_id, count(*) as n_bars, sum(birth) as births, sum(death) as deaths from bars group by 1, 2)
+    select r.morphology, r.tuft_id, size, ca as common_ancestor_id, {r6s('ax')} as common_ancestor_x, {r6s('cx')} as center_x,
+      {r6s('case when region_id = 0 then u0 else cos(radians(region_id)) * u0 - sin(radians(region_id)) * v0 end')} as ux,
+      {r6s('case when region_id = 0 then v0 else sin(radians(region_id)) * u0 + cos(radians(region_id)) * v0 end')} as uy,
+      {r6s('path_distance')} as path_distance, {r6s('path_length')} as path_length, {r6s('max_path_extent')} as max_path_extent, region_id, coalesce(s_name, 'default') as target_projection_name,
+      {r6s("case when s_suppkey % 3 <> 0 then (1000.0::double + s_suppkey % 7) * 2.0 / (s_suppkey * 0.5::double) / 0.2::double end", 4)} as mean_tuft_length,
+      n_bars, {r6s('births', 4)} as sum_of_births, {r6s('deaths', 4)} as sum_of_deaths
+    from reg r left join drawn d on d.morphology = r.morphology and d.tuft_id = r.tuft_id left join summed s on s.morphology = r.morphology and s.tuft_id = r.tuft_id""")
 def c13(spark, sf):
-    sections = section_table(spark, sf)
-    kinds = points(spark, sf).select(M, F.col("point_id").alias("last_point"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type")).alias("tuft_id"))
-    leaves = written(sections.filter("is_leaf").join(kinds, [M, "last_point"]), "leaves")
-    clusters = leaves.groupBy(M, F.col("tuft_id").alias("terminal_id")).agg(F.count(F.lit(1)).alias("size"), *[F.avg(f"{a}_last").alias(a) for a in "xyz"])
-    measures = written(T.section_measures(sections), "measures")
-    out = C.cluster_properties(sections, leaves.select(M, "section_id", "tuft_id"), clusters, measures, [M])
-    names = ["common_ancestor_x", "center_x", "ux", "path_distance", "path_length", "max_path_extent"]
-    return out.select(M, "tuft_id", "size", "common_ancestor_id", *[r6(F.col(n)).alias(n) for n in names])
+    out = tuft_tables(spark, sf)[0]
+    names = ["common_ancestor_x", "center_x", "ux", "uy", "path_distance", "path_length", "max_path_extent"]
+    wide = ["mean_tuft_length", "sum_of_births", "sum_of_deaths"]
+    return out.select(
+        M, "tuft_id", "size", "common_ancestor_id", *[r6(F.col(n)).alias(n) for n in names], "region_id",
+        "target_projection_name", "n_bars", *[r6(F.col(n), 4).alias(n) for n in wide],
+    )
+
+
+@shelf.add("c13_tuft_barcodes", f"with recursive {TUFT_SQL} select morphology, tuft_id, section_id, {r6s('birth')} as birth, {r6s('death')} as death from bars")
+def c13_bars(spark, sf):
+    bars = tuft_tables(spark, sf)[1]
+    return bars.select(M, "tuft_id", "section_id", r6(F.col("birth")).alias("birth"), r6(F.col("death")).alias("death"))
 
 
 @shelf.add("c14_mean_tuft_lengths", f"""select p_partkey, {r6s('case when p_size <> 10 and p_partkey % 9 <> 0 then p_retailprice * 2.5 / (p_size * (p_partkey % 9)) / 0.2 end')} as mean_tuft_length from part""")
