@@ -44,6 +44,32 @@ class ClusterConfig:
         return self.sphere_radius if self.max_path_distance is None else self.max_path_distance
 
 
+def checked_configs(configs: DataFrame) -> DataFrame:
+    """A table of clusterings with the defaults of their methods and what is wrong with them.
+
+    ``configs``: (name, method, sphere_radius, min_size, max_path_distance), parameters NULL where
+    not given.  Parameters that a method does not have become NULL.  ``problem`` names the first
+    rule that a row breaks, NULL where it may be used; a name that comes twice is wrong each time.
+    """
+    sphere = F.col("method").isin("sphere", "sphere_parents")
+    twice = F.count(F.lit(1)).over(Window.partitionBy("name")) > 1  # few clusterings share a name
+    radius = F.when(sphere, F.coalesce("sphere_radius", F.lit(ClusterConfig.sphere_radius)))
+    size = F.when(F.col("method") == "sphere", F.coalesce("min_size", F.lit(ClusterConfig.min_size)))
+    path = F.when(F.col("method") == "sphere_parents", F.coalesce("max_path_distance", radius))
+    problem = (
+        F.when(F.col("name").isNull(), F.lit("no name")).when(twice, F.lit("name given twice"))
+        .when(~F.coalesce(F.col("method").isin(*METHODS), F.lit(False)), F.lit("unknown method"))
+        .when(radius <= 0, F.lit("sphere_radius must be positive"))
+        .when(size < 1, F.lit("min_size must be at least 1"))
+        .when(path <= 0, F.lit("max_path_distance must be positive"))
+    )
+    return configs.select(
+        "name", "method", radius.alias("sphere_radius"), size.alias("min_size"), path.alias("max_path_distance"),
+        F.when(F.col("method") == "brain_regions", F.lit(ClusterConfig.wm_unnesting)).alias("wm_unnesting"),
+        problem.alias("problem"),
+    )
+
+
 def method_of(point_counts: DataFrame, config: ClusterConfig, *, atlas: object = None, recipe: object = None) -> DataFrame:
     """Method to use per axon: the configured one, or ``basic`` below five points.
 
@@ -57,6 +83,60 @@ def method_of(point_counts: DataFrame, config: ClusterConfig, *, atlas: object =
     )
 
 
+def cluster_axons(
+    nodes: DataFrame, terminals: DataFrame, keys: Sequence[str], configs: dict[str, ClusterConfig], *,
+    region_edges: DataFrame | None = None, node: str = "id", parent: str = "parent_id",
+) -> tuple[DataFrame, DataFrame]:
+    """All clusterings of all axons: clusters (config_name, keys, method, terminal_id, size, x, y,
+    z) and members (config_name, keys, node, tuft_id).
+
+    ``nodes``: (keys, node, parent, x, y, z), ``terminals``: (keys, node, x, y, z, is_root),
+    ``region_edges``: (keys, source, target, region_id), cut at region borders, without which
+    clustering by brain regions is an error.  Axons of fewer than five nodes are clustered as
+    ``basic`` in every clustering; the root is a terminal only of path clusters.
+    """
+    keys = list(keys)
+    counts = written(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points")), "axon-sizes")
+    clusters, members = [], []
+
+    def of(rows: DataFrame, axons: DataFrame) -> DataFrame:
+        return rows.join(axons.select(*keys), keys, "left_semi")
+
+    def run(method: str, config: ClusterConfig, axons: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ends = of(terminals, axons)
+        others = ends.filter(~F.col("is_root")).drop("is_root")
+        if method == "basic":
+            one = basic(others.withColumn("terminal_id", F.lit(1)), keys)
+            return one, others.select(*keys, node, F.lit(1).cast("bigint").alias("tuft_id"))
+        if method == "sphere":
+            return sphere_clusters(others, keys, config, node=node)
+        if method == "sphere_parents":
+            return sphere_parent_clusters(of(nodes, axons), ends, keys, config, node=node, parent=parent)
+        return region_clusters(of(region_edges, axons), others, keys, node=node)
+
+    for name, config in configs.items():
+        chosen = method_of(counts, config, atlas=region_edges, recipe=region_edges)
+        for method in dict.fromkeys((config.method, "basic")):
+            axons = chosen.filter(F.col("method") == method)
+            if axons.isEmpty():
+                continue
+            table, placed = run(method, config, axons)
+            label = F.lit(name).alias("config_name")
+            clusters.append(table.select(
+                label, *keys, F.lit(method).alias("method"), F.col("terminal_id").cast("bigint").alias("terminal_id"),
+                F.col("size").cast("bigint").alias("size"), *geo.AXES,
+            ))
+            members.append(placed.select(label, *keys, node, F.col("tuft_id").cast("bigint").alias("tuft_id")))
+    if not clusters:
+        none = nodes.limit(0).select(F.lit("").alias("config_name"), *keys)
+        empty = none.select("*", F.lit("").alias("method"), *[F.lit(0).cast("bigint").alias(c) for c in ("terminal_id", "size")], *[F.lit(0.0).alias(a) for a in geo.AXES])
+        return empty, none.select("*", F.lit(0).cast("bigint").alias(node), F.lit(0).cast("bigint").alias("tuft_id"))
+    out = [clusters[0], members[0]]
+    for table, placed in zip(clusters[1:], members[1:]):
+        out = [out[0].unionByName(table), out[1].unionByName(placed)]
+    return out[0], out[1]
+
+
 def basic(terminals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One cluster per axon: all terminals but the root, with their mean position."""
     return (

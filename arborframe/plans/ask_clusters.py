@@ -145,10 +145,13 @@ def c07(spark, sf):
     return C.close_paths(nodes, ends.filter("not is_root"), [M], PARENTS)
 
 
-@shelf.add("c08_path_clusters", f"""with recursive {PATH_SQL},
+_PATH_CLUSTERS = f"""with recursive {PATH_SQL},
     sizes as (select morphology, cluster, count(*) as size, avg(x) as x from comp join leaves using (morphology, point_id) group by 1, 2)
     select morphology, row_number() over (partition by morphology order by size desc, cluster) as terminal_id, size, {r6s('x')} as x from sizes
-    union all select morphology, 0, 1, {r6s('x')} from points where parent_id = -1""")
+    union all select morphology, 0, 1, {r6s('x')} from points where parent_id = -1"""
+
+
+@shelf.add("c08_path_clusters", _PATH_CLUSTERS)
 def c08(spark, sf):
     nodes, ends = tree_nodes(spark, sf)
     clusters, _ = C.sphere_parent_clusters(nodes, ends, [M], PARENTS)
@@ -193,7 +196,7 @@ def c09(spark, sf):
     return clusters.select(M, "terminal_id", "size", r6(F.col("x")).alias("x"))
 
 
-@shelf.add("c10_region_clusters", f"""with recursive {CUT_SQL},
+_REGION_CLUSTERS = f"""with recursive {CUT_SQL},
     ends as (select p.morphology, p.point_id as segment_id, case when q.parent_id = -1 then -1 else p.parent_id end as source
       from points p join points q on q.morphology = p.morphology and q.point_id = p.parent_id),
     raw_edges as (select r.morphology, coalesce(b.new_id, e.source) as source, coalesce(a.new_id, r.segment_id) as target, r.region_id
@@ -211,23 +214,88 @@ def c09(spark, sf):
       where not exists (select 1 from points k where k.morphology = t.morphology and k.parent_id = t.node)),
     used as (select morphology, region_id, component, row_number() over (partition by morphology order by region_id, component) - 1 as terminal_id from (select distinct morphology, region_id, component from leaf))
     select l.morphology, u.terminal_id, count(*) as size, {r6s('avg(p.x)')} as x from leaf l join used u on u.morphology = l.morphology and u.region_id = l.region_id and u.component = l.component
-      join points p on p.morphology = l.morphology and p.point_id = l.node group by 1, 2""")
+      join points p on p.morphology = l.morphology and p.point_id = l.node group by 1, 2"""
+
+
+@shelf.add("c10_region_clusters", _REGION_CLUSTERS)
 def c10(spark, sf):
+    _tree, ends = tree_nodes(spark, sf)
+    clusters, _ = C.region_clusters(nested_edges(spark, sf), ends.filter("not is_root").select(M, "id", "x", "y", "z"), [M])
+    return clusters.select(M, "terminal_id", "size", r6(F.col("x")).alias("x"))
+
+
+def nested_edges(spark, sf):
+    """Edges cut at region borders, with the first of a region's elders that is known."""
     _nodes, edges = _cut(spark, sf)
     known = (
         table(spark, sf, "region").select((10 + F.col("r_regionkey")).cast("bigint").alias("id"))
         .unionByName(table(spark, sf, "nation").filter("n_regionkey >= 2").select((100 + F.col("n_nationkey")).cast("bigint").alias("id"))))
     nested = R.first_nested(edges.select(F.col("region_id").alias("id")).distinct(), known, elders(spark, sf))
     joined = edges.join(nested.select(F.col("id").alias("region_id"), "nested_id"), "region_id").drop("region_id").withColumnRenamed("nested_id", "region_id")
-    _tree, ends = tree_nodes(spark, sf)
-    clusters, _ = C.region_clusters(written(joined, "nested-edges"), ends.filter("not is_root").select(M, "id", "x", "y", "z"), [M])
-    return clusters.select(M, "terminal_id", "size", r6(F.col("x")).alias("x"))
-
-
-@shelf.add("c11_cluster_methods", f"""with {FOREST_SQL} select morphology, neurite, count(*) as n_points, case when count(*) < 5 then 'basic' else 'sphere' end as method from forest group by 1, 2""")
+    return shared(spark, sf, "nested-edges", lambda: joined)
+
+
+# every user's tree, and the trees of single event types that have fewer than five points
+CLUSTERINGS = {
+    "near": C.ClusterConfig("sphere", sphere_radius=25.0, min_size=3), "paths": PARENTS,
+    "regions": C.ClusterConfig("brain_regions"), "whole": C.ClusterConfig("basic"),
+}
+_LEAVES = """leaves as materialized (select p.morphology, p.point_id, p.x, p.y, p.z from points p where parent_id <> -1 and not exists
+  (select 1 from points c where c.morphology = p.morphology and c.parent_id = p.point_id))"""
+_LEAF_CLOUD = f"""{POINTS_SQL.replace("points as (", "points as materialized (")}, {_LEAVES},
+cloud as materialized (select point_id as id, morphology as grp, x, y, z from leaves)"""
+_NEAR = members_sql(25.0, 3).replace(CLOUD_SQL.replace("cloud as (", "cloud as materialized ("), _LEAF_CLOUD)
+
+
+@shelf.add("c11_cluster_methods", f"""
+    select 'near' as config_name, grp as morphology, 'sphere' as method, terminal_id, size, x from (with recursive {_NEAR} {_CLUSTERS})
+    union all select 'paths', morphology, 'sphere_parents', terminal_id, size, x from ({_PATH_CLUSTERS})
+    union all select 'regions', morphology, 'brain_regions', terminal_id, size, x from ({_REGION_CLUSTERS})
+    union all select 'whole', morphology, 'basic', 1, count(*), {r6s('avg(x)')} from (with {POINTS_SQL}, {_LEAVES} select * from leaves) group by 2
+    union all select config_name, morphology, 'basic', 1, count(*), {r6s('avg(x)')} from (with {FOREST_SQL},
+        small as (select morphology, neurite from forest group by 1, 2 having count(*) < 5)
+        select f.morphology || '|' || f.neurite as morphology, f.x from forest f join small using (morphology, neurite) where f.parent_id <> -1
+          and not exists (select 1 from forest c where c.morphology = f.morphology and c.neurite = f.neurite and c.parent_id = f.point_id))
+      cross join (values {", ".join(f"('{name}')" for name in CLUSTERINGS)}) t(config_name) group by 1, 2""")
 def c11(spark, sf):
-    counts = forest(spark, sf).groupBy(M, "neurite").agg(F.count(F.lit(1)).alias("n_points"))
-    return C.method_of(counts, C.ClusterConfig("sphere"))
+    """Four clusterings of every user's tree and, as further axons, of the neurites that are too
+    small for any but the basic one."""
+    nodes, ends = tree_nodes(spark, sf)
+    few = forest(spark, sf).join(
+        forest(spark, sf).groupBy(M, "neurite").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < C.MIN_AXON_POINTS), [M, "neurite"], "left_semi"
+    ).withColumn(M, F.concat(M, F.lit("|"), "neurite"))
+    few = written(few.select(M, F.col("point_id").alias("id"), "parent_id", "x", "y", "z"), "small-axons")
+    tips = few.join(few.select(M, F.col("parent_id").alias("id")), [M, "id"], "left_anti").filter("parent_id <> -1")
+    tips = tips.unionByName(few.filter("parent_id = -1")).select(M, "id", "x", "y", "z", (F.col("parent_id") == -1).alias("is_root"))
+    clusters, _ = C.cluster_axons(
+        nodes.unionByName(few.select(*nodes.columns)), ends.unionByName(tips), [M], CLUSTERINGS,
+        region_edges=nested_edges(spark, sf),
+    )
+    return clusters.select("config_name", M, "method", "terminal_id", "size", r6(F.col("x")).alias("x"))
+
+
+_METHOD_NAMES = ["sphere", "sphere_parents", "brain_regions", "basic", "spheres"]
+
+
+@shelf.add("c17_cluster_parameters", f"""with given as (select p_name || '|' || p_size % 3 as name, {_METHOD_NAMES}[p_partkey % 5 + 1] as method,
+        case when p_partkey % 3 > 0 then (p_size - 5)::double end as sphere_radius, case when p_partkey % 4 > 0 then p_size % 7 end as min_size,
+        case when p_partkey % 2 > 0 then (p_size - 10)::double end as max_path_distance from part),
+    filled as (select name, method, case when method in ('sphere', 'sphere_parents') then coalesce(sphere_radius, 100.0::double) end as sphere_radius,
+        case when method = 'sphere' then coalesce(min_size, 10) end as min_size, max_path_distance as given_path, count(*) over (partition by name) as n from given),
+    whole as (select * exclude given_path, case when method = 'sphere_parents' then coalesce(given_path, sphere_radius) end as max_path_distance from filled)
+    select name, method, sphere_radius, min_size, max_path_distance, case when method = 'brain_regions' then true end as wm_unnesting,
+      case when n > 1 then 'name given twice' when method = 'spheres' then 'unknown method' when sphere_radius <= 0 then 'sphere_radius must be positive'
+        when min_size < 1 then 'min_size must be at least 1' when max_path_distance <= 0 then 'max_path_distance must be positive' end as problem from whole""")
+def c17(spark, sf):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    given = table(spark, sf, "part").select(
+        F.concat("p_name", F.lit("|"), (size % 3).cast("string")).alias("name"),
+        F.element_at(F.array(*[F.lit(m) for m in _METHOD_NAMES]), (key % 5 + 1).cast("int")).alias("method"),
+        F.when(key % 3 > 0, (size - 5).cast("double")).alias("sphere_radius"),
+        F.when(key % 4 > 0, (size % 7).cast("int")).alias("min_size"),
+        F.when(key % 2 > 0, (size - 10).cast("double")).alias("max_path_distance"),
+    )
+    return C.checked_configs(given)
 
 
 _D1 = "case when lag(f) over w is null then lead(f) over w - f when lead(f) over w is null then f - lag(f) over w else (lead(f) over w - lag(f) over w) / 2 end"
