@@ -119,13 +119,21 @@ def duplicated_sources(projections: DataFrame) -> DataFrame:
 
 
 def flatten_projections(projections: DataFrame, populations: DataFrame) -> DataFrame:
-    """One row per source population row and target: target fields become columns."""
+    """One row per source population row and target: target fields become columns.
+
+    ``target_layer_profile_name`` is that of the first profile, NULL for a target without any;
+    ``target_layer_profiles`` has all of them.
+    """
     targets = projections.select("source", F.posexplode("targets").alias("target_num", "_t")).select(
         "source", "target_num",
         F.col("_t.population").alias("target_population_name"),
         F.col("_t.projection_name").alias("target_projection_name"),
         F.col("_t.density").alias("target_density"),
-        F.element_at("_t.target_layer_profiles", 1)["name"].alias("target_layer_profile_name"),
+        F.col("_t.hemisphere").alias("target_hemisphere"),
+        F.col("_t.presynaptic_mapping").alias("topographical_mapping"),
+        F.col("_t.target_layer_profiles").alias("target_layer_profiles"),
+        F.get("_t.target_layer_profiles", F.lit(0))["name"].alias("target_layer_profile_name"),
+        F.col("_t.synapse_types").alias("target_synapse_types"),
     )
     source = populations.withColumn("source", F.col("pop_raw_name"))
     return targets.join(source, "source", "left")

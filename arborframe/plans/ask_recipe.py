@@ -58,8 +58,16 @@ def documents(spark, sf):
             .otherwise(F.concat(to, F.lit("_"), F.col("c_mktsegment"))).alias("population"),
             F.concat(name, F.lit("_to_"), to).alias("projection_name"),
             F.col("to_density").alias("density"),
-            F.lit("ipsilateral").alias("hemisphere"),
-            F.array(F.struct(F.concat(F.lit("profile_"), (F.col("to_region") % 2).cast("string")).alias("name"), F.lit(1.0).alias("fraction"))).alias("target_layer_profiles"),
+            F.when((F.col("to_region") + F.col("n_regionkey")) % 2 == 0, F.lit("ipsilateral")).otherwise(F.lit("contralateral")).alias("hemisphere"),
+            F.struct(
+                F.concat(F.lit("flat_"), to).alias("base_system"), F.array(F.lit(0.0), F.col("to_region") + 0.5).alias("x"),
+                F.array(F.lit(1.0), F.col("n_regionkey") + 0.25).alias("y"), (F.col("to_region") / 8.0).alias("mapping_variance"),
+            ).alias("presynaptic_mapping"),
+            F.array(
+                F.struct(F.concat(F.lit("profile_"), (F.col("to_region") % 2).cast("string")).alias("name"), F.lit(0.75).alias("fraction")),
+                F.struct(F.lit("rest").alias("name"), F.lit(0.25).alias("fraction")),
+            ).alias("target_layer_profiles"),
+            F.when(F.col("to_region") % 2 == 0, F.array(F.struct(F.lit("EXC").alias("name"), F.lit(1.0).alias("fraction")))).alias("synapse_types"),
         ).alias("target"),
         ((F.col("to_region") + 1) / 10.0).alias("strength"),
     )
@@ -200,11 +208,19 @@ def e05(spark, sf):
     return E.flatten_layer_profiles(entries(spark, sf)["layer_profiles"])
 
 
-@shelf.add("e06_projection_targets", f"with recursive {TARGET_SQL} select source, target_num::integer as target_num, target_population_name, target_projection_name, {r6s('target_density', 2)} as target_density, target_layer_profile_name, sub_region from tflat")
+@shelf.add("e06_projection_targets", f"""with recursive {TARGET_SQL} select source, target_num::integer as target_num, target_population_name, target_projection_name, {r6s('target_density', 2)} as target_density, target_layer_profile_name, sub_region,
+    case when (source_r + target_r) % 2 = 0 then 'ipsilateral' else 'contralateral' end as target_hemisphere, 'flat_R' || target_r as base_system, target_r + 0.5::double as x_end, source_r + 0.25::double as y_end, target_r / 8.0::double as mapping_variance,
+    2::integer as n_profiles, 0.25::double as last_fraction, case when target_r % 2 = 0 then 'EXC' end as synapse_type
+    from (select *, substr(source, 2, 1)::integer as source_r, right(target_projection_name, 1)::integer as target_r from tflat)""")
 def e06(spark, sf):
     e = entries(spark, sf)
-    return E.flatten_projections(e["projections"], populations(spark, sf, e)).select(
-        "source", "target_num", "target_population_name", "target_projection_name", r6(F.col("target_density"), 2).alias("target_density"), "target_layer_profile_name", "sub_region")
+    flat = E.flatten_projections(e["projections"], populations(spark, sf, e))
+    at, profiles = F.col("topographical_mapping"), F.col("target_layer_profiles")
+    return flat.select(
+        "source", "target_num", "target_population_name", "target_projection_name", r6(F.col("target_density"), 2).alias("target_density"), "target_layer_profile_name", "sub_region",
+        "target_hemisphere", at["base_system"].alias("base_system"), F.get(at["x"], F.lit(1)).alias("x_end"), F.get(at["y"], F.lit(1)).alias("y_end"),
+        at["mapping_variance"].alias("mapping_variance"), F.size(profiles).alias("n_profiles"), F.get(profiles, F.size(profiles) - 1)["fraction"].alias("last_fraction"),
+        F.get("target_synapse_types", F.lit(0))["name"].alias("synapse_type"))
 
 
 @shelf.add("e06_duplicated_sources", """with p as (select n_regionkey as source_region, c_mktsegment as source, count(distinct c_nationkey) as n from customer join nation on n_nationkey = c_nationkey group by all)

@@ -195,7 +195,8 @@ def candidates(spark, sf):
 
 @shelf.add("p05_candidate_targets", f"""with recursive {CAND_SQL}
     select morphology, axon_id, target_population_id, {r6s("p")} as target_probability from cand
-    union all select morphology, axon_id, null, null from mapped where population_id not in (select source_population_id from opt)""")
+    union all select m.morphology, m.axon_id, null::varchar, null::double from mapped m
+      where m.population_id is not null and not exists (select 1 from opt o where o.source_population_id = m.population_id)""")
 def p05(spark, sf):
     found, missing = candidates(spark, sf)
     return found.select(M, A, "target_population_id", r6(F.col("target_probability")).alias("target_probability")).unionByName(

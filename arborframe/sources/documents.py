@@ -13,7 +13,9 @@ POPULATION = (
 )
 TARGET = (
     "struct<population:string,projection_name:string,density:double,hemisphere:string,"
-    "target_layer_profiles:array<struct<name:string,fraction:double>>>"
+    "presynaptic_mapping:struct<base_system:string,x:array<double>,y:array<double>,mapping_variance:double>,"
+    "target_layer_profiles:array<struct<name:string,fraction:double>>,"
+    "synapse_types:array<struct<name:string,fraction:double>>>"
 )
 PROJECTION = f"struct<source:string,targets:array<{TARGET}>>"
 LAYER_PROFILE = "struct<name:string,relative_densities:array<struct<layers:array<string>,value:double>>>"
