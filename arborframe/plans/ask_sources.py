@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from arborframe.operators import batches as B
@@ -61,15 +62,32 @@ def s04(spark, sf):
     return back.select("vec_id", "label", r6(F.col("embedding")[0].cast("double")).alias("first"), F.size("embedding").alias("n"))
 
 
-@shelf.add("s05_checked_probabilities", """select 'population' as kind, s_name as name, s_acctbal / 10000 as probability from supplier union all select 'bad tuft number', c_name, c_acctbal from customer where c_acctbal <= 0""")
+@shelf.add("s05_checked_probabilities", f"""select 'population' as kind, s_name as name, s_nationkey::varchar as region, {r6s("s_acctbal / 10000")} as value from supplier
+    union all select 'projection', s_name, n_nationkey::varchar, {r6s("(s_suppkey % 10) / 10.0::double")} from supplier join nation on n_regionkey = s_nationkey % 5
+    union all select 'tuft number', c_name, null, {r6s("c_acctbal")} from customer
+    union all select 'bad tuft number', c_name, null, {r6s("c_acctbal")} from customer where c_acctbal <= 0""")
 def s05(spark, sf):
-    path = scratch_path(spark, "probabilities")
-    pops = table(spark, sf, "supplier").select(F.col("s_name").alias("population_id"), F.col("s_nationkey").cast("string").alias("brain_region_id"), (F.col("s_acctbal") / 10000).alias("probability"))
-    K.write_csv(pops, path)
-    back = K.read_csv(spark, path, K.POPULATION_SCHEMA)
-    numbers = table(spark, sf, "customer").select(F.col("c_name").alias("target_population_id"), F.col("c_acctbal").alias("mean_tuft_number"))
-    return back.select(F.lit("population").alias("kind"), F.col("population_id").alias("name"), "probability").unionByName(
-        K.bad_tuft_numbers(numbers).select(F.lit("bad tuft number").alias("kind"), F.col("target_population_id").alias("name"), F.col("mean_tuft_number").alias("probability")))
+    """The three probability tables, written to a folder and read back from it with their checks."""
+    folder = scratch_path(spark, "probabilities")
+    supplier, nation = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    pops = supplier.select(F.col("s_name").alias("population_id"), F.col("s_nationkey").cast("string").alias("brain_region_id"), (F.col("s_acctbal") / 10000).alias("probability"))
+    into = supplier.join(nation, F.col("n_regionkey") == F.col("s_nationkey") % 5).select(
+        F.col("s_name").alias("source_population_id"), F.col("s_nationkey").cast("string").alias("source_brain_region_id"), F.col("n_name").alias("target_population_id"),
+        F.col("n_nationkey").cast("string").alias("target_brain_region_id"), (F.col("s_suppkey") % 10 / 10.0).alias("probability"))
+    numbers = table(spark, sf, "customer").select(F.col("c_name").alias("target_population_id"), F.col("c_acctbal").alias("mean_tuft_number"), F.lit(1.0).alias("std_tuft_number"))
+    K.write_probabilities(folder, populations=pops, projections=into, tuft_numbers=numbers)
+    read, bad = K.load_probabilities(spark, folder)
+
+    def rows(df, kind, name, region, value):
+        return df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), region.cast("string").alias("region"), r6(F.col(value)).alias("value"))
+
+    none = F.lit(None)
+    return (
+        rows(read["populations"], "population", "population_id", F.col("brain_region_id"), "probability")
+        .unionByName(rows(read["projections"], "projection", "source_population_id", F.col("target_brain_region_id"), "probability"))
+        .unionByName(rows(read["tuft_numbers"], "tuft number", "target_population_id", none, "mean_tuft_number"))
+        .unionByName(rows(bad, "bad tuft number", "target_population_id", none, "mean_tuft_number"))
+    )
 
 
 @shelf.add("s06_keyed_tables", "select o_custkey::varchar as morphology, o_orderkey, case when o_orderstatus = 'F' then o_orderkey else -1 end as grafting_section_id from orders")
@@ -186,3 +204,40 @@ def i04(spark, sf):
 
     out = B.apply_rows(table(spark, sf, "customer").select("c_nationkey", "c_acctbal"), check, {"level": "double"})
     return out.groupBy("c_nationkey").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("n_good"), F.count("error").alias("n_failed"), F.max("error").alias("error"))
+
+
+# The lines of an order are a handful; an order with a full line at full discount fails as a whole.
+_ORDER_SQL = """orders_of as materialized (select l_orderkey, median(l_extendedprice) as median_price, max(l_extendedprice) - min(l_extendedprice) as price_range,
+    bool_or(l_discount >= 0.1 and l_quantity >= 50) as failed, count(*) as n_lines from lineitem group by 1)"""
+
+
+def order_results(spark, sf):
+    def prices(lines):
+        if ((lines["l_discount"] >= 0.1) & (lines["l_quantity"] >= 50)).any():
+            raise ValueError("full discount")
+        price = lines.groupby("l_orderkey", sort=False)["l_extendedprice"]
+        made = pd.DataFrame({"median_price": price.median(), "price_range": price.max() - price.min()})
+        return made.reset_index()
+
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", *[F.col(c).cast("double").alias(c) for c in ("l_extendedprice", "l_discount", "l_quantity")])
+    return lines, B.apply_groups(lines, ["l_orderkey"], prices, {"median_price": "double", "price_range": "double"})
+
+
+@shelf.add("i03_applied_group_function", f"""with {_ORDER_SQL} select l_orderkey, {r6s("case when not failed then median_price end")} as median_price,
+    {r6s("case when not failed then price_range end")} as price_range, case when failed then 'ValueError: full discount' end as error from orders_of""")
+def i03_groups(spark, sf):
+    made = order_results(spark, sf)[1]
+    return made.select("l_orderkey", r6(F.col("median_price")).alias("median_price"), r6(F.col("price_range")).alias("price_range"), "error")
+
+
+@shelf.add("i04_failed_groups", f"""with {_ORDER_SQL} select l_orderkey, case when failed then 'failed' else 'kept' end as outcome, n_lines, case when failed then 'ValueError: full discount' end as error from orders_of""")
+def i04_groups(spark, sf):
+    """Lines of the orders that worked, and the orders that did not with their messages."""
+    lines, made = order_results(spark, sf)
+    marked = written(lines.join(made.select("l_orderkey", "error"), "l_orderkey"), "order-lines")
+    count = F.count(F.lit(1)).alias("n_lines")
+    kept = B.drop_failed_groups(marked, ["l_orderkey"]).groupBy("l_orderkey").agg(count).select(
+        "l_orderkey", F.lit("kept").alias("outcome"), "n_lines", F.lit(None).cast("string").alias("error"))
+    failed = B.failed_groups(marked, ["l_orderkey"]).join(marked.groupBy("l_orderkey").agg(count), "l_orderkey")
+    return kept.unionByName(failed.select("l_orderkey", F.lit("failed").alias("outcome"), "n_lines", "error"))

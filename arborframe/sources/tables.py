@@ -39,6 +39,7 @@ def read_records(spark: SparkSession, path: str, schema: str | StructType, *, ar
 
 # --- probabilities ------------------------------------------------------------------------------
 
+# Column names of the three tables, which files of others have as well.
 POPULATION_SCHEMA = StructType([
     StructField("population_id", StringType()), StructField("brain_region_id", StringType()),
     StructField("probability", DoubleType()),
@@ -59,6 +60,39 @@ def bad_tuft_numbers(numbers: DataFrame) -> DataFrame:
     return numbers.filter(F.col("mean_tuft_number") <= 0)
 
 
+PROBABILITIES = {
+    "populations": ("population_probabilities.csv", POPULATION_SCHEMA),
+    "projections": ("projection_probabilities.csv", PROJECTION_SCHEMA),
+    "tuft_numbers": ("population_tuft_number.json", TUFT_NUMBER_SCHEMA),
+}
+
+
+def write_probabilities(folder: str, **tables: DataFrame) -> None:
+    """The given ones of ``populations``, ``projections`` and ``tuft_numbers`` as files of a folder."""
+    for name, table in tables.items():
+        file, schema = PROBABILITIES[name]
+        path, chosen = f"{folder.rstrip('/')}/{file}", table.select(*schema.names)
+        if file.endswith(".csv"):
+            write_csv(chosen, path)
+        else:
+            write_records(chosen, path)
+
+
+def load_probabilities(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The probability tables of a folder, ids as text and probabilities as numbers, and the tuft
+    numbers that are not positive.  A table whose file is missing has no rows."""
+    read = {}
+    for name, (file, schema) in PROBABILITIES.items():
+        path = f"{folder.rstrip('/')}/{file}"
+        if not exists(spark, path):
+            read[name] = spark.createDataFrame([], schema)
+        elif file.endswith(".csv"):
+            read[name] = read_csv(spark, path, schema)
+        else:
+            read[name] = read_records(spark, path, schema)
+    return read, bad_tuft_numbers(read["tuft_numbers"])
+
+
 # --- keyed tables -------------------------------------------------------------------------------
 
 
