@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
-from arborframe.operators.spatial import Octree, nearest
+from arborframe.operators.neighbours import neighbours
 from arborframe.operators.voxels import IJK, Grid
 
 # Length given to vectors of outside voxels, and the smoothing weights.
@@ -32,7 +32,7 @@ def boundary_vectors(voxels: DataFrame, grid: Grid, *, outside: int) -> DataFram
     sides = []
     for is_out in (False, True):
         own = cells.filter(F.col("_out") == is_out)
-        near = nearest(own, Octree(cells.filter(F.col("_out") != is_out), []))
+        near = neighbours(own, cells.filter(F.col("_out") != is_out), [])
         joined = own.join(near, "id")
         v = [
             (F.col(a) - F.col(f"near_{a}")) * F.lit(d) for a, d in zip(geo.AXES, grid.dim)

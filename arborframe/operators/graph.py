@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from arborframe.functions import geometry as geo
 from arborframe.functions.draws import uniform
 from arborframe.operators.core import Rounds, accumulate, id_slice, numbered, written
-from arborframe.operators.spatial import Octree, nearest, nearest_distance, thin
+from arborframe.operators.neighbours import nearest_distance, neighbours
+from arborframe.operators.spatial import thin
 from arborframe.operators.trees import bounding_box, fold, run_heads
 from arborframe.operators.voxels import Grid, lookup
 
@@ -94,8 +95,8 @@ def random_points(
         u = uniform(*keys, "draw", F.lit(f"random_{a}"))
         drawn = drawn.withColumn(a, F.col(f"{a}_min") + u * (F.col(f"{a}_max") - F.col(f"{a}_min")))
     drawn = written(drawn.select(*keys, "draw", *geo.AXES), "random-candidates")
-    tree = Octree(points.withColumn("_pt", F.xxhash64(*geo.AXES)), keys, node="_pt")
-    gap = nearest(drawn, tree, node="draw").filter(F.col("distance") > min_distance)
+    places = points.select(*keys, *geo.AXES).distinct().withColumn("_pt", F.xxhash64(*geo.AXES))
+    gap = neighbours(drawn, places, keys, node="draw", target="_pt").filter(F.col("distance") > min_distance)
     free = drawn.join(gap.select(*keys, "draw"), [*keys, "draw"], "left_semi")
     return thin(free, keys, min_distance, node="draw", priority=[F.col("draw")])
 
@@ -203,7 +204,7 @@ def nearest_edges(nodes: DataFrame, keys: Sequence[str], *, k: int) -> DataFrame
     (keys, from, to, x_from .. z_to, length) with from < to.
     """
     keys = list(keys)
-    near = nearest(nodes, Octree(nodes, keys, most=k + 1), k=k, skip_self=True)
+    near = neighbours(nodes, nodes, keys, k=k, skip_self=True)
     pairs = near.select(
         *keys, F.least("id", "near_id").alias("from"), F.greatest("id", "near_id").alias("to")
     ).distinct()
@@ -324,7 +325,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) ->
         arcs.unionByName(arcs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"), "weight")),
         "arcs",
     )
-    rounds = Rounds(edges.sparkSession, "relax", limit=10_000)
+    rounds = Rounds(edges.sparkSession, "relax")
     state = rounds.cut(
         sources.select(
             *keys, "id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"),

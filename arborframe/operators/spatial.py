@@ -515,7 +515,7 @@ def thin(
     keys = list(keys)
     side = float(radius) / math.sqrt(3.0) * (1.0 - 1e-9)
     limit = float(radius)
-    rounds = Rounds(points.sparkSession, "thin", limit=200)
+    rounds = Rounds(points.sparkSession, "thin")
     order = F.struct(*[c.alias(f"_p{n}") for n, c in enumerate(priority)], F.col(node).alias("_id"))
     left = rounds.cut(points.select(*keys, F.col(node).alias("_id"), *geo.AXES, *_cells(side), order.alias("_order")), "left", watch=F.lit(True))
     kept: list[DataFrame] = []

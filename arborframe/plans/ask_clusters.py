@@ -10,6 +10,7 @@ from arborframe.operators import spatial as S
 from arborframe.operators import trees as T
 from arborframe.operators import tufts as TU
 from arborframe.operators.core import numbered, written
+from arborframe.operators.neighbours import nearest_distance
 from arborframe.plans.ask_trees import CLOSURE_SQL, SECTIONS_SQL, section_table
 from arborframe.plans.ask_voxels import CUT_SQL, GRID, _cut, elders, idx_sql, rotation_field
 from arborframe.plans.registry import Shelf
@@ -438,4 +439,4 @@ _MOVED = {a: f"50 + 40 * {a}" for a in "xyz"}
 def g15(spark, sf):
     pts = written(points(spark, sf).select(F.col("event_id").alias("id"), "x", "y", "z"), "cloud")
     targets = cloud(spark, sf).select("id", *[(50 + 40 * F.col(a)).alias(a) for a in "xyz"])
-    return S.nearest_distance(pts, targets).withColumn("distance", r6(F.col("distance")))
+    return nearest_distance(pts, targets).withColumn("distance", r6(F.col("distance")))
