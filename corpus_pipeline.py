@@ -16,7 +16,12 @@ from arborframe.plans.views import table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranking puts above its threshold."""
+    """Documents that the pairwise ranking puts above its threshold.
+
+    NULL and empty texts have the features of the empty text and go or stay by their score; rows
+    without an id are scored like others.  Repeated rows have one score and stay or go together;
+    all columns are kept.  Without labels every score is 0.5 and all documents stay.
+    """
     model = pairwise_quality.learn(docs, table(spark, sf_dir, "labels"))
     scored = pairwise_quality.scored(docs, model, into="_quality")
     return scored.filter(F.col("_quality") >= 0.5).drop("_quality")
@@ -25,7 +30,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of every group of near duplicates; of a repeated row, one.
 
-    Documents without words and rows without an id stay.
+    Documents without words and rows without an id stay, equal ones of them once.  Of rows with
+    one id and text that differ in other columns, any one stays.
     """
     found = jaccard_regions.linked_components(docs.select("doc_id", "text"))
     later = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
@@ -34,12 +40,20 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words fewer than one in twenty lie in passages of the benchmark."""
+    """Documents of whose words fewer than one in twenty lie in passages of the benchmark.
+
+    Documents without words stay, NULL texts among them, and so do all where the benchmark is
+    empty; rows without an id are judged like others, repeated rows together; all columns are kept.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in the place of every secret."""
+    """All documents, with a mark in the place of every secret.
+
+    NULL texts stay NULL, empty ones empty; every row comes back with all its columns, repeated
+    ones as often as they were given; ``n_chars`` follows the new text.
+    """
     out = secrets.redacted(secrets.scan(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -47,7 +61,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in training sequences."""
+    """Pieces of all documents with their places in training sequences.
+
+    NULL and empty texts are one piece of the end id; repeated rows are packed as often as they
+    were given, rows without an id with a NULL one; other columns are not returned.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
