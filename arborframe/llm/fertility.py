@@ -215,7 +215,9 @@ def fences(
 def judged_by_corpus(rows: DataFrame, **options) -> DataFrame:
     """``judged``, and a text is kept only inside the fences of its script and language.
 
-    The measures are written once, as they are read twice.
+    NULL languages are a group of their own; NULL and empty texts fail the base rules.  Repeated
+    rows come back as often as they were given, an empty table gives an empty result.  The measures
+    are written once, as they are read twice.
     """
     own = written(rows, "fertility")
     out = judged(own, **options).join(

@@ -219,6 +219,10 @@ def packed(pieces: DataFrame, *, capacity: int = 4096, slice_rows: int = 200_000
 def pack_documents(
     docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1,
 ) -> DataFrame:
-    """Cut, tokenise and place all documents; the pieces' table is written once and read twice."""
+    """Cut, tokenise and place all documents; the pieces' table is written once and read twice.
+
+    NULLs, empty texts and repeated rows are those of :func:`token_pieces`; pieces of equal length
+    take their places in any order.  An empty table gives an empty result.
+    """
     pieces = written(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id), "pieces")
     return packed(pieces, capacity=capacity)

@@ -145,7 +145,12 @@ def scored(
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Rows ``doc_id, held_out, score, predicted`` for every document."""
+    """Rows ``doc_id, held_out, score, predicted`` for every document.
+
+    NULL texts count as empty ones, which have a score as well; a NULL id counts as an empty one in
+    ``held_out``.  Repeated rows come back as often as they were given, other columns are not read,
+    an empty table gives an empty result; without any label every score is 0.5.
+    """
     model = learn(docs, labels, **options)
     parts, part = options.get("parts", 3), options.get("part", 1)
     own = docs.select(F.col("doc_id"), F.col("text"))
