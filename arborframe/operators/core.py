@@ -170,7 +170,11 @@ def accumulate(
 
 
 def id_slice(column: str | Column, width: int = 1 << 18) -> Column:
-    """Slice of a unique integer order column: at most ``width`` rows of a group each."""
+    """Slice of a unique integer order column: at most ``width`` rows of a group each.
+
+    It is meant for numbers that lie close together.  Of ids spread over all integers every row is
+    a slice of its own, and the totals of a group's slices are as long as the group.
+    """
     col = F.col(column) if isinstance(column, str) else column
     return F.floor(col / F.lit(width))
 

@@ -413,22 +413,33 @@ def resize_root_section(
 
 
 def recenter(points: DataFrame, origin: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Shift every tree by minus its origin (keys, x, y, z), such as its soma point."""
+    """Shift every tree by minus its origin (keys, x, y, z), such as its soma point.
+
+    Trees without an origin stay where they are; :func:`unplaced` names them.
+    """
     o = origin.select(*keys, *[F.col(a).alias(f"_o{a}") for a in geo.AXES])
-    out = points.join(o, list(keys))
+    out = points.join(o, list(keys), "left")
     for a in geo.AXES:
-        out = out.withColumn(a, F.col(a) - F.col(f"_o{a}"))
+        out = out.withColumn(a, F.col(a) - F.coalesce(f"_o{a}", F.lit(0.0)))
     return out.drop("_ox", "_oy", "_oz")
 
 
 def translate(points: DataFrame, positions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Shift every tree to its position (keys, atlas_x, atlas_y, atlas_z)."""
-    out = points.join(positions.select(*keys, *geo.triple("atlas_")), list(keys))
+    """Shift every tree to its position (keys, atlas_x, atlas_y, atlas_z).
+
+    Trees without a position stay where they are; :func:`unplaced` names them.
+    """
+    out = points.join(positions.select(*keys, *geo.triple("atlas_")), list(keys), "left")
     for a in geo.AXES:
-        out = out.withColumn(a, F.col(a) + F.col(f"atlas_{a}"))
+        out = out.withColumn(a, F.col(a) + F.coalesce(f"atlas_{a}", F.lit(0.0)))
     return out.drop(*geo.triple("atlas_"))
 
 
+def unplaced(points: DataFrame, places: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Keys of the trees that have no row in a table of origins or positions."""
+    return points.select(*keys).distinct().join(places.select(*keys), list(keys), "left_anti")
+
+
 def bounding_box(
     points: DataFrame, keys: Sequence[str], *,
     relative_buffer: float | None = None, absolute_buffer: float | None = None,
@@ -568,7 +579,9 @@ def section_ends_from_origin(
 def existing_axon_starts(
     roots: DataFrame, origin: DataFrame, *, axon_type: int, key: str = "morphology"
 ) -> DataFrame:
-    """First point of every axon, relative to the origin of its morphology."""
+    """First point of every axon, relative to the origin of its morphology; axons of morphologies
+    without an origin have no place."""
+    roots = roots.join(origin.select(key), key, "left_semi")
     found = numbered(roots.filter(F.col("type") == axon_type), [key], "order", "axon_id")
     return recenter(found, origin, [key]).select(key, "axon_id", *geo.AXES)
 

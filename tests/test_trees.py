@@ -136,3 +136,16 @@ def test_resampling_a_line_onto_itself_and_its_middle(spark):
     assert same == {1: 1.0, 2: 3.0, 3: 9.0}
     other = {r.n: r.v for r in T.resample(a, b, ["morphology"], order="n", value="v").collect()}
     assert other == {1: 1.0, 2: 2.0, 3: 9.0}
+
+
+def test_trees_without_an_origin_or_position_stay(spark):
+    points = spark.createDataFrame(
+        [("a", 1, 1.0, 2.0, 3.0), ("b", 1, 4.0, 5.0, 6.0)], "morphology string, point_id long, x double, y double, z double"
+    )
+    origin = points.filter("morphology = 'a'").drop("point_id")
+    moved = {r["morphology"]: (r["x"], r["y"], r["z"]) for r in T.recenter(points, origin).collect()}
+    assert moved == {"a": (0.0, 0.0, 0.0), "b": (4.0, 5.0, 6.0)}
+    home = spark.createDataFrame([("b", 10.0, 0.0, -6.0)], "morphology string, atlas_x double, atlas_y double, atlas_z double")
+    moved = {r["morphology"]: (r["x"], r["y"], r["z"]) for r in T.translate(points, home).collect()}
+    assert moved == {"a": (1.0, 2.0, 3.0), "b": (14.0, 5.0, 0.0)}
+    assert [r[0] for r in T.unplaced(points, home).collect()] == ["a"]
