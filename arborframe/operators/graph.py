@@ -97,7 +97,7 @@ def random_points(
     drawn = written(drawn.select(*keys, "draw", *geo.AXES), "random-candidates")
     places = points.select(*keys, *geo.AXES).distinct().withColumn("_pt", F.xxhash64(*geo.AXES))
     gap = neighbours(drawn, places, keys, node="draw", target="_pt").filter(F.col("distance") > min_distance)
-    free = drawn.join(gap.select(*keys, "draw"), [*keys, "draw"], "left_semi")
+    free = written(drawn.join(gap.select(*keys, "draw"), [*keys, "draw"], "left_semi"), "random-free")
     return thin(free, keys, min_distance, node="draw", priority=[F.col("draw")])
 
 

@@ -7,8 +7,10 @@ quadratically: cells that are too full are salted, split further, or stood for b
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,17 @@ def _offsets(reach: int, *, forward_only: bool) -> list[tuple[int, int, int]]:
 
 
 def _shifted(df: DataFrame, offsets: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """Copies of the rows, one per offset, with their cell moved by it."""
+    """Copies of the rows, one per offset, with their cell moved by it.
+
+    The planner takes an explode for as small as its input, so the copies are never broadcast.
+    """
     listed = F.array(
         *[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, ("a", "b", "c"))]) for o in offsets]
     )
     out = df.withColumn("_o", F.explode(listed))
     for name, part in zip(CELL, ("a", "b", "c")):
         out = out.withColumn(name, F.col(name) + F.col(f"_o.{part}"))
-    return out.drop("_o")
+    return out.drop("_o").hint("merge")
 
 
 def pairs_within(
@@ -71,7 +76,7 @@ def pairs_within(
     )
     dist = geo.distance(list(geo.AXES), ["_rx", "_ry", "_rz"])
     return (
-        left.join(right, [*keys, *CELL, "_salt"])
+        left.join(right.hint("merge"), [*keys, *CELL, "_salt"])
         .filter((~F.col("_same")) | (F.col("_id") < F.col("_rid")))
         .withColumn("distance", dist)
         .filter(F.col("distance") <= radius)
@@ -500,14 +505,89 @@ def nearest_distance(queries: DataFrame, targets: DataFrame, *, node: str = "id"
 # --- thinning -----------------------------------------------------------------------------
 
 
+#: Most points of a group that are thinned inside a task
+THIN_SMALL = 8192
+
+
 def thin(
     points: DataFrame, keys: Sequence[str], radius: float, *, node: str = "id",
-    priority: Sequence[Column],
+    priority: Sequence[Column], small: int = THIN_SMALL,
 ) -> DataFrame:
     """Points that remain when each drops all later ones within ``radius`` of it.
 
-    The order is ``priority`` (smallest first), then the id; ids are unique inside a group.  In
-    each round the first point of a cell survives if no point ahead of it is left within the
+    The order is ``priority`` (smallest first), then the id; ids are unique inside a group.  Groups
+    of at most ``small`` points are walked in that order inside tasks, larger ones go through
+    rounds over cells.  Both ways give the same rows.  ``points`` is read twice.
+    """
+    keys = list(keys)
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = written(sizes.filter(F.col("_n") > small).select(*keys), "large-groups")
+    if large.isEmpty():
+        return _thin_in_tasks(points, keys, radius, node=node, priority=priority)
+    here = _thin_in_tasks(points.join(large, keys, "left_anti"), keys, radius, node=node, priority=priority)
+    there = _thin_in_rounds(
+        written(points.join(large, keys, "left_semi"), "large-points"), keys, radius, node=node, priority=priority
+    )
+    return here.select(*points.columns).unionByName(there.select(*points.columns))
+
+
+def _thin_in_tasks(
+    points: DataFrame, keys: Sequence[str], radius: float, *, node: str, priority: Sequence[Column]
+) -> DataFrame:
+    """:func:`thin` for groups that fit into a task: one exchange, no rounds."""
+    limit = float(radius)
+    group = ["_group", "_group2"]
+    order = [f"_p{n}" for n in range(len(priority))]
+    keyed = points.select(
+        "*", F.xxhash64(*keys).alias("_group"), F.xxhash64(F.lit("group"), *keys).alias("_group2"),
+        *[c.alias(n) for c, n in zip(priority, order)],
+    )
+    dealt = keyed.repartition(*group).sortWithinPartitions(*group, *order, node).drop(*order)
+    names = points.columns
+
+    def survivors(rows: pa.Table) -> pa.Table:
+        spots = np.stack([rows.column(a).to_numpy() for a in geo.AXES], 1).astype(float)
+        left = np.arange(len(spots))
+        kept = []
+        while len(left):
+            kept.append(left[0])
+            x, y, z = (spots[left[1:]] - spots[left[0]]).T
+            # written so that a distance that is no number drops nothing
+            left = left[1:][~(np.sqrt(x * x + y * y + z * z) <= limit)]
+        return rows.take(pa.array(kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, group):
+            yield from survivors(rows.select(names)).to_batches()
+
+    return dealt.mapInArrow(run, points.schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal ``by`` (whole numbers, rows ordered by them) as one table."""
+    held: list[pa.RecordBatch] = []
+    place = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy() for c in by], 1)
+        cuts = (np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if place is not None and (at[lo] != place).any():
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            place = at[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _thin_in_rounds(
+    points: DataFrame, keys: Sequence[str], radius: float, *, node: str, priority: Sequence[Column]
+) -> DataFrame:
+    """:func:`thin` for groups of any size.
+
+    In each round the first point of a cell survives if no point ahead of it is left within the
     radius, and everything near a survivor goes.  Only one point per cell is tried and a cell
     holds at most one survivor, so a point meets at most 125 of either.  Hash the priority to
     keep the number of rounds logarithmic.

@@ -137,6 +137,29 @@ def test_thinning_equals_the_greedy_walk(spark):
     assert got == {p[0] for p in kept}
 
 
+@pytest.mark.parametrize("small", [S.THIN_SMALL, 60, 0])  # all in tasks; the larger group in rounds; both
+def test_thinning_of_small_and_large_groups(spark, small):
+    pts = cloud(6, 150, blob=30)
+    got = {r.id for r in S.thin(frame(spark, pts), ["grp"], 1.5, priority=[F.lit(0)], small=small).collect()}
+    kept = []
+    for p in pts:
+        if all(q[1] != p[1] or d2(p, q) > 2.25 for q in kept):
+            kept.append(p)
+    assert got == {p[0] for p in kept}
+
+
+def test_shifted_copies_are_not_broadcast(spark):
+    """125 copies of a small table passed as one row each, and the driver had to hold them."""
+    df = frame(spark, cloud(7, 40))
+    cells = df.select("grp", "id", *S.geo.AXES, *S._cells(1.0))
+    for joined in (
+        S._shifted(cells, S._offsets(2, forward_only=False)).join(cells.select("grp", *S.CELL), ["grp", *S.CELL]),
+        S.pairs_within(df, ["grp"], 1.0),
+    ):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString().split("_salt")[0]
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def release_by_hand(members):
     """The sequence of merges written out: smallest cluster first, farthest members released."""
     clusters = {}
