@@ -320,46 +320,39 @@ def cut_edges(
         placed, dim=[F.lit(d) for d in grid.dim], offset=[F.lit(o) for o in grid.offset]
     )
     valued = pieces.join(voxels.select(*IJK, "region_id"), list(IJK), "left")
-    runs = written(merge_runs(valued, [*keys, "source", "target"]), "runs")
-    counts = runs.groupBy(*keys, "source", "target").agg(
-        F.count(F.lit(1)).alias("n_runs"), F.min_by("region_id", "run").alias("_only")
-    )
-    # every run but the last ends in a new node
-    joints = runs.join(counts.filter("n_runs > 1"), [*keys, "source", "target"]).filter(
-        F.col("run") < F.col("n_runs") - 1
+    # a run but the last ends in a new node; an edge and its runs stay together for the count
+    edge = [*keys, "source", "target"]
+    runs = written(
+        merge_runs(valued, edge).withColumn(
+            "n_runs", F.count(F.lit(1)).over(Window.partitionBy(*edge))
+        ).select(*edge, "run", "n_runs", "region_id", *[F.col(f"{a}1").alias(a) for a in geo.AXES]),
+        "runs",
     )
+    # all else is known of an edge: the runs are only met by one row of theirs
+    cuts = runs.filter("run = 0").select(*edge, (F.col("n_runs") - 1).alias("_cuts"))
     top = nodes.groupBy(*keys).agg(F.max("id").alias("_top"))
-    fresh = accumulate(
-        joints, keys, ["target", "run"], slice_by=id_slice("target"), number="_rn"
+    first = accumulate(
+        cuts, keys, ["target", "source"], slice_by=id_slice("target"), sums={"_upto": F.col("_cuts")}
     ).join(top, keys)
-    fresh = fresh.select(
-        *keys, "source", "target", "run", (F.col("_top") + F.col("_rn")).alias("new_id"),
-        *[F.col(f"{a}1").alias(a) for a in geo.AXES],
-    )
-    fresh = written(fresh, "joints")
-    after = fresh.select(
-        *keys, "source", "target", F.col("run"), F.col("new_id").alias("_end")
+    # the new node of an edge's run r has the id _at + r
+    first = written(
+        first.select(*edge, "_cuts", (F.col("_top") + F.col("_upto") - F.col("_cuts") + 1).alias("_at")),
+        "cut-firsts",
     )
-    before = fresh.select(
-        *keys, "source", "target", (F.col("run") + 1).alias("run"), F.col("new_id").alias("_start")
+    many = F.col("n_runs") > 1
+    cut = runs.filter(many).select(*edge, "run", "n_runs", "region_id").join(first, edge).select(
+        *keys,
+        F.when(F.col("run") == 0, F.col("source")).otherwise(F.col("_at") + F.col("run") - 1).alias("source"),
+        F.when(F.col("run") == F.col("n_runs") - 1, F.col("target")).otherwise(F.col("_at") + F.col("run")).alias("target"),
+        "region_id",
     )
-    cut = (
-        runs.join(counts.filter("n_runs > 1").select(*keys, "source", "target"), [*keys, "source", "target"])
-        .join(after, [*keys, "source", "target", "run"], "left")
-        .join(before, [*keys, "source", "target", "run"], "left")
-        .select(
-            *keys, F.coalesce("_start", "source").alias("source"),
-            F.coalesce("_end", "target").alias("target"), "region_id",
-        )
-    )
-    whole = edges.select(*keys, "source", "target").join(
-        counts, [*keys, "source", "target"], "left"
-    ).filter(F.coalesce("n_runs", F.lit(0)) < 2)
-    new_edges = cut.unionByName(
-        whole.select(*keys, "source", "target", F.coalesce("_only", F.lit(-1)).alias("region_id"))
+    one = runs.filter(~many).select(*edge, "region_id")
+    still = edges.select(*edge).join(first.select(*edge), edge, "left_anti").withColumn(
+        "region_id", F.lit(-1).cast("bigint")
     )
+    new_edges = cut.unionByName(one).unionByName(still)
     # shift the numbering of every node by the new nodes before it in its section
-    added = joints.groupBy(*keys, F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_cuts"))
+    added = first.groupBy(*keys, F.col("target").alias("id")).agg(F.sum("_cuts").alias("_cuts"))
     shifted = accumulate(
         nodes.join(added, [*keys, "id"], "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(0))),
         [*keys, "section_id"], ["sub_segment_num"], slice_by=id_slice("sub_segment_num"),
@@ -374,10 +367,14 @@ def cut_edges(
         *keys, F.col("id").alias("target"), "section_id",
         (F.col("sub_segment_num") + F.col("_shift") - F.col("_cuts")).alias("_base"),
     )
-    new = fresh.join(home, [*keys, "target"]).select(
-        *keys, F.col("new_id").alias("id"), *geo.AXES, F.lit(False).alias("is_terminal"),
-        "section_id", (F.col("_base") + F.col("run")).alias("sub_segment_num"),
-        F.lit(True).alias("is_intermediate_pt"),
+    new = (
+        runs.filter(F.col("run") < F.col("n_runs") - 1).select(*edge, "run", *geo.AXES)
+        .join(first.select(*edge, "_at").join(home, [*keys, "target"]), edge)
+        .select(
+            *keys, (F.col("_at") + F.col("run")).alias("id"), *geo.AXES, F.lit(False).alias("is_terminal"),
+            "section_id", (F.col("_base") + F.col("run")).alias("sub_segment_num"),
+            F.lit(True).alias("is_intermediate_pt"),
+        )
     )
     return old.unionByName(new), new_edges
 

@@ -100,3 +100,34 @@ def test_scores_at_zero_and_missing(spark):
     test = spark.createDataFrame([("m", "a", 3.0), ("m", "b", 0.0), ("m", "c", -1.0), ("m", "d", 1.0)], "m string, feature string, value double")
     got = {r.feature: r.score for r in D.relative_scores(ref, test, ["m"]).collect()}
     assert got["a"] == 0.5 and got["b"] == 0.0 and got["c"] == float("-inf") and got["d"] != got["d"]
+
+
+def cut_tree(spark):
+    """Tree ``t``: 0 - 1 - 4 along the first axis through regions 1, 2, 3 and back; 0 - 2 - 3."""
+    at = {0: (5.0, 0, 0, False), 1: (25.0, 1, 0, False), 2: (8.0, 2, 0, False), 3: (8.0, 2, 1, True), 4: (15.0, 1, 1, True)}
+    nodes = spark.createDataFrame(
+        [("t", n, x, 5.0, 5.0, end, section, place) for n, (x, section, place, end) in at.items()],
+        "tree string, id long, x double, y double, z double, is_terminal boolean, section_id long, sub_segment_num long",
+    )
+    edges = spark.createDataFrame([("t", 0, 1), ("t", 0, 2), ("t", 2, 3), ("t", 1, 4)], "tree string, source long, target long")
+    voxels = spark.createDataFrame([(i, 0, 0, i + 1) for i in range(3)], "i int, j int, k int, region_id long")
+    return V.cut_edges(nodes, edges, voxels, V.Grid(dim=(10.0,) * 3, offset=(0.0,) * 3, shape=(3, 1, 1)), ["tree"])
+
+
+def test_edges_cut_at_borders(spark):
+    nodes, edges = cut_tree(spark)
+    assert sorted(map(tuple, edges.select("source", "target", "region_id").collect())) == [
+        (0, 2, 1), (0, 5, 1), (1, 7, 3), (2, 3, -1), (5, 6, 2), (6, 1, 3), (7, 4, 2),
+    ]
+    got = nodes.select("id", "x", "section_id", "sub_segment_num", "is_intermediate_pt").collect()
+    assert sorted(map(tuple, got)) == [
+        (0, 5.0, 0, 0, False), (1, 25.0, 1, 2, False), (2, 8.0, 2, 0, False), (3, 8.0, 2, 1, False),
+        (4, 15.0, 1, 4, False), (5, 10.0, 1, 0, True), (6, 20.0, 1, 1, True), (7, 20.0, 1, 3, True),
+    ]
+
+
+def test_runs_meet_one_row_of_their_edge(spark):
+    """The pieces are ten times the edges; only joins with a row for each edge are made of them."""
+    _, edges = cut_tree(spark)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
