@@ -5,7 +5,7 @@ Points carry the key columns of their axon, ``id``, ``x, y, z`` and what made th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from arborframe.functions import geometry as geo
 from arborframe.functions.draws import uniform
 from arborframe.operators.core import Rounds, accumulate, id_slice, numbered, written
-from arborframe.operators.neighbours import nearest_distance, neighbours
+from arborframe.operators.neighbours import SMALL, edges_in_tasks, nearest_distance, neighbours
 from arborframe.operators.spatial import thin
 from arborframe.operators.trees import bounding_box, fold, run_heads
-from arborframe.operators.voxels import Grid, lookup
+from arborframe.operators.voxels import IJK, Grid, indices, lookup
 
 # Names of the point providers, in the order in which they are added; limits of
 # the sine in the direction penalty; widening of the reference box; fewest nodes of a graph.
@@ -25,6 +25,9 @@ SINE_LIMITS = (1e-3, 1.0 - 1e-3)
 BOX_MARGIN = 0.1
 MIN_NODES = 5
 
+# Most nodes of a graph whose edges meet them in one task.
+MOST_NODES = 1 << 19
+
 FROM, TO = geo.triple("", "_from"), geo.triple("", "_to")
 
 
@@ -198,17 +201,27 @@ def fill_small_graphs(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- edges and weights --------------------------------------------------------------------------
 
 
-def nearest_edges(nodes: DataFrame, keys: Sequence[str], *, k: int) -> DataFrame:
+def nearest_edges(nodes: DataFrame, keys: Sequence[str], *, k: int, small: int = SMALL) -> DataFrame:
     """Undirected edges from every node to its ``k`` nearest ones, each pair once.
 
-    (keys, from, to, x_from .. z_to, length) with from < to.
+    (keys, from, to, x_from .. z_to, length) with from < to.  Groups of at most ``small`` nodes are
+    joined inside tasks, larger ones by the octree.
     """
     keys = list(keys)
-    near = neighbours(nodes, nodes, keys, k=k, skip_self=True)
+    sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = written(sizes.filter(F.col("_n") > small).select(*keys), "large-graphs")
+
+    def measured(here: DataFrame) -> DataFrame:
+        return edges_in_tasks(here, keys, k=k).withColumn("length", geo.distance(FROM, TO))
+
+    if large.isEmpty():
+        return measured(nodes)
+    wide = nodes.join(large, keys, "left_semi")
+    near = neighbours(wide, wide, keys, k=k, skip_self=True, small=small)
     pairs = near.select(
         *keys, F.least("id", "near_id").alias("from"), F.greatest("id", "near_id").alias("to")
     ).distinct()
-    return with_ends(pairs, nodes, keys)
+    return measured(nodes.join(large, keys, "left_anti")).unionByName(with_ends(pairs, wide, keys))
 
 
 def with_ends(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -233,8 +246,36 @@ def direction_penalty(source: Sequence[Column], *, exponent: float, amplitude: f
     return F.lit(1.0) + F.lit(float(amplitude)) * F.pow(sine, F.lit(float(exponent)))
 
 
+def whole_graphs(
+    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], joined: Callable[[DataFrame, DataFrame], DataFrame],
+    *, most: int = MOST_NODES,
+) -> DataFrame:
+    """``joined(edges, nodes)`` with the edges of a graph beside its nodes, so that all joins on the
+    keys and an end of the edge share one exchange of the edges.
+
+    Joins keep to that exchange in a session whose ``spark.sql.requireAllClusterKeysForCoPartition``
+    is false.  Graphs of more than ``most`` nodes are dealt by the columns of each join instead.
+    """
+    keys = list(keys)
+    sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = written(sizes.filter(F.col("_n") > most).select(*keys), "hot-graphs")
+    if hot.isEmpty():
+        return joined(edges.repartition(*keys), nodes.repartition(*keys))
+    hot = F.broadcast(hot)  # one row for half a million nodes and more
+    rest = joined(edges.join(hot, keys, "left_anti").repartition(*keys), nodes.join(hot, keys, "left_anti").repartition(*keys))
+    return rest.unionByName(joined(edges.join(hot, keys, "left_semi"), nodes.join(hot, keys, "left_semi")))
+
+
 def with_depths(edges: DataFrame, depths: DataFrame, grid: Grid) -> DataFrame:
-    """Edges with the depth of both ends, 0 where unknown: ``depth_from``, ``depth_to``."""
+    """Edges with the depth of both ends, 0 where unknown: ``depth_from``, ``depth_to``.
+
+    Only voxels that an edge starts or ends in are joined; where they are few they are broadcast.
+    """
+    met = None
+    for coords in (FROM, TO):
+        cells = edges.select(*indices(coords, grid, list(IJK))).distinct()
+        met = cells if met is None else met.unionByName(cells).distinct()
+    depths = written(depths.join(met, list(IJK), "left_semi"), "edge-depths")
     out = lookup(edges, depths, grid, ["depth"], coords=FROM).withColumnRenamed("depth", "depth_from")
     out = lookup(out, depths, grid, ["depth"], coords=TO).withColumnRenamed("depth", "depth_to")
     for c in ("depth_from", "depth_to"):
@@ -264,17 +305,17 @@ def preferred_factor(
         attractors.select("id", *geo.AXES),
     ).select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("id.id").alias("id"), "distance")
     gap = written(gap, "attractor-distance")
-    one = gap.select(*keys, F.col("id").alias("from"), F.col("distance").alias("_d1"))
-    two = gap.select(*keys, F.col("id").alias("to"), F.col("distance").alias("_d2"))
     mean = F.lit(0.5) * (F.col("_d1") + F.col("_d2"))
-    return (
-        edges.join(one, [*keys, "from"]).join(two, [*keys, "to"])
-        .withColumn(
-            "preferred",
-            F.lit(1.0) + F.lit(float(amplitude)) * (F.lit(1.0) - F.exp(-mean / F.lit(float(sigma)))),
-        )
-        .drop("_d1", "_d2")
-    )
+
+    def joined(edges: DataFrame, gap: DataFrame) -> DataFrame:
+        one = gap.select(*keys, F.col("id").alias("from"), F.col("distance").alias("_d1"))
+        two = gap.select(*keys, F.col("id").alias("to"), F.col("distance").alias("_d2"))
+        return edges.join(one, [*keys, "from"]).join(two, [*keys, "to"])
+
+    return whole_graphs(edges, gap, keys, joined).withColumn(
+        "preferred",
+        F.lit(1.0) + F.lit(float(amplitude)) * (F.lit(1.0) - F.exp(-mean / F.lit(float(sigma)))),
+    ).drop("_d1", "_d2")
 
 
 def weighted(edges: DataFrame, factors: Sequence[Column]) -> DataFrame:
@@ -292,19 +333,22 @@ def terminal_penalty(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) ->
     terminals is read from the edges that start at it; a node no edge starts at counts as such.
     """
     keys = list(keys)
-    term = nodes.select(*keys, "id", "is_terminal")
-    flagged = edges.join(term.withColumnsRenamed({"id": "from", "is_terminal": "_ft"}), [*keys, "from"], "left")
-    flagged = flagged.join(term.withColumnsRenamed({"id": "to", "is_terminal": "_tt"}), [*keys, "to"], "left")
-    flagged = flagged.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_ft", "_tt")})
-    sizes = edges.groupBy(*keys).agg((F.max("weight") + F.avg("weight")).alias("_penalty"))
-    touch = flagged.groupBy(*keys, "from").agg(
-        F.bool_and("_ft").alias("_from_all"), F.bool_and("_tt").alias("_to_all")
-    )
-    by_from = touch.select(*keys, "from", "_from_all")
-    by_to = touch.select(*keys, F.col("from").alias("to"), "_to_all")
-    out = flagged.join(by_from, [*keys, "from"], "left").join(by_to, [*keys, "to"], "left").join(sizes, keys)
     only = F.coalesce("_from_all", F.lit(True)) & F.coalesce("_to_all", F.lit(True))
     hit = F.col("_ft") & F.col("_tt") & ~only
+
+    def joined(edges: DataFrame, term: DataFrame) -> DataFrame:
+        flagged = edges.join(term.withColumnsRenamed({"id": "from", "is_terminal": "_ft"}), [*keys, "from"], "left")
+        flagged = flagged.join(term.withColumnsRenamed({"id": "to", "is_terminal": "_tt"}), [*keys, "to"], "left")
+        flagged = flagged.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_ft", "_tt")})
+        sizes = edges.groupBy(*keys).agg((F.max("weight") + F.avg("weight")).alias("_penalty"))
+        touch = flagged.groupBy(*keys, "from").agg(
+            F.bool_and("_ft").alias("_from_all"), F.bool_and("_tt").alias("_to_all")
+        )
+        by_from = touch.select(*keys, "from", "_from_all")
+        by_to = touch.select(*keys, F.col("from").alias("to"), "_to_all")
+        return flagged.join(by_from, [*keys, "from"], "left").join(by_to, [*keys, "to"], "left").join(sizes, keys)
+
+    out = whole_graphs(edges, nodes.select(*keys, "id", "is_terminal"), keys, joined)
     return out.withColumn(
         "weight", F.col("weight") + F.when(hit, F.col("_penalty")).otherwise(F.lit(0.0))
     ).select(*edges.columns)

@@ -252,18 +252,19 @@ def weighted_edges(spark, sf):
     def make():
         deep = G.with_depths(e, depths(spark, sf), GRID)
         liked = G.preferred_factor(deep, n, preferred(spark, sf), [M], sigma=100.0, amplitude=1.0)
-        return G.weighted(with_source(spark, sf, liked), [direction(), G.depth_penalty(sigma=0.25, amplitude=10.0), F.col("preferred")])
+        out = G.weighted(with_source(spark, sf, liked), [direction(), G.depth_penalty(sigma=0.25, amplitude=10.0), F.col("preferred")])
+        return out.select(M, "from", "to", "weight")
 
     return n, shared(spark, sf, "graph-weights", make)
 
 
-@shelf.add("g11_preferred_factor", f"""with {WEIGHT_SQL} select morphology, f as "from", t as "to", {r6s('ppen')} as preferred from pf""")
+@shelf.add("g11_preferred_factor", f"""with {WEIGHT_SQL} select morphology, f as "from", t as "to", {r6s('ppen')} as preferred from pf""", together=True)
 def g11(spark, sf):
     n, e = edges(spark, sf)
     return G.preferred_factor(e, n, preferred(spark, sf), [M], sigma=100.0, amplitude=1.0).select(M, "from", "to", r6(F.col("preferred")).alias("preferred"))
 
 
-@shelf.add("g12_weights", f"""with {WEIGHT_SQL} select morphology, f as "from", t as "to", {r6s('weight')} as weight from wt""")
+@shelf.add("g12_weights", f"""with {WEIGHT_SQL} select morphology, f as "from", t as "to", {r6s('weight')} as weight from wt""", together=True)
 def g12(spark, sf):
     return weighted_edges(spark, sf)[1].select(M, "from", "to", r6(F.col("weight")).alias("weight"))
 
@@ -273,7 +274,7 @@ def g12(spark, sf):
     touch as (select morphology, f as id, bool_and(ft) as fa, bool_and(tt) as ta from fl group by 1, 2),
     pen as (select morphology, max(weight) + avg(weight) as p from wt group by 1)
     select fl.morphology, f as "from", t as "to", {r6s('weight + case when ft and tt and not (coalesce(a.fa, true) and coalesce(b.ta, true)) then p else 0 end')} as weight
-    from fl join pen using (morphology) left join touch a on a.morphology = fl.morphology and a.id = f left join touch b on b.morphology = fl.morphology and b.id = t""")
+    from fl join pen using (morphology) left join touch a on a.morphology = fl.morphology and a.id = f left join touch b on b.morphology = fl.morphology and b.id = t""", together=True)
 def g13(spark, sf):
     n, w = weighted_edges(spark, sf)
     return G.terminal_penalty(w, n, [M]).select(M, "from", "to", r6(F.col("weight")).alias("weight"))

@@ -70,3 +70,49 @@ def test_terminal_penalty_spares_edges_that_only_touch_terminals(spark):
     nodes = spark.createDataFrame([("m", 0, True), ("m", 1, True), ("m", 2, False)], "m string, id long, is_terminal boolean")
     got = {(r["from"], r["to"]): r.weight for r in G.terminal_penalty(edges, nodes, ["m"]).collect()}
     assert got == {(0, 1): 1.0 + 3.0 + 2.0, (0, 2): 3.0, (1, 2): 2.0}
+
+
+def nearest_pairs(spots, k):
+    out = set()
+    for m, a, p in spots:
+        near = sorted((sum((u - v) ** 2 for u, v in zip(p, q)) ** 0.5, b) for n, b, q in spots if n == m and b != a)
+        out |= {(m, min(a, b), max(a, b)) for _, b in near[:k]}
+    return out
+
+
+def test_nearest_edges_carry_their_ends_in_small_and_large_groups(spark):
+    rng = random.Random(3)
+    spots = [(m, n * 3 - 4, tuple(float(rng.randrange(6)) for _ in range(3))) for m, count in (("a", 40), ("b", 9), ("c", 1), ("d", 2)) for n in range(count)]
+    place = {(m, n): p for m, n, p in spots}
+    nodes = spark.createDataFrame([(m, n, *p) for m, n, p in spots], "m string, id long, x double, y double, z double")
+    want = nearest_pairs(spots, 3)
+    for small in (8192, 10, 0):
+        rows = G.nearest_edges(nodes, ["m"], k=3, small=small).collect()
+        assert len(rows) == len(want) and {(r.m, r["from"], r.to) for r in rows} == want
+        for r in rows:
+            assert (r.x_from, r.y_from, r.z_from) == place[r.m, r["from"]] and (r.x_to, r.y_to, r.z_to) == place[r.m, r.to]
+            assert abs(r.length - sum((u - v) ** 2 for u, v in zip(place[r.m, r["from"]], place[r.m, r.to])) ** 0.5) < 1e-12
+
+
+def test_edges_meet_their_nodes_in_one_exchange_unless_a_graph_is_hot(spark):
+    edges = spark.createDataFrame([("m", 0, 1, 1.0), ("m", 0, 2, 3.0), ("n", 1, 2, 2.0)], EDGE)
+    nodes = spark.createDataFrame([("m", 0, 5), ("m", 1, 6), ("m", 2, 7), ("n", 1, 8), ("n", 2, 9)], "m string, id long, v long")
+
+    def joined(e, n):
+        e = e.join(n.withColumnsRenamed({"id": "from", "v": "a"}), ["m", "from"])
+        return e.join(n.withColumnsRenamed({"id": "to", "v": "b"}), ["m", "to"])
+
+    for most in (10, 2, 0):
+        got = {(r.m, r["from"], r.to, r.a, r.b) for r in G.whole_graphs(edges, nodes, ["m"], joined, most=most).collect()}
+        assert got == {("m", 0, 1, 5, 6), ("m", 0, 2, 5, 7), ("n", 1, 2, 8, 9)}
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        terminals = nodes.select("m", "id", (nodes.v > 6).alias("is_terminal"))
+        plan = G.terminal_penalty(edges, terminals, ["m"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all("REPARTITION_BY_COL" in line for line in dealt)
