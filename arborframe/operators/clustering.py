@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
 from arborframe.operators.core import accumulate, id_slice, written
+from arborframe.operators.graph import whole_graphs
 from arborframe.operators.spatial import close_components, components, pairs_within
 from arborframe.operators.trees import ancestors, common_path
 
 # Fewest points an axon needs, fewest points or clusters a graph keeps.
 MIN_AXON_POINTS = 5
 MIN_GRAPH_POINTS = 4
+
+# Most pairs of a tree whose paths are made in one task.
+MOST_PAIRS = 1 << 17
 METHODS = ("sphere", "sphere_parents", "brain_regions", "basic")
 
 
@@ -317,25 +321,31 @@ def close_paths(
         pairs.select(*keys, F.col("b").alias(node))
     ).distinct()
     up = ancestors(nodes, keys, node=node, parent=parent, of=ends)
-    legs = pairs.join(up.withColumnRenamed(node, "a"), [*keys, "a"]).unionByName(
-        pairs.join(up.withColumnRenamed(node, "b"), [*keys, "b"])
-    )
-    seen = written(
-        legs.groupBy(*keys, "a", "b", "ancestor").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("steps").alias("_steps")
-        ),
-        "path-nodes",
-    )
-    lowest = seen.filter("_n = 2").groupBy(*keys, "a", "b").agg(
-        F.min_by("ancestor", "_steps").alias("ancestor")
-    )
-    path = seen.filter("_n = 1").select(*keys, "a", "b", "ancestor").unionByName(
-        lowest.select(*keys, "a", "b", "ancestor")
-    )
     at = nodes.select(*keys, F.col(node).alias("ancestor"), *geo.AXES)
-    placed = path.join(at, [*keys, "ancestor"])
-    box = placed.groupBy(*keys, "a", "b").agg(
-        *[(F.max(c) - F.min(c)).alias(f"_w{c}") for c in geo.AXES]
+    up = written(up.join(at, [*keys, "ancestor"]), "terminal-ways")
+
+    def paths(up: DataFrame, pairs: DataFrame) -> DataFrame:
+        legs = pairs.join(up.withColumnRenamed(node, "a"), [*keys, "a"]).unionByName(
+            pairs.join(up.withColumnRenamed(node, "b"), [*keys, "b"])
+        )
+        return legs.groupBy(*keys, "a", "b", "ancestor").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("steps").alias("_steps"), *[F.first(c).alias(c) for c in geo.AXES]
+        )
+
+    own, met = F.col("_n") == 1, F.col("_n") == 2
+    lowest = F.min_by(F.struct(*geo.AXES), F.when(met, F.col("_steps")))
+
+    def boxes(up: DataFrame, pairs: DataFrame) -> DataFrame:
+        return paths(up, pairs).groupBy(*keys, "a", "b").agg(
+            lowest.alias("_l"), *[f(F.when(own, F.col(c))).alias(f"_{n}{c}") for c in geo.AXES for n, f in (("min", F.min), ("max", F.max))]
+        )
+
+    def listed(up: DataFrame, pairs: DataFrame) -> DataFrame:
+        spots = F.collect_list(F.when(own, F.struct(*geo.AXES)))
+        return paths(up, pairs).groupBy(*keys, "a", "b").agg(F.concat(spots, F.array_compact(F.array(lowest))).alias("_path"))
+
+    box = whole_graphs(up, pairs, keys, boxes, most=MOST_PAIRS).select(
+        *keys, "a", "b", *[(F.greatest(f"_max{c}", f"_l.{c}") - F.least(f"_min{c}", f"_l.{c}")).alias(f"_w{c}") for c in geo.AXES]
     )
     wide = F.greatest("_wx", "_wy", "_wz")
     diagonal = geo.norm([F.col("_wx"), F.col("_wy"), F.col("_wz")])
@@ -348,10 +358,7 @@ def close_paths(
     def apart(p: Column) -> Column:
         return F.exists("_path", lambda q: geo.distance([p["x"], p["y"], p["z"]], [q["x"], q["y"], q["z"]]) > limit)
 
-    listed = placed.join(open_paths, [*keys, "a", "b"]).groupBy(*keys, "a", "b").agg(
-        F.collect_list(F.struct(*geo.AXES)).alias("_path")
-    )
-    narrow = listed.filter(~F.exists("_path", apart))
+    narrow = whole_graphs(up, open_paths, keys, listed, most=MOST_PAIRS).filter(~F.exists("_path", apart))
     return judged.filter("_sure").select(*keys, "a", "b").unionByName(narrow.select(*keys, "a", "b"))
 
 

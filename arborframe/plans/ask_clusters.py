@@ -140,7 +140,7 @@ def tree_nodes(spark, sf):
     return pts, shared(spark, sf, "tree-ends", lambda: ends)
 
 
-@shelf.add("c07_close_paths", f"with recursive {PATH_SQL} select morphology, a, b from close")
+@shelf.add("c07_close_paths", f"with recursive {PATH_SQL} select morphology, a, b from close", together=True)
 def c07(spark, sf):
     nodes, ends = tree_nodes(spark, sf)
     return C.close_paths(nodes, ends.filter("not is_root"), [M], PARENTS)
@@ -152,7 +152,7 @@ _PATH_CLUSTERS = f"""with recursive {PATH_SQL},
     union all select morphology, 0, 1, {r6s('x')} from points where parent_id = -1"""
 
 
-@shelf.add("c08_path_clusters", _PATH_CLUSTERS)
+@shelf.add("c08_path_clusters", _PATH_CLUSTERS, together=True)
 def c08(spark, sf):
     nodes, ends = tree_nodes(spark, sf)
     clusters, _ = C.sphere_parent_clusters(nodes, ends, [M], PARENTS)
@@ -188,7 +188,7 @@ p0 as materialized (select morphology, point_id, 0 as part from leaves),
 @shelf.add("c09_split_clusters", f"""with recursive {SPLIT_SQL},
     sizes as (select morphology, part, count(*) as size, min(point_id) as first, avg(x) as x from p3 join leaves using (morphology, point_id) group by 1, 2)
     select morphology, row_number() over (partition by morphology order by first) as terminal_id, size, {r6s('x')} as x from sizes
-    union all select morphology, 0, 1, {r6s('x')} from points where parent_id = -1""")
+    union all select morphology, 0, 1, {r6s('x')} from points where parent_id = -1""", together=True)
 def c09(spark, sf):
     """Every tree starts as one cluster here, so all of them are split until four exist."""
     nodes, ends = tree_nodes(spark, sf)
