@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
@@ -187,9 +187,9 @@ def pick_targets(
     )
     rows = candidates.withColumn("_hit", first)
     rounds = rows.groupBy(*AXON).agg(F.min("_hit").alias("_round"))
-    selected = rows.filter(F.col("_hit").isNotNull()).join(
-        rounds.filter(F.col("_round").isNotNull()), list(AXON)
-    ).filter(F.col("_hit") == F.col("_round")).drop("_hit", "_round")
+    axon = Window.partitionBy(*AXON)  # the targets of one axon
+    selected = rows.filter(F.col("_hit").isNotNull()).withColumn("_round", F.min("_hit").over(axon)).filter(
+        F.col("_hit") == F.col("_round")).drop("_hit", "_round")
     return selected, rounds.filter(F.col("_round").isNull()).select(*AXON)
 
 
@@ -222,12 +222,12 @@ def target_coordinates(
     that hemisphere.
     """
     keyed = rows.withColumn("_request", F.concat_ws("|", *[F.col(c).cast("string") for c in request]))
-    asks = keyed.select("_request", "target_brain_region_id")
-    found = region_points(mask, asks, grid, region="target_brain_region_id", request="_request")
-    out = keyed.join(found.select("_request", *[F.col(a).alias(f"target_{a}") for a in geo.AXES]), "_request", "left")
+    asks = keyed.select("_request", "target_brain_region_id", F.struct(*rows.columns).alias("_row"))
+    found = region_points(mask, asks, grid, region="target_brain_region_id", request="_request", how="left")
+    out = found.select("_row.*", *[F.col(a).alias(f"target_{a}") for a in geo.AXES])
     if side is not None:
         out = out.withColumn("target_z", into_hemisphere(F.col("target_z"), F.col(side), grid))
-    return out.drop("_request")
+    return out
 
 
 def terminal_ids(rows: DataFrame, order: Sequence[str], *, slice_by: Column) -> DataFrame:

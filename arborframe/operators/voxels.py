@@ -111,21 +111,23 @@ def depth(heights: DataFrame) -> DataFrame:
 
 def region_points(
     mask: DataFrame, requests: DataFrame, grid: Grid, *, region: str, request: str,
-    random_shift: bool = True,
+    random_shift: bool = True, how: str = "inner",
 ) -> DataFrame:
     """One random voxel of its region per request, with replacement, as a position.
 
     ``mask`` is (region, i, j, k) and ``requests`` (region, request, ...).  Voxels are numbered
-    per region, so a request joins exactly one voxel row.
+    per region, so a request joins exactly one voxel row.  Requests of a region without voxels go,
+    or stay without a position with ``how`` left.
     """
     order = (F.col("i") * F.lit(grid.shape[1]) + F.col("j")) * F.lit(grid.shape[2]) + F.col("k")
     flat = mask.withColumn("_flat", order.cast("bigint"))
     rows = numbered(flat, [region], "_flat", "_rn").drop("_flat")
-    sizes = mask.groupBy(region).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = requests.join(sizes, region).withColumn(
+    # one row a region; written, the planner knows how few they are and leaves the requests in place
+    sizes = written(mask.groupBy(region).agg(F.count(F.lit(1)).alias("_n")), "region-sizes")
+    drawn = requests.join(sizes, region, how).withColumn(
         "_rn", F.floor(uniform(request, F.lit("voxel")) * F.col("_n"))
     )
-    out = drawn.join(rows, [region, "_rn"]).select("*", *centres(grid))
+    out = drawn.join(rows, [region, "_rn"], how).select("*", *centres(grid))
     if random_shift:
         for a, axis in enumerate(geo.AXES):
             shift = (uniform(request, F.lit(f"shift_{axis}")) - F.lit(0.5)) * F.lit(grid.dim[a])

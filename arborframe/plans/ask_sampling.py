@@ -134,7 +134,8 @@ def elders(spark, sf):
 
 def mapped(spark, sf):
     return shared(spark, sf, "mapped", lambda: P.map_populations(
-        sources(spark, sf), population_options(spark, sf), elders(spark, sf), order="s_suppkey"))
+        sources(spark, sf), population_options(spark, sf), elders(spark, sf), order="s_suppkey",
+    ).select(M, "o_orderkey", "source_brain_region_id", "population_id"))
 
 
 @shelf.add("p03_populations", f"with recursive {MAPPED_SQL} select morphology, o_orderkey, source_brain_region_id, population_id from mapped")
@@ -157,7 +158,7 @@ def p03_side(spark, sf):
 
 
 def axons(spark, sf):
-    rows = mapped(spark, sf).withColumn("_order", F.coalesce("o_orderkey", F.lit(-1)))
+    rows = mapped(spark, sf).select(M, "o_orderkey", "population_id", F.coalesce("o_orderkey", F.lit(-1)).alias("_order"))
     return shared(spark, sf, "axons", lambda: P.axon_ids(rows, order="_order").drop("_order"))
 
 
@@ -190,7 +191,8 @@ cand as materialized (select m.*, o.* from mapped m join opt o on o.source_popul
 
 
 def candidates(spark, sf):
-    return P.candidate_targets(axons(spark, sf), target_options(spark, sf))
+    """What the later steps draw by; order and place of an axon stay in its own table."""
+    return P.candidate_targets(axons(spark, sf).select(M, A, "population_id"), target_options(spark, sf))
 
 
 @shelf.add("p05_candidate_targets", f"""with recursive {CAND_SQL}

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborframe.operators import sampling as P
+from arborframe.operators import voxels as V
 from arborframe.sources import documents as X
 from arborframe.sources import morphologies as N
 from arborframe.sources import tables as K
@@ -84,3 +85,27 @@ def test_existing_axons(spark):
     plain = cells.select("morphology", "kind").distinct().unionByName(spark.createDataFrame([("other", "k")], "morphology string, kind string"))
     rows = P.combine_existing_axons(plain.withColumn("source_x", F.lit(None).cast("double")), ex).collect()
     assert sorted((r.morphology, r.source_x or 0.0) for r in rows) == [("m", 1.0), ("m", 2.0), ("other", 0.0)]
+
+
+def test_positions_are_drawn_beside_each_row(spark):
+    """Repeated rows stay as many as they are, columns named like coordinates keep their values."""
+    grid = V.Grid((1.0, 1.0, 1.0), (0.0, 0.0, 0.0), (4, 4, 4))
+    mask = spark.createDataFrame([(7, 1, 2, 3), (7, 2, 2, 3), (8, 0, 0, 0)], "target_brain_region_id long, i int, j int, k int")
+    rows = spark.createDataFrame(
+        [("m", 7, 9.0), ("m", 7, 9.0), ("n", 8, 9.0), ("o", 5, 9.0), ("p", None, 9.0)],
+        "morphology string, target_brain_region_id long, x double")
+    got = P.target_coordinates(rows, mask, grid, request=["morphology"]).collect()
+    assert sorted(r.morphology for r in got) == ["m", "m", "n", "o", "p"]
+    assert {r.x for r in got} == {9.0}
+    at = {r.morphology: (r.target_x, r.target_y, r.target_z) for r in got}
+    assert at["o"] == at["p"] == (None, None, None)
+    assert all(0 <= c < 1 for c in at["n"]) and 1 <= at["m"][0] < 3 and 2 <= at["m"][1] < 3
+
+
+def test_targets_of_an_axon_meet_in_one_exchange(spark):
+    df = spark.range(20).select(
+        F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("morphology"), (F.col("id") % 2).alias("axon_id"),
+        F.col("id").cast("string").alias("target_population_id"), F.lit(0.3).alias("target_probability"))
+    picked, _ = P.pick_targets(df, request=["morphology", "axon_id", "target_population_id"])
+    plan = picked._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Window") >= 1
