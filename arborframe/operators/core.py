@@ -214,6 +214,17 @@ def regroup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys])
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of a group in one partition, the groups over all cores however small they are.
+
+    For writes of one file a group, where the files and not the bytes are the work.  A repartition
+    without a number is put together again by size, often into a single task.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *[F.col(k) for k in keys])
+
+
 def weighted_pick(
     requests: DataFrame,
     options: DataFrame,

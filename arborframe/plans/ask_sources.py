@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from arborframe.operators import batches as B
-from arborframe.operators.core import regroup, scratch_path, written
+from arborframe.operators.core import dealt, regroup, scratch_path, written
 from arborframe.plans.ask_sampling import SEED_SQL
 from arborframe.plans.ask_voxels import GRID, CLOSURE
 from arborframe.plans.registry import Shelf
@@ -25,7 +25,7 @@ M = "morphology"
 def s01(spark, sf):
     path = scratch_path(spark, "listing")
     users = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user"), F.lit(1).alias("one")).distinct()
-    users.repartition(4, "user").write.partitionBy("user").parquet(path)
+    dealt(users, ["user"]).write.partitionBy("user").parquet(path)
     files = N.list_files(spark, path, suffixes=[".parquet"])
     return files.select(F.regexp_extract(M, r"user=([^/]+)/", 1).alias(M), "suffix").distinct()
 
@@ -38,7 +38,7 @@ def s02(spark, sf):
     row = F.concat(F.concat_ws(" ", *[F.col(c).cast("string") for c in N.POINT_COLUMNS]), note)
     text = pts.select(M, row.alias("value")).unionByName(
         pts.filter("point_id = 1").select(M, F.lit("# index type X Y Z radius parent").alias("value")))
-    text.repartition(8, M).write.partitionBy(M).option("compression", "none").text(path)
+    dealt(text, [M]).write.partitionBy(M).option("compression", "none").text(path)
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     named = N.parse_points(lines).withColumn(M, F.regexp_extract("file", r"morphology=([^/]+)/", 1))
     return named.select(M, "point_id", "type", r6(F.col("x")).alias("x"), r6(F.col("radius")).alias("radius"), "parent_id")

@@ -65,3 +65,12 @@ def test_a_bad_row_spoils_only_itself(spark):
     good, bad = batches.split_failures(out)
     assert sorted((r.id, r.r) for r in good.collect()) == [(1, 2.0), (3, 3.0)]
     assert [(r.id, r.error) for r in bad.collect()] == [(2, "ValueError: negative")]
+
+
+def test_small_groups_are_dealt_over_all_cores(spark):
+    """A write of one file a group is not left to a few tasks because its rows are few."""
+    df = spark.range(400).select((F.col("id") % 200).alias("g"), "id")
+    out = core.dealt(df, ["g"]).withColumn("_p", F.spark_partition_id())
+    per = out.groupBy("g").agg(F.count_distinct("_p").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert len(per) == 200 and {(r["n"], r["rows"]) for r in per} == {(1, 2)}
+    assert out.select("_p").distinct().count() > spark.sparkContext.defaultParallelism
