@@ -221,9 +221,10 @@ def target_coordinates(
     ``mask``: (target_brain_region_id, i, j, k).  With ``side`` the position is mirrored into
     that hemisphere.
     """
-    keyed = rows.withColumn("_request", F.concat_ws("|", *[F.col(c).cast("string") for c in request]))
-    asks = keyed.select("_request", "target_brain_region_id", F.struct(*rows.columns).alias("_row"))
-    found = region_points(mask, asks, grid, region="target_brain_region_id", request="_request", how="left")
+    asks = rows.select("target_brain_region_id", F.struct(*rows.columns).alias("_row"))
+    # an expression, so that the rows do not carry their key a second time
+    key = F.concat_ws("|", *[F.col("_row")[c].cast("string") for c in request])
+    found = region_points(mask, asks, grid, region="target_brain_region_id", request=key, how="left")
     out = found.select("_row.*", *[F.col(a).alias(f"target_{a}") for a in geo.AXES])
     if side is not None:
         out = out.withColumn("target_z", into_hemisphere(F.col("target_z"), F.col(side), grid))

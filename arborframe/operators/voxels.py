@@ -110,13 +110,14 @@ def depth(heights: DataFrame) -> DataFrame:
 
 
 def region_points(
-    mask: DataFrame, requests: DataFrame, grid: Grid, *, region: str, request: str,
+    mask: DataFrame, requests: DataFrame, grid: Grid, *, region: str, request: str | Column,
     random_shift: bool = True, how: str = "inner",
 ) -> DataFrame:
     """One random voxel of its region per request, with replacement, as a position.
 
     ``mask`` is (region, i, j, k) and ``requests`` (region, request, ...).  Voxels are numbered
-    per region, so a request joins exactly one voxel row.  Requests of a region without voxels go,
+    per region, so a request joins exactly one voxel row.  ``request`` is the key of the draws, a
+    column or an expression of the requests' columns.  Requests of a region without voxels go,
     or stay without a position with ``how`` left.
     """
     order = (F.col("i") * F.lit(grid.shape[1]) + F.col("j")) * F.lit(grid.shape[2]) + F.col("k")

@@ -280,8 +280,9 @@ placedt as materialized (select g.*, target_x, target_y, case when target_hemisp
 
 def placed(spark, sf):
     mask = voxels(spark, sf).withColumnRenamed("region_id", "target_brain_region_id")
+    rows = grown(spark, sf).select(*REQ, "tuft_num", "target_brain_region_id", "target_hemisphere")
     return shared(spark, sf, "placed", lambda: P.target_coordinates(
-        grown(spark, sf), mask, GRID, request=[*REQ, "tuft_num"], side="target_hemisphere"))
+        rows, mask, GRID, request=[*REQ, "tuft_num"], side="target_hemisphere"))
 
 
 @shelf.add("p08_target_coordinates", f"with recursive {COORD_SQL} select morphology, axon_id, target_population_id, tuft_num, {r6s('target_x')} as target_x, {r6s('target_y')} as target_y, {r6s('target_z')} as target_z from placedt")
