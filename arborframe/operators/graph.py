@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arborframe.functions import geometry as geo
 from arborframe.functions.draws import uniform
+from arborframe.operators import whole_graphs as W
 from arborframe.operators.core import Rounds, accumulate, id_slice, numbered, written
 from arborframe.operators.neighbours import SMALL, edges_in_tasks, nearest_distance, neighbours
 from arborframe.operators.spatial import thin
@@ -357,13 +358,33 @@ def terminal_penalty(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) ->
 # --- connecting tree ----------------------------------------------------------------------------
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _no_arc() -> Column:
+    """Edges that array sums cannot follow as joins do."""
+    return F.col("from").isNull() | F.col("to").isNull() | F.col("weight").isNull() | F.isnan(F.col("weight").cast("double"))
+
+
+def shortest_paths(
+    edges: DataFrame, sources: DataFrame, keys: Sequence[str], *, most: int = W.MOST_EDGES
+) -> DataFrame:
     """Cheapest way from the source to every node it reaches: (keys, id, cost, previous).
 
     Only nodes whose way changed in the last round pass it on.  Of equally cheap ways the one
-    with fewer edges counts, then the one through the smaller node.
+    with fewer edges counts, then the one through the smaller node.  Graphs of at most ``most``
+    edges are walked inside tasks, larger ones in rounds.  ``edges`` is read twice.
     """
     keys = list(keys)
+    if not (keys and W.whole_numbers(edges, ["from", "to"]) and W.whole_numbers(sources, ["id"])):
+        return _paths_in_rounds(edges, sources, keys)
+    large = W.too_large(edges, keys, _no_arc(), most)
+    if large is None:
+        return W.ways(edges, sources, keys)
+    (here, there), (start, far) = W.split(edges, large, keys), W.split(sources, large, keys)
+    return W.ways(here, start, keys).unionByName(_paths_in_rounds(there, far, keys))
+
+
+def _paths_in_rounds(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`shortest_paths` for graphs of any size."""
+    keys = list(keys)
     arcs = edges.select(*keys, F.col("from").alias("u"), F.col("to").alias("v"), "weight")
     arcs = written(
         arcs.unionByName(arcs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"), "weight")),
@@ -399,19 +420,40 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) ->
 
 
 def connecting_tree(
-    nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str], *, most: int = W.MOST_EDGES
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges that join the source to every terminal along cheapest ways.
 
     ``nodes``: (keys, id, is_terminal, terminal_id, provider); returns both tables restricted to
     the solution, the edges with terminal id and flag of both ends and with ``parent`` and
-    ``child`` as seen from the source.
+    ``child`` as seen from the source.  Graphs of at most ``most`` edges are solved inside tasks,
+    larger ones in rounds.  ``edges`` is read twice.
     """
     keys = list(keys)
+    if not (keys and W.whole_numbers(edges, ["from", "to"]) and W.whole_numbers(nodes, ["id"])):
+        return _tree_in_rounds(nodes, edges, keys)
+    large = W.too_large(edges, keys, _no_arc(), most)
+    if large is None:
+        return _tree_in_tasks(nodes, edges, keys)
+    (some, rest), (here, there) = W.split(nodes, large, keys), W.split(edges, large, keys)
+    met, solution = _tree_in_tasks(some, here, keys)
+    more, wide = _tree_in_rounds(rest, there, keys)
+    return met.unionByName(more), solution.unionByName(wide)
+
+
+def _tree_in_tasks(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """:func:`connecting_tree` for graphs that fit into a task: one exchange, no rounds."""
+    found = W.trees(nodes, edges, keys)
+    return nodes.join(found.select(*keys, "id"), [*keys, "id"], "left_semi"), found.filter("parent is not null").drop("id")
+
+
+def _tree_in_rounds(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """:func:`connecting_tree` for graphs of any size."""
+    keys = list(keys)
     nodes = written(nodes, "graph-nodes")
     edges = written(edges, "graph-edges")
     sources = nodes.filter("provider = 'source'").select(*keys, "id")
-    ways = written(shortest_paths(edges, sources, keys), "ways")
+    ways = written(_paths_in_rounds(edges, sources, keys), "ways")
     marked = ways.join(nodes.select(*keys, "id", "is_terminal"), [*keys, "id"])
     used = fold(
         marked, keys, node="id", parent="previous",
@@ -438,16 +480,31 @@ def connecting_tree(
     return nodes.join(used, [*keys, "id"], "left_semi"), solution
 
 
-def orient_tree(edges: DataFrame, keys: Sequence[str], *, root: int | Column = 0) -> DataFrame:
+def orient_tree(
+    edges: DataFrame, keys: Sequence[str], *, root: int | Column = 0, most: int = W.MOST_EDGES
+) -> DataFrame:
     """Orient the edges of a tree away from its root, in walking order.
 
     ``edges``: (keys, from, to), one connected tree per group.  Every edge is walked down and up
     again on a tour around the tree; pointer doubling along the tour tells which of the two came
     first.  Returns (keys, from, to, parent, child, reversed_edge, position) with positions
-    counting the downward steps from 1.
+    counting the downward steps from 1.  Trees of at most ``most`` edges are toured inside tasks,
+    larger ones in rounds.  ``edges`` is read twice; a ``root`` that is a column is one of the keys.
     """
     keys = list(keys)
     start = F.lit(root).cast("bigint") if isinstance(root, int) else root
+    if not (keys and W.whole_numbers(edges, ["from", "to"])):
+        return _tour_in_rounds(edges, keys, start)
+    large = W.too_large(edges, keys, F.col("from").isNull() | F.col("to").isNull() | start.isNull(), most)
+    if large is None:
+        return W.oriented(edges, keys, start)
+    here, there = W.split(edges, large, keys)
+    return W.oriented(here, keys, start).unionByName(_tour_in_rounds(there, keys, start))
+
+
+def _tour_in_rounds(edges: DataFrame, keys: Sequence[str], start: Column) -> DataFrame:
+    """:func:`orient_tree` for trees of any size."""
+    keys = list(keys)
     base = edges.select(*keys, F.col("from").cast("bigint").alias("u"), F.col("to").cast("bigint").alias("v"))
     arcs = written(
         base.unionByName(base.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))), "tour-arcs"
