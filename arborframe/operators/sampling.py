@@ -243,18 +243,17 @@ def merge_close_targets(targets: DataFrame, precision: float | None) -> DataFram
     """
     if precision is None:
         return targets
-    placed = targets
-    for a in geo.AXES:
-        placed = placed.filter(F.col(f"target_{a}").isNotNull())
-    pts = placed.select(
-        *AXON, F.col("terminal_id").alias("id"),
-        *[F.col(f"target_{a}").alias(a) for a in geo.AXES],
+    placed = F.lit(True)
+    for c in (*AXON, "terminal_id", *geo.triple("target_")):
+        placed = placed & F.col(c).isNotNull()
+    rest = [c for c in targets.columns if c not in (*AXON, "terminal_id")]
+    pts = targets.filter(placed).select(
+        *AXON, "terminal_id", F.struct(*rest).alias("_row"), *[F.col(f"target_{a}").alias(a) for a in geo.AXES]
     )
-    labels = close_components(pts, AXON, precision).withColumnRenamed("id", "terminal_id")
-    return (
-        targets.join(labels, [*AXON, "terminal_id"], "left")
-        .withColumn("terminal_id", F.coalesce("component", "terminal_id")).drop("component")
+    merged = close_components(pts, AXON, precision, node="terminal_id", carry=["_row"]).select(
+        *AXON, F.col("component").alias("terminal_id"), "_row.*"
     )
+    return merged.unionByName(targets.filter(~placed))
 
 
 def unique_terminals(targets: DataFrame, order: Sequence[str]) -> DataFrame:

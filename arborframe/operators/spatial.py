@@ -13,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from arborframe.functions import geometry as geo
+from arborframe.operators import whole_graphs as W
 from arborframe.operators.components import components
+from arborframe.operators.contraction import codes
 from arborframe.operators.core import Rounds, written
 
 CELL = ("_cx", "_cy", "_cz")
@@ -118,19 +121,108 @@ def _box_gap(p: str, q: str) -> tuple[Column, Column]:
     return geo.dot(near, near), geo.dot(far, far)
 
 
+#: Most points of a group that are linked inside a task, and pairs that are held there at a time
+CLOSE_SMALL, CLOSE_PAIRS = 8192, 1 << 20
+
+
 def close_components(
     points: DataFrame, keys: Sequence[str], radius: float, *, node: str = "id",
-    crowd: int = 1 << 14,
+    crowd: int = 1 << 14, carry: Sequence[str] = (), small: int = CLOSE_SMALL,
 ) -> DataFrame:
     """Components of the graph that links points at most ``radius`` apart, without its edges.
 
-    Returns (keys, node, component) for every point, the smallest id as label.  Points that
-    share a cell of diagonal ``radius`` are linked anyway, so one vertex stands for each cell.
-    Two cells are compared by their tight boxes; only what the boxes leave open goes on, split
-    into halves while the two sides have more than ``crowd`` pairs, and compared point by point
-    below that.
+    Returns (keys, node, component) for every point, the smallest id as label, with the columns
+    ``carry`` of the points.  Groups of at most ``small`` points are linked inside tasks, larger
+    ones over cells.  ``points`` is read twice, and the ids of a group are unique.
+    """
+    keys, carry = list(keys), list(carry)
+    if not (keys and W.whole_numbers(points, [node])):
+        return _close_over_cells(points, keys, radius, node=node, crowd=crowd, carry=carry)
+    # the difference is no number where the place is none, or without end
+    odd = F.col(node).isNull()
+    for a in geo.AXES:
+        odd = odd | F.coalesce(F.isnan((F.col(a) - F.col(a)).cast("double")), F.lit(True))
+    large = W.too_large(points, keys, odd, small)
+    if large is None:
+        return _close_in_tasks(points, keys, radius, node=node, carry=carry)
+    here, there = W.split(points, large, keys)
+    wide = _close_over_cells(there, keys, radius, node=node, crowd=crowd, carry=carry)
+    return _close_in_tasks(here, keys, radius, node=node, carry=carry).unionByName(wide)
+
+
+def linked(group: np.ndarray, spots: np.ndarray, limit: float) -> np.ndarray:
+    """First row of the component of every row; rows of a group follow each other."""
+    n = len(group)
+    label, at = np.arange(n), np.arange(n)
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n)
+    end = np.repeat(ends, np.diff(np.append(0, ends)))
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    held, step = 0, 1
+    while True:
+        at = at[at + step < end[at]]
+        if len(at):
+            x, y, z = (spots[at] - spots[at + step]).T
+            near = at[x * x + y * y + z * z <= limit]
+            pairs.append((near, near + step))
+            held += len(near)
+        if pairs and (held > CLOSE_PAIRS or not len(at)):
+            a, b = (np.concatenate(c) for c in zip(*pairs))
+            label, pairs, held = _merged(label, a, b), [], 0
+        if not len(at):
+            return label
+        step += 1
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the rows ``a`` and ``b`` were joined; a label is a row that is its own."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(further := label[label], label):
+            label = further
+
+
+def _close_in_tasks(
+    points: DataFrame, keys: Sequence[str], radius: float, *, node: str, carry: Sequence[str]
+) -> DataFrame:
+    """:func:`close_components` for groups that fit into a task: one exchange, all pairs of a group."""
+    spots = [F.col(a).cast("double").alias(f"_{a}") for a in geo.AXES]
+    rows = points.dropna(subset=list(keys)).select(*keys, node, *carry, *spots)
+    kinds = [points.schema[c] for c in (*keys, node)]
+    schema = StructType(kinds).add("component", points.schema[node].dataType)
+    for c in carry:
+        schema.add(points.schema[c])
+    limit = float(radius) * float(radius)
+
+    def solve(block: pa.Table) -> list:
+        group, ids = codes(*(W.numbers(block, c) for c in W.GROUP)), W.numbers(block, node)
+        order = np.lexsort((ids, group))
+        spots = np.stack([W.numbers(block, f"_{a}") for a in geo.AXES], 1)
+        first = order[linked(group[order], spots[order], limit)]
+        return [order, *(block.column(node).take(pa.array(at)) for at in (order, first)),
+                *(block.column(c).take(pa.array(order)) for c in carry)]
+
+    return W.in_blocks(rows, keys, schema, solve)
+
+
+def _close_over_cells(
+    points: DataFrame, keys: Sequence[str], radius: float, *, node: str, crowd: int, carry: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`close_components` for groups of any size.
+
+    Points that share a cell of diagonal ``radius`` are linked anyway, so one vertex stands for
+    each cell.  Two cells are compared by their tight boxes; only what the boxes leave open goes
+    on, split into halves while the two sides have more than ``crowd`` pairs, and compared point
+    by point below that.
     """
     keys = list(keys)
+    if carry:
+        own = points.select(*keys, node, *carry)
+        return _close_over_cells(points, keys, radius, node=node, crowd=crowd).join(own, [*keys, node])
     spark = points.sparkSession
     limit = float(radius) * float(radius)
     side = float(radius) / math.sqrt(3.0) * (1.0 - 1e-9)

@@ -43,7 +43,7 @@ def whole_numbers(df: DataFrame, names: Sequence[str]) -> bool:
     return all(isinstance(df.schema[n].dataType, IntegralType) for n in names)
 
 
-def _solved(rows: DataFrame, keys: Sequence[str], schema: StructType, solve: Callable[[pa.Table], list]) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: Sequence[str], schema: StructType, solve: Callable[[pa.Table], list]) -> DataFrame:
     """``solve`` over blocks of whole graphs: it returns the columns after the keys, and before
     them the rows whose keys they have."""
     named = [F.col(k) for k in keys] or [F.lit(0)]
@@ -66,7 +66,7 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[StructField]:
     return [StructField(n, df.schema[n].dataType) for n in names]
 
 
-def _number(table: pa.Table, name: str) -> np.ndarray:
+def numbers(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name)
     return column.fill_null(0).to_numpy() if column.null_count else column.to_numpy()
 
@@ -126,13 +126,13 @@ def ways(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame
     )
 
     def solve(block: pa.Table) -> list:
-        group = codes(*(_number(block, c) for c in GROUP))
+        group = codes(*(numbers(block, c) for c in GROUP))
         edge = block.column("_v").is_valid().to_numpy()
         e, s = np.flatnonzero(edge), np.flatnonzero(~edge)
         row = np.concatenate([e, e, s])
-        place, ids = _nodes(group[row], np.concatenate([_number(block, "_u")[e], _number(block, "_v")[e], _number(block, "_u")[s]]))
+        place, ids = _nodes(group[row], np.concatenate([numbers(block, "_u")[e], numbers(block, "_v")[e], numbers(block, "_u")[s]]))
         u, v, source = np.split(place, [len(e), 2 * len(e)])
-        weight = _number(block, "_w")[e]
+        weight = numbers(block, "_w")[e]
         cost, hops, before = cheapest(np.append(u, v), np.append(v, u), np.append(weight, weight), source, len(ids))
         home = np.empty(len(ids), np.int64)
         home[place] = row
@@ -140,7 +140,7 @@ def ways(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame
         previous = np.where(before >= 0, ids[before], -1)
         return [home[met], pa.array(ids[met]), pa.array(cost[met]), pa.array(previous[met])]
 
-    return _solved(rows, keys, schema, solve)
+    return in_blocks(rows, keys, schema, solve)
 
 
 def trees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -168,14 +168,14 @@ def trees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
     def solve(block: pa.Table) -> list:
-        group = codes(*(_number(block, c) for c in GROUP))
+        group = codes(*(numbers(block, c) for c in GROUP))
         is_node = block.column("_id").is_valid().to_numpy()
         e, d = np.flatnonzero(~is_node), np.flatnonzero(is_node)
         row = np.concatenate([e, e, d])
-        place, ids = _nodes(group[row], np.concatenate([_number(block, "from")[e], _number(block, "to")[e], _number(block, "_id")[d]]))
+        place, ids = _nodes(group[row], np.concatenate([numbers(block, "from")[e], numbers(block, "to")[e], numbers(block, "_id")[d]]))
         u, v, known = np.split(place, [len(e), 2 * len(e)])
         n = len(ids)
-        weight = _number(block, "weight")[e]
+        weight = numbers(block, "weight")[e]
         flag = lambda c: block.column(c).fill_null(False).to_numpy()[d]
         _, hops, before = cheapest(
             np.append(u, v), np.append(v, u), np.append(weight, weight), known[flag("_source")], n
@@ -209,7 +209,7 @@ def trees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
             columns += [block.column(c).take(spot) for c in ("_tid", "_terminal")]
         return [listed[met], pa.array(ids[met]), *columns]
 
-    return _solved(rows, keys, schema, solve)
+    return in_blocks(rows, keys, schema, solve)
 
 
 def toured(
@@ -262,10 +262,10 @@ def oriented(edges: DataFrame, keys: Sequence[str], root: Column) -> DataFrame:
     )
 
     def solve(block: pa.Table) -> list:
-        group = codes(*(_number(block, c) for c in GROUP))
-        first, second = (_number(block, c).astype(np.int64) for c in ("from", "to"))
-        down, position = toured(group, first, second, _number(block, "_root"))
+        group = codes(*(numbers(block, c) for c in GROUP))
+        first, second = (numbers(block, c).astype(np.int64) for c in ("from", "to"))
+        down, position = toured(group, first, second, numbers(block, "_root"))
         made = [np.where(down, first, second), np.where(down, second, first), ~down, position]
         return [np.arange(len(first)), block.column("from"), block.column("to"), *(pa.array(m) for m in made)]
 
-    return _solved(rows, keys, schema, solve)
+    return in_blocks(rows, keys, schema, solve)

@@ -328,7 +328,8 @@ def p11(spark, sf):
 @shelf.add("p12_unique_terminals", f"""with recursive {MERGE_SQL} select p.morphology, p.axon_id, coalesce(merged_id, terminal_id) as terminal_id, arg_min(target_population_id, target_brain_region_id * 1000 + tuft_num) as target_population_id
     from placedt p left join lab using (morphology, axon_id, terminal_id) group by 1, 2, 3""")
 def p12(spark, sf):
-    return P.unique_terminals(merged(spark, sf), ["target_brain_region_id", "tuft_num"]).select(M, A, "terminal_id", "target_population_id")
+    rows = merged(spark, sf).select(M, A, "terminal_id", "target_population_id", "target_brain_region_id", "tuft_num")
+    return P.unique_terminals(rows, ["target_brain_region_id", "tuft_num"]).select(M, A, "terminal_id", "target_population_id")
 
 
 @shelf.add("p13_failed_axons", f"""with recursive {PICK_SQL} select morphology, axon_id from mapped m where not exists (select 1 from picked p where p.morphology = m.morphology and p.axon_id = m.axon_id)""")

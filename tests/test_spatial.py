@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,35 @@ def test_config_checks():
             C.ClusterConfig(**bad)
     with pytest.raises(ValueError):
         C.method_of(None, C.ClusterConfig("brain_regions"))
+
+
+def test_close_components_alike_in_tasks_and_over_cells(spark, monkeypatch):
+    pts = cloud(7, 200, blob=50)
+    df = frame(spark, pts).withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
+    want = union_find([p[0] for p in pts], close_pairs(pts, 1.1))
+    for small in (8192, 70, 0):
+        rows = S.close_components(df, ["grp"], 1.1, carry=["name"], small=small, crowd=4).collect()
+        assert {r.id: r.component for r in rows} == want and len(rows) == len(pts)
+        assert all(r.name == f"n{r.id}" for r in rows)
+    monkeypatch.setattr(S, "CLOSE_PAIRS", 10)
+    order = sorted(range(len(pts)), key=lambda i: (pts[i][1], pts[i][0]))
+    group = np.array([hash(pts[i][1]) for i in order])
+    first = S.linked(group, np.array([pts[i][2:5] for i in order], float), 1.1 * 1.1)
+    assert {pts[i][0]: pts[order[f]][0] for i, f in zip(order, first)} == want
+
+
+def test_small_groups_of_close_points_move_once(spark, monkeypatch):
+    monkeypatch.setattr(S, "_close_over_cells", None)
+    df = frame(spark, cloud(2, 150, blob=60))
+    plan = S.close_components(df, ["grp"], 1.2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_targets_without_a_place_or_an_axon_keep_their_id(spark):
+    from arborframe.operators import sampling as P
+
+    rows = [("m", 0, 1, 0.0, "a"), ("m", 0, 2, 1.0, "b"), ("m", 0, 3, None, "c"), ("m", 1, 4, 1.0, "d"), (None, 0, 5, 0.0, "e"), (None, 0, 6, 0.0, "f")]
+    df = spark.createDataFrame(rows, "morphology string, axon_id long, terminal_id long, target_x double, name string")
+    df = df.withColumns({"target_y": F.lit(0.0), "target_z": F.lit(0.0)})
+    got = {r.name: r.terminal_id for r in P.merge_close_targets(df, 2.0).collect()}
+    assert got == {"a": 1, "b": 1, "c": 3, "d": 4, "e": 5, "f": 6}
