@@ -284,3 +284,25 @@ def test_shingles_of_short_texts():
     assert len(shingle_set("a b c")) == 1 and len(shingle_set("")) == 0 and len(shingle_set(None)) == 0
     assert shingle_set("A b")[0] == shingle_set(" a  B\n")[0] != shingle_set("a b c")[0]
     assert len(shingle_set("a b c d e f")) == 2
+
+
+def test_index_rows_are_in_the_order_of_whole_suffixes():
+    rng = random.Random(3)
+    texts = list({bytes(rng.choice(b"ab\xff") for _ in range(rng.randrange(1, 84))) for _ in range(60)})
+    texts += [b"a" * 83, b"ba" * 41, b"a" * 40]
+    index = runlength.RunLengthIndex(texts)
+    whole = [(t[i:] + b"", k) for k, t in enumerate(texts) for i in range(len(t) + 1)]
+    symbols = np.zeros(index.n + 8, dtype=np.int16)
+    flat = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 1
+    symbols[: index.n] = flat
+    symbols[index.start + [len(t) for t in texts]] = 0
+    rows = index._suffix_order(symbols, 84)
+    assert rows.tolist() == sorted(range(index.n), key=lambda r: (whole[r][0], r))
+
+
+def test_rows_between_blocks_and_ranges_grow_slower_than_the_square_of_the_input():
+    def rows(total):
+        return total / runlength._block_bytes(total) * total / (2 << 20)
+
+    assert rows(1 << 30) / (1 << 30) < 2e-4
+    assert rows(10 << 30) / (10 << 30) < 3.2 * rows(1 << 30) / (1 << 30) * 1.01
