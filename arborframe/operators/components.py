@@ -1,7 +1,7 @@
 """Connected components of edge tables, whose hubs may hold a third of all edges.
 
-Every task first replaces its edges by a spanning forest of them.  Then rounds of three steps:
-leaves that hang on a smaller node leave the table for good; every node hands its larger
+Groups that fit into a task are joined there.  For the others every task first replaces its edges
+by a spanning forest of them.  Then rounds of three steps: leaves that hang on a smaller node leave the table for good; every node hands its larger
 neighbours, then its smaller ones, to its smallest neighbour (the two star contractions of Kiveris
 et al. 2014).  A hub's rows are dealt over several salts, against which its one row is repeated.
 It ends when no edge is left; the leaves that have left then follow each other to the label.
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborframe.operators import whole_graphs as W
 from arborframe.operators.contraction import doubled
 from arborframe.operators.core import Rounds, written
 
@@ -88,17 +89,31 @@ def _met(rows: DataFrame, lowest: DataFrame, keys: list[str], crowd: int) -> Dat
 
 
 def components(
-    edges: DataFrame, keys: Sequence[str], *, a: str = "a", b: str = "b", crowd: int = 100_000
+    edges: DataFrame, keys: Sequence[str], *, a: str = "a", b: str = "b", crowd: int = 100_000,
+    most: int = W.MOST_EDGES,
 ) -> DataFrame:
     """Connected components of undirected edges: (keys, id, component), smallest id as label.
 
     Edges with a NULL end, and those from a node to itself, join nothing.  Ids are of any type
-    that has an order.  Rounds go on until no edge is left.
+    that has an order.  Groups of at most ``most`` edges between whole numbers are joined inside
+    tasks; for all others rounds go on until no edge is left.
     """
     keys = list(keys)
     whole = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     flat = whole.select(*keys, F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    rounds = Rounds(edges.sparkSession, "components")
+    if not (keys and W.whole_numbers(flat, ["u", "v"])):
+        return _in_rounds(flat, keys, crowd)
+    flat = written(flat, "component-edges")
+    large = W.too_large(flat, keys, F.lit(False), most)
+    if large is None:
+        return W.joined(flat, keys)
+    here, there = W.split(flat, large, keys)
+    return W.joined(here, keys).unionByName(_in_rounds(there, keys, crowd))
+
+
+def _in_rounds(flat: DataFrame, keys: list[str], crowd: int) -> DataFrame:
+    """:func:`components` of edges (keys, u, v), u > v, for groups of any size."""
+    rounds = Rounds(flat.sparkSession, "components")
     state = rounds.cut(spanning(flat).distinct(), watch=F.lit(True))
     leaves: list[DataFrame] = []
     while rounds.pending:

@@ -167,25 +167,12 @@ def linked(group: np.ndarray, spots: np.ndarray, limit: float) -> np.ndarray:
             held += len(near)
         if pairs and (held > CLOSE_PAIRS or not len(at)):
             a, b = (np.concatenate(c) for c in zip(*pairs))
-            label, pairs, held = _merged(label, a, b), [], 0
+            label, pairs, held = W.merged(label, a, b), [], 0
         if not len(at):
             return label
         step += 1
 
 
-def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after the rows ``a`` and ``b`` were joined; a label is a row that is its own."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return label
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(further := label[label], label):
-            label = further
-
-
 def _close_in_tasks(
     points: DataFrame, keys: Sequence[str], radius: float, *, node: str, carry: Sequence[str]
 ) -> DataFrame:

@@ -71,7 +71,7 @@ def numbers(table: pa.Table, name: str) -> np.ndarray:
     return column.fill_null(0).to_numpy() if column.null_count else column.to_numpy()
 
 
-def _nodes(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def numbered_nodes(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of every (graph, id), ascending by id inside a graph, and the id of every number."""
     order = np.lexsort((ids, group))
     g, i = group[order], ids[order]
@@ -81,6 +81,38 @@ def _nodes(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, i[new]
 
 
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the rows ``a`` and ``b`` were joined; a label is a row that is its own."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(further := label[label], label):
+            label = further
+
+
+def joined(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Components of edges (keys, u, v): (keys, id, component), the smallest id as label."""
+    keys = list(keys)
+    kind = edges.schema["u"].dataType
+    schema = StructType(_fields(edges, keys) + [StructField(c, kind) for c in ("id", "component")])
+
+    def solve(block: pa.Table) -> list:
+        group = codes(*(numbers(block, c) for c in GROUP))
+        place, ids = numbered_nodes(np.append(group, group), np.append(numbers(block, "u"), numbers(block, "v")))
+        u, v = np.split(place, 2)
+        label = merged(np.arange(len(ids)), u, v)
+        home = np.empty(len(ids), np.int64)
+        home[place] = np.tile(np.arange(len(group)), 2)
+        number = block.schema.field("u").type
+        return [home, pa.array(ids, number), pa.array(ids[label], number)]
+
+    return in_blocks(edges.dropna(subset=keys), keys, schema, solve)
+
+
 def cheapest(
     u: np.ndarray, v: np.ndarray, weight: np.ndarray, sources: np.ndarray, n: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +162,7 @@ def ways(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame
         edge = block.column("_v").is_valid().to_numpy()
         e, s = np.flatnonzero(edge), np.flatnonzero(~edge)
         row = np.concatenate([e, e, s])
-        place, ids = _nodes(group[row], np.concatenate([numbers(block, "_u")[e], numbers(block, "_v")[e], numbers(block, "_u")[s]]))
+        place, ids = numbered_nodes(group[row], np.concatenate([numbers(block, "_u")[e], numbers(block, "_v")[e], numbers(block, "_u")[s]]))
         u, v, source = np.split(place, [len(e), 2 * len(e)])
         weight = numbers(block, "_w")[e]
         cost, hops, before = cheapest(np.append(u, v), np.append(v, u), np.append(weight, weight), source, len(ids))
@@ -172,7 +204,7 @@ def trees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         is_node = block.column("_id").is_valid().to_numpy()
         e, d = np.flatnonzero(~is_node), np.flatnonzero(is_node)
         row = np.concatenate([e, e, d])
-        place, ids = _nodes(group[row], np.concatenate([numbers(block, "from")[e], numbers(block, "to")[e], numbers(block, "_id")[d]]))
+        place, ids = numbered_nodes(group[row], np.concatenate([numbers(block, "from")[e], numbers(block, "to")[e], numbers(block, "_id")[d]]))
         u, v, known = np.split(place, [len(e), 2 * len(e)])
         n = len(ids)
         weight = numbers(block, "weight")[e]
@@ -222,7 +254,7 @@ def toured(
     around v, or the first one.
     """
     n = len(first)
-    place, ids = _nodes(np.append(group, group), np.append(first, second))
+    place, ids = numbered_nodes(np.append(group, group), np.append(first, second))
     a, b = place, np.roll(place, n)
     order = np.lexsort((b, a))
     at = np.empty(2 * n, np.int64)

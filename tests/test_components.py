@@ -75,3 +75,23 @@ def test_forest(edges):
     assert all(label[a] == label[b] <= min(a, b) for a, b in edges)
     for v, c in label.items():
         assert label[c] == c
+
+
+def test_groups_that_fit_into_a_task_take_no_rounds(spark, monkeypatch):
+    from arborframe.operators import components as C
+
+    draw = random.Random(4)
+    rows, want = [], {}
+    for g, n in (("x", 60), ("y", 20), ("z", 9)):
+        edges = messy_graph(draw, n)
+        rows += [(g, a, b) for a, b in edges] + [(g, 1, 1), (g, None, 1), (None, 1, 2)]
+        want |= {(g, v): c for v, c in plain([e for e in edges if e[0] != e[1]]).items()}
+    table = spark.createDataFrame(rows, "grp string, a long, b int")
+    for most in (10_000, 100, 0):
+        got = components(table.dropna(subset="grp"), ["grp"], most=most).collect()
+        assert {(r.grp, r.id): r.component for r in got} == want and len(got) == len(want)
+    monkeypatch.setattr(C, "_in_rounds", None)
+    found = components(table, ["grp"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.grp, r.id): r.component for r in found.collect()} == want
+    assert plan.count("Exchange hashpartitioning") == 1
